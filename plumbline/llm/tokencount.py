@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from .wordbpe import WordBPE, byte_characters, load
 
-#: Pre-tokens whose counts a worker remembers; beyond it the memory is emptied, which changes no result.
-REMEMBERED = 300_000
+#: Chunks of text whose counts a worker remembers; beyond it the memory is emptied, which changes no result.
+REMEMBERED = 700_000
 #: Characters of text whose pre-tokens are held at once.
 AT_ONCE = 4_000_000
 NO_RANK = np.iinfo(np.int32).max
@@ -111,25 +111,35 @@ class TokenCounter:
         return out
 
     def _group(self, texts: list[str | None]) -> list[int]:
-        extra, lists = [], []
-        for text in texts:
+        extra, lists = [0] * len(texts), []
+        for k, text in enumerate(texts):
             if not text:
                 lists.append([])
-                extra.append(0)
             elif self.bpe.is_plain(text):
-                lists.append(self.bpe.words(text))
-                extra.append(0)
+                lists.append(self.bpe.chunks(text))
             else:
-                words, special = self.bpe.library_words(text)
-                lists.append([bytes(self.byte_of[c] for c in w).decode("utf-8", "surrogateescape") for w in words])
-                extra.append(special)
+                words, extra[k] = self.bpe.library_words(text)
+                lists.append([])
+                if words:
+                    raw = [bytes(self.byte_of[c] for c in w) for w in words]
+                    extra[k] += int(self.merger.count(raw).sum())
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        known = self.known
-        new = list({w for ws in lists for w in ws if w not in known})
-        if new:
-            known.update(zip(new, self.merger.count([w.encode("utf-8", "surrogateescape") for w in new]).tolist()))
-        return [sum(map(known.__getitem__, ws)) + n for ws, n in zip(lists, extra)]
+        known, new = self.known, set()
+        for chunks in lists:
+            new.update(chunks)
+        if new := [c for c in new if c not in known]:
+            parts = [self.bpe.words(c) for c in new]
+            words = list({w for p in parts for w in p})
+            count_of = dict(zip(words, self.merger.count([w.encode() for w in words]).tolist()))
+            known.update((c, sum(map(count_of.__getitem__, p))) for c, p in zip(new, parts))
+        return [sum(map(known.__getitem__, chunks)) + n for chunks, n in zip(lists, extra)]
+
+
+@lru_cache(maxsize=1)
+def counter_of(path: str) -> TokenCounter:
+    """A Python worker keeps its counter, with what it has counted, from task to task."""
+    return TokenCounter(path)
 
 
 def count_tokens(df: DataFrame, text: str, path: str, keep: list[str], limit: int = 2048) -> DataFrame:
@@ -142,7 +152,7 @@ def count_tokens(df: DataFrame, text: str, path: str, keep: list[str], limit: in
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = TokenCounter(path)
+        counter = counter_of(path)
         for batch in batches:
             counts = counter.counts(batch.column(len(keep) + 1).to_pylist())
             n = pa.array(counts, pa.int64())
