@@ -1,8 +1,9 @@
 """Token ids as Arrow files of equal-length sequences.
 
 A file NAME.arrow is an Arrow IPC file whose record batches hold two fixed-size lists of `length`
-entries: `ids` (uint32) and `mask` (uint8; 0 padding, 1 an id, 3 the last id of a document). Its ids
-run on from one document to the next; the last sequence is padded. Batches have ROWS sequences each
+entries: `ids` (uint16 or uint32, whichever the vocabulary fits in) and `mask` (bits: false for padding
+and for each document's last id, so true where the next id belongs to the same document). Its ids run
+on from one document to the next; the last sequence is padded. Batches have ROWS sequences each
 (the last may have fewer), so sequence k lies in batch k // ROWS at row k % ROWS and is read as a
 view on the mapped file, without copying. NAME.docs.arrow lists the file's documents in order with
 their first id's place and their number of ids.
@@ -12,6 +13,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +27,8 @@ from .wordbpe import WordBPE, load
 
 #: Ids of a sequence, sequences of a record batch.
 LENGTH, ROWS = 1024, 256
-#: Characters that are encoded at once, and pre-tokens whose ids a worker remembers; neither changes a result.
-AT_ONCE, REMEMBERED = 2_000_000, 250_000
-IDS, ENDS = 1, 2
+#: Characters that are encoded at once, and chunks and pre-tokens whose ids a worker remembers; neither changes a result.
+AT_ONCE, REMEMBERED = 4_000_000, 500_000
 
 
 class Encoder:
@@ -36,48 +37,69 @@ class Encoder:
     def __init__(self, path: str, end_id: int):
         self.bpe: WordBPE = load(path)
         names = self.bpe.library.get_vocab()
-        self.ends = np.zeros(max(names.values()) + 1, bool)
+        top = max(*names.values(), end_id)
+        self.kind = np.dtype("<u2" if top < 1 << 16 else "<u4")
+        self.ends = np.zeros(top + 1, bool)
         self.ends[[i for w, i in names.items() if w.endswith(self.bpe.end)]] = True
-        self.end = np.array([end_id], "<u4").tobytes()
-        self.known: dict[str, bytes] = {}
+        self.end = np.array([end_id], self.kind).tobytes()
+        self.chunks: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text, the end id last."""
-        plain = [self.bpe.words(t) if t and self.bpe.is_plain(t) else None for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known = self.known
-        new = list({w for ws in plain if ws for w in ws if w not in known})
-        if new:
-            # one text of all new pre-tokens, blanks between; each one's ids end at a symbol with the word end
-            ids = np.array(self.bpe.library.encode(" ".join(new), add_special_tokens=False).ids, "<u4")
-            stops = (np.flatnonzero(self.ends[ids]) + 1) * 4
-            if len(stops) != len(new):
-                raise ValueError("the vocabulary has no word ends to tell pre-tokens apart")
-            raw, begin = ids.tobytes(), 0
-            for word, stop in zip(new, stops.tolist()):
-                known[word] = raw[begin:stop]
-                begin = stop
-        other = [t for t, ws in zip(texts, plain) if t and ws is None]
+        """Little-endian ids (type self.kind) of each text, the end id last."""
+        plain = [self.bpe.chunks(t) if t and self.bpe.is_plain(t) else None for t in texts]
+        self._learn(plain)
+        ids_of = self.chunks.__getitem__
+        other = [t for t, chunks in zip(texts, plain) if t and chunks is None]
         encoded = iter(self.bpe.library.encode_batch(other, add_special_tokens=False)) if other else iter(())
         out = []
-        for text, words in zip(texts, plain):
+        for text, chunks in zip(texts, plain):
             if not text:
                 out.append(self.end)
-            elif words is None:
-                out.append(np.array(next(encoded).ids, "<u4").tobytes() + self.end)
+            elif chunks is None:
+                out.append(np.array(next(encoded).ids, self.kind).tobytes() + self.end)
             else:
-                out.append(b"".join(map(known.__getitem__, words)) + self.end)
+                out.append(b"".join(map(ids_of, chunks)) + self.end)
         return out
 
+    def _learn(self, texts: list[list[str] | None]) -> None:
+        """Put all chunks of the texts into self.chunks, encoding pre-tokens that aren't known."""
+        if len(self.chunks) > REMEMBERED:
+            self.chunks.clear()
+        if len(self.words) > REMEMBERED // 2:
+            self.words.clear()
+        new = set()
+        for chunks in texts:
+            new.update(chunks or ())
+        new = [c for c in new if c not in self.chunks]
+        parts = [self.bpe.words(c) for c in new]
+        if words := list({w for p in parts for w in p if w not in self.words}):
+            # one text of all new pre-tokens, blanks between; each one's ids end at a symbol with the word end
+            ids = np.array(self.bpe.library.encode(" ".join(words), add_special_tokens=False).ids, self.kind)
+            stops = (np.flatnonzero(self.ends[ids]) + 1) * self.kind.itemsize
+            if len(stops) != len(words):
+                raise ValueError("the vocabulary has no word ends to tell pre-tokens apart")
+            raw, begin = ids.tobytes(), 0
+            for word, stop in zip(words, stops.tolist()):
+                self.words[word] = raw[begin:stop]
+                begin = stop
+        ids_of = self.words.__getitem__
+        self.chunks.update((c, ids_of(p[0]) if len(p) == 1 else b"".join(map(ids_of, p))) for c, p in zip(new, parts))
+
+
+@lru_cache(maxsize=1)
+def encoder_of(path: str, end_id: int) -> Encoder:
+    """A Python worker keeps its encoder, with what it has learned, from task to task."""
+    return Encoder(path, end_id)
+
 
 class SequenceWriter:
     """Appends documents' ids to one pair of files, a record batch at a time."""
 
-    def __init__(self, uri: str, id_type: pa.DataType, length: int, rows: int):
-        self.length, self.rows = length, rows
+    def __init__(self, uri: str, id_type: pa.DataType, kind: np.dtype, length: int, rows: int):
+        self.kind, self.length, self.rows = kind, length, rows
         self.main, self.side = Draft(uri), Draft(uri.removesuffix(".arrow") + ".docs.arrow")
-        lists = [pa.field("ids", pa.list_(pa.uint32(), length)), pa.field("mask", pa.list_(pa.uint8(), length))]
+        lists = [("ids", pa.list_(pa.from_numpy_dtype(kind), length)), ("mask", pa.list_(pa.bool_(), length))]
         self.schema = pa.schema(lists, metadata={"length": str(length), "rows": str(rows)})
         self.docs = pa.schema([("doc_id", id_type), ("start", pa.int64()), ("n_tokens", pa.int64())])
         self.out = pa.ipc.new_file(self.main.sink, self.schema)
@@ -85,12 +107,12 @@ class SequenceWriter:
         self.ids, self.mask, self.held, self.total = [], [], 0, 0
 
     def add(self, doc_ids: pa.Array, encoded: list[bytes]) -> None:
-        sizes = np.fromiter((len(b) // 4 for b in encoded), np.int64, len(encoded))
+        sizes = np.fromiter(map(len, encoded), np.int64, len(encoded)) // self.kind.itemsize
         starts = self.total + np.cumsum(sizes) - sizes
         self.list.write_batch(pa.record_batch([doc_ids, pa.array(starts), pa.array(sizes)], schema=self.docs))
-        mask = np.full(int(sizes.sum()), IDS, np.uint8)
-        mask[np.cumsum(sizes) - 1] |= ENDS
-        self.ids.append(np.frombuffer(b"".join(encoded), "<u4"))
+        mask = np.ones(int(sizes.sum()), bool)
+        mask[np.cumsum(sizes) - 1] = False
+        self.ids.append(np.frombuffer(b"".join(encoded), self.kind))
         self.mask.append(mask)
         self.held += len(mask)
         self.total += len(mask)
@@ -108,8 +130,8 @@ class SequenceWriter:
     def close(self) -> None:
         if self.held:
             padding = -self.held % self.length
-            self.ids.append(np.zeros(padding, "<u4"))
-            self.mask.append(np.zeros(padding, np.uint8))
+            self.ids.append(np.zeros(padding, self.kind))
+            self.mask.append(np.zeros(padding, bool))
             self._write(self.held + padding)
         self.out.close()
         self.list.close()
@@ -126,20 +148,21 @@ class SequenceFile:
         self.length = int(self.file.schema.metadata[b"length"])
         self.rows = int(self.file.schema.metadata[b"rows"])
 
-    def sequence(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def sequence(self, k: int) -> tuple[np.ndarray, pa.Array]:
+        """The ids and the mask of sequence k, as views on the file."""
         batch, row = self.file.get_batch(k // self.rows), k % self.rows
         part = slice(row * self.length, (row + 1) * self.length)
-        return self._flat(batch, "ids")[part], self._flat(batch, "mask")[part]
+        return self._ids(batch)[part], batch.column("mask").flatten()[part]
 
     @staticmethod
-    def _flat(batch: pa.RecordBatch, name: str) -> np.ndarray:
-        return batch.column(name).flatten().to_numpy(zero_copy_only=True)
+    def _ids(batch: pa.RecordBatch) -> np.ndarray:
+        return batch.column("ids").flatten().to_numpy(zero_copy_only=True)
 
     def pieces(self, start: int, n: int) -> Iterator[np.ndarray]:
         """The ids from `start` on, n of them, as views on the record batches that hold them."""
         span = self.length * self.rows
         while n > 0:
-            flat = self._flat(self.file.get_batch(start // span), "ids")
+            flat = self._ids(self.file.get_batch(start // span))
             view = flat[start % span : start % span + n]
             yield view
             start, n = start + len(view), n - len(view)
@@ -159,11 +182,11 @@ def write_sequences(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, writer, n = TaskContext.get().partitionId(), None, 0
-        uri, encoder = f"{path}/part-{place:08d}.arrow", Encoder(tokenizer, end_id)
+        uri, encoder = f"{path}/part-{place:08d}.arrow", encoder_of(tokenizer, end_id)
         for batch in batches:
             texts = batch.column(1)
             if writer is None and batch.num_rows:
-                writer = SequenceWriter(uri, batch.schema.field(0).type, length, ROWS)
+                writer = SequenceWriter(uri, batch.schema.field(0).type, encoder.kind, length, ROWS)
             size = texts.nbytes // max(1, batch.num_rows) + 1
             step = max(1, AT_ONCE // size)
             for at in range(0, batch.num_rows, step):
@@ -198,7 +221,7 @@ def read_documents(manifest: DataFrame, id_type: str) -> DataFrame:
                     for start, n in zip(docs.column("start").to_pylist(), docs.column("n_tokens").to_pylist()):
                         crc = 0
                         for view in file.pieces(start, n):
-                            crc = zlib.crc32(view.astype("<u4", copy=False), crc)
+                            crc = zlib.crc32(view.astype("<u4"), crc)
                         sums.append(crc)
                     start = pa.array(docs.column("start").to_numpy() + row["start"])
                     arrays = [docs.column("doc_id"), start, docs.column("n_tokens"), pa.array(sums, pa.int64())]
