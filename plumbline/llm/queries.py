@@ -26,17 +26,39 @@ def op6_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_layout(documents(spark, sf_dir), "doc_id", "text", 16)
 
 
+def op7_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import near_duplicates
+
+    return near_duplicates(documents(spark, sf_dir), "doc_id", "text")
+
+
+def op8_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import warc_round_trip
+
+    return warc_round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"), "page_id", "url", "html")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tokencount import count_tokens
 
     return count_tokens(documents(spark, sf_dir), "text", WORD_BPE, ["doc_id"])
 
 
+def op10_benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontam import contained_items
+
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return contained_items(documents(spark, sf_dir), "doc_id", "text", items, "item_id", "text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op5_token_files": op5_token_files,
         "op6_jump_shards": op6_jump_shards,
+        "op7_simhash_groups": op7_simhash_groups,
+        "op8_warc_round_trip": op8_warc_round_trip,
         "op9_token_counts": op9_token_counts,
+        "op10_benchmark_containment": op10_benchmark_containment,
     }
 
 
