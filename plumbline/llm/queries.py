@@ -7,6 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from . import merkle, secrets
+
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -14,6 +16,24 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_byte_convnet_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import languages
+
+    return languages(documents(spark, sf_dir), "doc_id", "text", "lang")
+
+
+def op2_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .merkle import fingerprint_edits
+
+    return fingerprint_edits(documents(spark, sf_dir), "doc_id", "text")
+
+
+def op4_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import scan
+
+    return scan(documents(spark, sf_dir), "doc_id", "text")
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tokenfile import token_files
 
@@ -53,6 +73,9 @@ def op10_benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_byte_convnet_language": op1_byte_convnet_language,
+        "op2_merkle_fingerprints": op2_merkle_fingerprints,
+        "op4_linked_secrets": op4_linked_secrets,
         "op5_token_files": op5_token_files,
         "op6_jump_shards": op6_jump_shards,
         "op7_simhash_groups": op7_simhash_groups,
@@ -63,4 +86,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_merkle_fingerprints": merkle.ORACLE, "op4_linked_secrets": secrets.ORACLE}
