@@ -14,6 +14,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,16 +43,15 @@ class Encoder:
         self.ends = np.zeros(top + 1, bool)
         self.ends[[i for w, i in names.items() if w.endswith(self.bpe.end)]] = True
         self.end = np.array([end_id], self.kind).tobytes()
-        self.chunks: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}  # of chunks and of pre-tokens, which may be whole chunks
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian ids (type self.kind) of each text, the end id last."""
         plain = [self.bpe.chunks(t) if t and self.bpe.is_plain(t) else None for t in texts]
         self._learn(plain)
-        ids_of = self.chunks.__getitem__
+        ids_of = self.known.__getitem__
         other = [t for t, chunks in zip(texts, plain) if t and chunks is None]
-        encoded = iter(self.bpe.library.encode_batch(other, add_special_tokens=False)) if other else iter(())
+        encoded = iter(self.bpe.library.encode_batch_fast(other, add_special_tokens=False)) if other else iter(())
         out = []
         for text, chunks in zip(texts, plain):
             if not text:
@@ -63,28 +63,27 @@ class Encoder:
         return out
 
     def _learn(self, texts: list[list[str] | None]) -> None:
-        """Put all chunks of the texts into self.chunks, encoding pre-tokens that aren't known."""
-        if len(self.chunks) > REMEMBERED:
-            self.chunks.clear()
-        if len(self.words) > REMEMBERED // 2:
-            self.words.clear()
-        new = set()
+        """Put all chunks of the texts into self.known, encoding pre-tokens that aren't."""
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        known, new = self.known, set()
         for chunks in texts:
             new.update(chunks or ())
-        new = [c for c in new if c not in self.chunks]
-        parts = [self.bpe.words(c) for c in new]
-        if words := list({w for p in parts for w in p if w not in self.words}):
+        new = [c for c in new if c not in known]
+        mixed = [c for c in new if not c.isalpha()]
+        parts = [self.bpe.words(c) for c in mixed]
+        words = {c for c in new if c.isalpha()}
+        words.update(w for w in set(chain.from_iterable(parts)) if w not in known)
+        if words:
             # one text of all new pre-tokens, blanks between; each one's ids end at a symbol with the word end
-            ids = np.array(self.bpe.library.encode(" ".join(words), add_special_tokens=False).ids, self.kind)
+            whole = self.bpe.library.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0]
+            ids = np.array(whole.ids, self.kind)
             stops = (np.flatnonzero(self.ends[ids]) + 1) * self.kind.itemsize
             if len(stops) != len(words):
                 raise ValueError("the vocabulary has no word ends to tell pre-tokens apart")
-            raw, begin = ids.tobytes(), 0
-            for word, stop in zip(words, stops.tolist()):
-                self.words[word] = raw[begin:stop]
-                begin = stop
-        ids_of = self.words.__getitem__
-        self.chunks.update((c, ids_of(p[0]) if len(p) == 1 else b"".join(map(ids_of, p))) for c, p in zip(new, parts))
+            raw, stops = ids.tobytes(), stops.tolist()
+            known.update(zip(words, [raw[a:b] for a, b in zip([0, *stops], stops)]))
+        known.update(zip(mixed, [b"".join(map(known.__getitem__, p)) for p in parts]))
 
 
 @lru_cache(maxsize=1)
