@@ -110,19 +110,19 @@ def linked(prints: DataFrame, radius: int) -> DataFrame:
 
 
 def group_by_fingerprint(prints: DataFrame, doc_id: str, radius: int = 2) -> DataFrame:
-    """doc_id, _fp and component_id for each row of a settled table of doc_id and _fp.
+    """doc_id, _fp, component_id and _root for each row of a settled table of doc_id and _fp.
 
     Rows whose fingerprints are within `radius` bits are linked; component_id is the smallest doc_id
-    reachable over links (nulls only where no linked row has an id). Equal fingerprints are one node,
-    however many rows have them. Every row stays, repeated ones too.
+    reachable over links (null only where no linked row has an id), _root names the group. Equal
+    fingerprints are one node, however many rows have them. Every row stays, repeated ones too.
     """
     classes = settle(prints.groupBy("_fp").agg(F.min(doc_id).alias("_least")), "classes")
     edges = linked(classes, radius)
     stars = star_components(edges).select(F.col("u").alias("_fp"), F.col("v").alias("_root"))
     rooted = classes.join(stars, "_fp", "left").withColumn("_root", F.coalesce("_root", "_fp"))
     least = rooted.groupBy("_root").agg(F.min("_least").alias("component_id"))
-    named = rooted.select("_fp", "_root").join(least, "_root").select("_fp", "component_id")
-    return prints.join(named, "_fp").select(doc_id, "_fp", "component_id")
+    named = rooted.select("_fp", "_root").join(least, "_root").select("_fp", "_root", "component_id")
+    return prints.join(named, "_fp").select(doc_id, "_fp", "component_id", "_root")
 
 
 def near_duplicates(df: DataFrame, doc_id: str, text: str, words: int = 3, radius: int = 2) -> DataFrame:
@@ -134,3 +134,23 @@ def near_duplicates(df: DataFrame, doc_id: str, text: str, words: int = 3, radiu
     prints = settle(fingerprints(df, text, [doc_id], words), "fingerprints")
     grouped = group_by_fingerprint(prints, doc_id, radius)
     return grouped.select(doc_id, F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(df: DataFrame, doc_id: str, text: str, words: int = 3, radius: int = 2) -> DataFrame:
+    """df with one row of each group of near duplicates: that with the smallest id. All columns stay.
+
+    A row without an id stays only if no row of its group has one; of rows that share an id and a
+    fingerprint one stays. Where ids are unique, rows are chosen by id; else by id and fingerprint.
+    """
+    prints = settle(fingerprints(df, text, [doc_id], words), "fingerprints")
+    grouped = group_by_fingerprint(prints, doc_id, radius)
+    repeated = prints.groupBy(doc_id).count().where(F.col(doc_id).isNull() | (F.col("count") > 1))
+    if not repeated.limit(1).count():
+        kept = settle(grouped.where(F.col(doc_id) == F.col("component_id")).select(F.col(doc_id).alias("_kept")), "kept")
+        return df.join(kept, F.col(doc_id) == F.col("_kept"), "left_semi")
+    first = F.min(F.struct(F.col(doc_id).isNull(), F.col(doc_id).alias("_kept"), F.col("_fp").alias("_print")))
+    kept = settle(grouped.groupBy("_root").agg(first.alias("_row")).select("_row._kept", "_row._print"), "kept")
+    held = df.select(F.struct(*df.columns).alias("_whole"), F.col(doc_id).alias("_id"), F.col(text).alias("_body"))
+    tagged = fingerprints(held, "_body", ["_whole", "_id"], words)
+    same = F.col("_id").eqNullSafe(F.col("_kept")) & (F.col("_fp") == F.col("_print"))
+    return tagged.join(kept, same, "left_semi").dropDuplicates(["_id", "_fp"]).select("_whole.*")

@@ -4,7 +4,7 @@ import numpy as np
 import xxhash
 
 from plumbline.llm.components import star_components
-from plumbline.llm.simhash import majorities, near_duplicates
+from plumbline.llm.simhash import keep_one, majorities, near_duplicates
 from plumbline.llm.vptree import TopTree, distances, forest, near_pairs
 
 from .helpers import awkward, frame
@@ -46,6 +46,18 @@ def test_groups_match_brute_force(spark):
     assert near_duplicates(frame(spark, []), "doc_id", "text").count() == 0
 
 
+def test_one_row_of_each_group_stays(spark):
+    rows = [(k, f"text number {k % 7} of a few {k % 7}", "en", "a", k) for k in range(30)]
+    kept = keep_one(frame(spark, rows, clash=True), "doc_id", "text")
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(7)) and kept.columns == frame(spark, rows, clash=True).columns
+    rows += [(3, "text number 3 of a few 3", "en", "a", 3), (3, "quite another one", "en", "a", 3), (None, "lone text", "en", "a", 0), (None, "lone text", "en", "a", 0), (None, None, "en", "a", 0), (50, "", "en", "a", 0)]
+    kept = keep_one(frame(spark, rows, clash=True), "doc_id", "text").collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted(
+        [(k, f"text number {k} of a few {k}") for k in range(7)] + [(3, "quite another one"), (None, "lone text"), (50, "")], key=str
+    )
+    assert keep_one(frame(spark, []), "doc_id", "text").count() == 0
+
+
 def points(n, seed=3):
     rng = np.random.default_rng(seed)
     base = rng.integers(0, 2**64, n, dtype=np.uint64, endpoint=False)
