@@ -59,15 +59,15 @@ def age(seconds: Column) -> Column:
 
 def human_size(n: Column, gb_digits: int = 2) -> Column:
     """Bytes by 1024: whole bytes, else one decimal of KB or MB, and gb_digits of GB."""
-    by = lambda k, digits, name: F.format_string(f"%.{digits}f {name}", n / float(1024**k))
+    by = lambda k, digits, name: F.format_string(f"%.{digits}f {name}", F.bround(n / float(1024**k), digits))
     return F.when(n < 1024, F.format_string("%d B", n)).when(n < 1024**2, by(1, 1, "KB")).when(n < 1024**3, by(2, 1, "MB")).otherwise(by(3, gb_digits, "GB"))
 
 
 def compact_count(n: Column) -> Column:
     """A count as it is, or in thousands or millions with one decimal."""
     return (
-        F.when(n < 1000, n.cast("string")).when(n < 1_000_000, F.format_string("%.1fk", n / 1000.0))
-        .otherwise(F.format_string("%.1fM", n / 1_000_000.0))
+        F.when(n < 1000, n.cast("string")).when(n < 1_000_000, F.format_string("%.1fk", F.bround(n / 1000.0, 1)))
+        .otherwise(F.format_string("%.1fM", F.bround(n / 1_000_000.0, 1)))
     )
 
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import logs, tables
+from . import logs, tables, web
 
-MODULES = (tables, logs)
+MODULES = (tables, logs, web)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
