@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import logs, tables, web
+from . import graphs, logs, tables, web
 
-MODULES = (tables, logs, web)
+MODULES = (tables, logs, web, graphs)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
