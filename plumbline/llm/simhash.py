@@ -147,10 +147,11 @@ def keep_one(df: DataFrame, doc_id: str, text: str, words: int = 3, radius: int
     repeated = prints.groupBy(doc_id).count().where(F.col(doc_id).isNull() | (F.col("count") > 1))
     if not repeated.limit(1).count():
         kept = settle(grouped.where(F.col(doc_id) == F.col("component_id")).select(F.col(doc_id).alias("_kept")), "kept")
-        return df.join(kept, F.col(doc_id) == F.col("_kept"), "left_semi")
+        # sorted and merged at every size: the ids to keep are as many as the documents, never a table to broadcast
+        return df.join(kept.hint("merge"), F.col(doc_id) == F.col("_kept"), "left_semi")
     first = F.min(F.struct(F.col(doc_id).isNull(), F.col(doc_id).alias("_kept"), F.col("_fp").alias("_print")))
     kept = settle(grouped.groupBy("_root").agg(first.alias("_row")).select("_row._kept", "_row._print"), "kept")
     held = df.select(F.struct(*df.columns).alias("_whole"), F.col(doc_id).alias("_id"), F.col(text).alias("_body"))
     tagged = fingerprints(held, "_body", ["_whole", "_id"], words)
     same = F.col("_id").eqNullSafe(F.col("_kept")) & (F.col("_fp") == F.col("_print"))
-    return tagged.join(kept, same, "left_semi").dropDuplicates(["_id", "_fp"]).select("_whole.*")
+    return tagged.join(kept.hint("merge"), same, "left_semi").dropDuplicates(["_id", "_fp"]).select("_whole.*")
