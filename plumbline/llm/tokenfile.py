@@ -18,6 +18,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,7 +30,17 @@ from .wordbpe import WordBPE, load
 #: Ids of a sequence, sequences of a record batch.
 LENGTH, ROWS = 1024, 256
 #: Characters that are encoded at once, and chunks and pre-tokens whose ids a worker remembers; neither changes a result.
-AT_ONCE, REMEMBERED = 4_000_000, 500_000
+AT_ONCE, REMEMBERED = 4_000_000, 1_200_000
+
+
+def runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each run, one after the other."""
+    starts, sizes = starts[sizes > 0], sizes[sizes > 0]
+    steps = np.ones(int(sizes.sum()), np.int32)
+    if len(starts):
+        steps[0] = starts[0]
+        steps[np.cumsum(sizes)[:-1]] = starts[1:] - starts[:-1] - sizes[:-1] + 1
+    return np.cumsum(steps, dtype=np.int32)
 
 
 class Encoder:
@@ -42,42 +53,54 @@ class Encoder:
         self.kind = np.dtype("<u2" if top < 1 << 16 else "<u4")
         self.ends = np.zeros(top + 1, bool)
         self.ends[[i for w, i in names.items() if w.endswith(self.bpe.end)]] = True
-        self.end = np.array([end_id], self.kind).tobytes()
+        self.end_id = end_id
         self.known: dict[str, bytes] = {}  # of chunks and of pre-tokens, which may be whole chunks
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian ids (type self.kind) of each text, the end id last."""
-        plain = [self.bpe.chunks(t) if t and self.bpe.is_plain(t) else None for t in texts]
-        self._learn(plain)
-        ids_of = self.known.__getitem__
-        other = [t for t, chunks in zip(texts, plain) if t and chunks is None]
-        encoded = iter(self.bpe.library.encode_batch_fast(other, add_special_tokens=False)) if other else iter(())
-        out = []
-        for text, chunks in zip(texts, plain):
-            if not text:
-                out.append(self.end)
-            elif chunks is None:
-                out.append(np.array(next(encoded).ids, self.kind).tobytes() + self.end)
-            else:
-                out.append(b"".join(map(ids_of, chunks)) + self.end)
-        return out
-
-    def _learn(self, texts: list[list[str] | None]) -> None:
-        """Put all chunks of the texts into self.known, encoding pre-tokens that aren't."""
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids (type self.kind) of all texts in a row, each one's end id last, and each one's number of ids.
+
+        Chunks are found, numbered and put together by whole arrays; Python sees each distinct one once.
+        """
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        odd = pc.match_substring_regex(texts, self.bpe.hinders) if self.bpe.hinders else pa.array([True] * len(texts), pa.bool_())
+        lists = pc.ascii_split_whitespace(pc.utf8_lower(texts.filter(pc.invert(odd))))
+        numbered = lists.flatten().dictionary_encode()
+        distinct = numbered.dictionary.to_pylist()
+        self._learn(distinct)
+        values = list(map(self.known.__getitem__, distinct))
+        lengths = np.fromiter(map(len, values), np.int64, len(values)) // self.kind.itemsize
+        whole = np.frombuffer(b"".join(values), self.kind)
+        index = numbered.indices.to_numpy()
+        n = lengths[index]
+        flat = whole[runs((np.cumsum(lengths) - lengths)[index], n)]
+        cuts = np.r_[0, np.cumsum(n)][lists.offsets.to_numpy() - lists.offsets[0].as_py()] if len(lists) else np.zeros(1, np.int64)
+        ids, sizes = np.insert(flat, cuts[1:], np.array(self.end_id, self.kind)), np.diff(cuts) + 1
+        other = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+        if not len(other):
+            return ids, sizes
+        encoded = self.bpe.library.encode_batch_fast(texts.take(pa.array(other)).to_pylist(), add_special_tokens=False)
+        parts: list = [None] * len(texts)
+        for k, e in zip(other, encoded):
+            parts[k] = np.array([*e.ids, self.end_id], self.kind)
+        plain = iter(np.split(ids, np.cumsum(sizes)[:-1]))
+        parts = [next(plain) if p is None else p for p in parts]
+        return np.concatenate(parts), np.array(list(map(len, parts)), np.int64)
+
+    def _learn(self, chunks: list[str]) -> None:
+        """Put all chunks into self.known, encoding pre-tokens that aren't."""
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        known, new = self.known, set()
-        for chunks in texts:
-            new.update(chunks or ())
-        new = [c for c in new if c not in known]
+        known = self.known
+        known[""] = b""
+        new = [c for c in chunks if c not in known]
         mixed = [c for c in new if not c.isalpha()]
         parts = [self.bpe.words(c) for c in mixed]
         words = {c for c in new if c.isalpha()}
         words.update(w for w in set(chain.from_iterable(parts)) if w not in known)
         if words:
             # one text of all new pre-tokens, blanks between; each one's ids end at a symbol with the word end
-            whole = self.bpe.library.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0]
-            ids = np.array(whole.ids, self.kind)
+            encoded = self.bpe.library.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0]
+            ids = np.array(encoded.ids, self.kind)
             stops = (np.flatnonzero(self.ends[ids]) + 1) * self.kind.itemsize
             if len(stops) != len(words):
                 raise ValueError("the vocabulary has no word ends to tell pre-tokens apart")
@@ -105,13 +128,12 @@ class SequenceWriter:
         self.list = pa.ipc.new_file(self.side.sink, self.docs)
         self.ids, self.mask, self.held, self.total = [], [], 0, 0
 
-    def add(self, doc_ids: pa.Array, encoded: list[bytes]) -> None:
-        sizes = np.fromiter(map(len, encoded), np.int64, len(encoded)) // self.kind.itemsize
+    def add(self, doc_ids: pa.Array, ids: np.ndarray, sizes: np.ndarray) -> None:
         starts = self.total + np.cumsum(sizes) - sizes
         self.list.write_batch(pa.record_batch([doc_ids, pa.array(starts), pa.array(sizes)], schema=self.docs))
-        mask = np.ones(int(sizes.sum()), bool)
+        mask = np.ones(len(ids), bool)
         mask[np.cumsum(sizes) - 1] = False
-        self.ids.append(np.frombuffer(b"".join(encoded), self.kind))
+        self.ids.append(ids)
         self.mask.append(mask)
         self.held += len(mask)
         self.total += len(mask)
@@ -190,7 +212,7 @@ def write_sequences(
             step = max(1, AT_ONCE // size)
             for at in range(0, batch.num_rows, step):
                 part = batch.slice(at, step)
-                writer.add(part.column(0), encoder.encode(part.column(1).to_pylist()))
+                writer.add(part.column(0), *encoder.encode(part.column(1)))
                 n += part.num_rows
         if writer:
             writer.close()

@@ -35,7 +35,13 @@ class WordBPE:
         self.end = spec["model"]["end_of_word_suffix"] or ""
         self.specials = [t["content"] for t in spec["added_tokens"]]
         self._special = regex.compile("|".join(map(regex.escape, self.specials))) if self.specials else None
-        self._short = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"].get("Regex") == PRE_TOKEN
+        #: finds what keeps a text from the short way, for Arrow's matcher
+        self.hinders = "|".join([OTHER, *(x.replace("|", "[|]") for x in self.specials)]) if self.is_known(spec) else ""
+        self._short = self.is_known(spec)
+
+    @staticmethod
+    def is_known(spec: dict) -> bool:
+        return spec["pre_tokenizer"]["pretokenizers"][0]["pattern"].get("Regex") == PRE_TOKEN
 
     def is_plain(self, text: str) -> bool:
         """Whether the short way gives the library's pre-tokens for certain."""

@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -32,7 +33,12 @@ def test_counts_and_ids_are_the_librarys(library):
     expected = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
     assert TokenCounter(PATH).counts(texts) == [len(e) for e in expected]
     encoder = Encoder(PATH, 1)
-    assert [np.frombuffer(b, encoder.kind).tolist() for b in encoder.encode(texts)] == [[*e, 1] for e in expected]
+    ids, sizes = encoder.encode(pa.array(texts))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [[*e, 1] for e in expected]
+    for some in ([None], ["  a b  "], ["日本", None, "x"], []):
+        ids, sizes = encoder.encode(pa.array(some, pa.string()))
+        want = [[*library.encode(t or "", add_special_tokens=False).ids, 1] for t in some]
+        assert ids.tolist() == sum(want, []) and sizes.tolist() == list(map(len, want))
 
 
 @pytest.mark.parametrize("clash", [False, True])
