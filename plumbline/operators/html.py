@@ -98,6 +98,10 @@ def text_of(node: Node, drop: set[str] = DROP) -> str:
     return re.sub(r"\n{3,}", "\n\n", "\n".join(lines)).strip()
 
 
+def raw_text(node: Node) -> str:
+    return "".join(c if isinstance(c, str) else raw_text(c) for c in node.children)
+
+
 def densest(root: Node) -> Node | None:
     """The element whose own paragraphs hold the most text that isn't links."""
     best, most = None, 0.0
@@ -160,7 +164,7 @@ def markdown(node: Node, base: str = "", links: bool = True) -> str:
         if re.fullmatch("h[1-6]", n.tag):
             return f"\n\n{'#' * int(n.tag[1])} {inline(n)}\n\n"
         if n.tag == "pre":
-            return f"\n\n```\n{text_of(Node('div', {}, [n]))}\n```\n\n"
+            return f"\n\n```\n{raw_text(n).strip(chr(10))}\n```\n\n"
         if n.tag in ("ul", "ol"):
             items = [c for c in n.children if isinstance(c, Node) and c.tag == "li"]
             marks = ("- " if n.tag == "ul" else f"{k}. " for k in range(1, len(items) + 1))

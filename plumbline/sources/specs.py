@@ -194,6 +194,11 @@ class Sdl:
         self.k += 1
         return self.tokens[self.k - 1][1]
 
+    def name(self) -> str:
+        if self.k >= len(self.tokens) or self.tokens[self.k][0] != "name":
+            raise BadInput(f"Invalid GraphQL SDL: expected a name, found {self.peek() or 'the end'}")
+        return self.take()
+
     def described(self) -> str | None:
         if self.k < len(self.tokens) and self.tokens[self.k][0] in ("block", "text"):
             raw = self.take()
@@ -201,7 +206,7 @@ class Sdl:
         return None
 
     def type_text(self) -> str:
-        out = f"[{self.type_text()}" + self.take("]") if self.peek() == "[" and self.take("[") else self.take()
+        out = f"[{self.type_text()}" + self.take("]") if self.peek() == "[" and self.take("[") else self.name()
         return out + (self.take("!") if self.peek() == "!" else "")
 
     def value(self) -> None:
@@ -271,7 +276,7 @@ class Sdl:
                 while self.k < len(self.tokens) and (self.peek() == "|" or re.fullmatch("[A-Z_]+", self.peek())):
                     self.take()
                 continue
-            name = self.take()
+            name = self.name()
             if self.peek() == "implements":
                 self.take()
                 while self.peek() == "&" or self.tokens[self.k][0] == "name":
@@ -300,7 +305,7 @@ class Sdl:
         self.take("{")
         while self.peek() != "}":
             about = self.described()
-            name = self.take()
+            name = self.name()
             if word == "enum":
                 self.directives()
                 out.append((name, "enum_value", [], None))

@@ -13,6 +13,7 @@ import sqlite3
 import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 from pathlib import Path
 from xml.etree import ElementTree as ET
 
@@ -170,16 +171,19 @@ class SqliteSource(DataSource):
     def _target(self) -> str:
         if query := self.options.get("query"):
             check_select(query)
-            return f"({query.strip().removesuffix(';')})"
+            return query.strip().removesuffix(";")
+        return "SELECT * FROM " + self._table()
+
+    def _table(self) -> str:
         return '"' + self.options["table"].replace('"', '""') + '"'
 
     def schema(self) -> T.StructType:
         with connect(self.options["path"]) as db:
-            names = [d[0] for d in db.execute(f"SELECT * FROM {self._target()} LIMIT 0").description]
+            names = [d[0] for d in db.execute(self._target()).description]
         return T.StructType([T.StructField("row_id", T.LongType()), *(T.StructField(n, T.StringType()) for n in unique(names))])
 
     def reader(self, schema: T.StructType) -> SqliteReader:
-        return SqliteReader(self.options, self._target())
+        return SqliteReader(self.options, self._target(), None if self.options.get("query") else self._table())
 
 
 @dataclass
@@ -190,33 +194,31 @@ class RowidRange(InputPartition):
 
 
 class SqliteReader(DataSourceReader):
-    def __init__(self, options: dict[str, str], target: str):
-        self.path, self.target, self.limit = options["path"], target, options.get("limit")
+    def __init__(self, options: dict[str, str], select: str, table: str | None):
+        self.path, self.select, self.table, self.limit = options["path"], select, table, options.get("limit")
         self.parts = int(options.get("numpartitions", options.get("numPartitions", "1")))
-        self.is_query = "query" in options
 
     def partitions(self) -> list[RowidRange]:
-        if self.is_query or self.parts <= 1:
+        if self.table is None or self.parts <= 1:
             return [RowidRange(None, None, 0)]
         with connect(self.path) as db:
             try:
-                low, high = db.execute(f"SELECT min(rowid), max(rowid) FROM {self.target}").fetchone()
+                low, high = db.execute(f"SELECT min(rowid), max(rowid) FROM {self.table}").fetchone()
             except sqlite3.Error:  # a table without rowid
                 return [RowidRange(None, None, 0)]
             if low is None:
                 return [RowidRange(None, None, 0)]
             step, out, before = max(1, -(-(high - low + 1) // self.parts)), [], 0
             for start in range(low, high + 1, step):
-                n = db.execute(f"SELECT count(*) FROM {self.target} WHERE rowid >= ? AND rowid < ?", (start, start + step)).fetchone()[0]
+                n = db.execute(f"SELECT count(*) FROM {self.table} WHERE rowid >= ? AND rowid < ?", (start, start + step)).fetchone()[0]
                 out.append(RowidRange(start, start + step, before))
                 before += n
             return out
 
     def read(self, part: RowidRange) -> Iterator[tuple]:
         where = "" if part.low is None else f" WHERE rowid >= {part.low} AND rowid < {part.high} ORDER BY rowid"
-        limit = f" LIMIT {int(self.limit)}" if self.limit else ""
         with connect(self.path) as db:
-            for k, row in enumerate(db.execute(f"SELECT * FROM {self.target}{where}{limit}"), part.before + 1):
+            for k, row in enumerate(islice(db.execute(self.select + where), int(self.limit) if self.limit else None), part.before + 1):
                 yield (k, *(None if v is None else v.decode("utf-8", "replace") if isinstance(v, bytes) else str(v) for v in row))
 
 
