@@ -30,7 +30,7 @@ from .wordbpe import WordBPE, load
 #: Ids of a sequence, sequences of a record batch.
 LENGTH, ROWS = 1024, 256
 #: Characters that are encoded at once, and chunks and pre-tokens whose ids a worker remembers; neither changes a result.
-AT_ONCE, REMEMBERED = 4_000_000, 1_200_000
+AT_ONCE, REMEMBERED = 2_000_000, 500_000
 
 
 def runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
