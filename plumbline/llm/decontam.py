@@ -202,3 +202,18 @@ def without_contained(docs: DataFrame, text: str, items: DataFrame, item_id: str
 
         out = out.mapInArrow(run, kinds)
     return out
+
+
+_WORDS = r"regexp_extract_all(lower(text), '[^\x00-/:-`{-\x7f]+')"
+_RUNS = "list_transform(range(1, greatest(len(w) - n + 1, 1) + 1), lambda i: array_to_string(w[i : i + n - 1], ' '))"
+ORACLE = f"""
+WITH b AS (SELECT DISTINCT item_id, text FROM benchmark),
+i AS (SELECT item_id, text, w, least(5, len(w)) AS n FROM (SELECT *, {_WORDS} AS w FROM b) WHERE len(w) > 0),
+s AS (SELECT item_id, text, n, unnest(list_distinct({_RUNS})) AS g FROM i),
+z AS (SELECT item_id, text, count(*) AS n_shingles FROM s GROUP BY 1, 2),
+d AS (SELECT doc_id, n, {_RUNS} AS gs FROM (SELECT doc_id, {_WORDS} AS w FROM documents) CROSS JOIN (SELECT DISTINCT n FROM i) WHERE len(w) > 0),
+e AS (SELECT doc_id, n, unnest(list_distinct(gs)) AS g FROM d),
+m AS (SELECT e.doc_id, s.item_id, s.text, count(*) AS n_common FROM e JOIN s ON e.n = s.n AND e.g = s.g GROUP BY 1, 2, 3)
+SELECT m.doc_id, m.item_id, m.n_common, z.n_shingles, m.n_common / z.n_shingles AS containment
+FROM m JOIN z ON m.item_id = z.item_id AND m.text = z.text WHERE m.n_common >= 0.8 * z.n_shingles - 1e-9
+"""

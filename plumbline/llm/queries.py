@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import merkle, secrets
+from . import decontam, merkle, secrets, sharding, warc
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
@@ -105,4 +105,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_merkle_fingerprints": merkle.ORACLE, "op4_linked_secrets": secrets.ORACLE}
+    return {
+        "op2_merkle_fingerprints": merkle.ORACLE,
+        "op4_linked_secrets": secrets.ORACLE,
+        "op6_jump_shards": sharding.ORACLE,
+        "op8_warc_round_trip": warc.ORACLE,
+        "op10_benchmark_containment": decontam.ORACLE,
+    }

@@ -73,3 +73,29 @@ def shard_layout(df: DataFrame, key: str, text: str, n_shards: int) -> DataFrame
 def write_shards(df: DataFrame, key: str, n_shards: int, path: str) -> None:
     """Write df as Parquet, one folder shard=N for each shard."""
     assign_shards(df, key, n_shards).write.partitionBy("shard").parquet(path)
+
+
+# DuckDB has no CRC-32: its table is made from the polynomial, then folded over each text's bytes.
+_TABLE = (
+    "list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], "
+    "lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))"
+)
+_CRC = (
+    "list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, 2 * strlen(t), 2), lambda k: ('0x' || substr(x, k, 2))::BIGINT)), "
+    "lambda c, v: xor(c >> 8, tab[1 + (xor(c, v) & 255)]))"
+)
+ORACLE = f"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS t, hex(encode(coalesce(text, ''))) AS x FROM documents),
+j(doc_id, n, state, shard, jump) AS (
+  SELECT doc_id, n, (doc_id::HUGEINT + 18446744073709551616) % 18446744073709551616, -1::BIGINT, 0::BIGINT FROM d CROSS JOIN (VALUES (16), (17)) AS s(n)
+  UNION ALL
+  SELECT doc_id, n, state, jump, floor((jump + 1) * ({JUMP_RANGE}::DOUBLE / ((state // 8589934592)::DOUBLE + 1)))::BIGINT FROM (
+    SELECT doc_id, n, (state * {JUMP_MULTIPLIER} + 1) % 18446744073709551616 AS state, jump FROM j WHERE jump < n)
+), s AS (
+  SELECT doc_id, max(shard) FILTER (n = 16) AS shard, max(shard) FILTER (n = 17) AS grown_shard FROM j GROUP BY 1
+), c AS (
+  SELECT doc_id, (strlen(t) + 1)::BIGINT AS size, xor({_CRC}, 4294967295) AS text_crc32 FROM d CROSS JOIN (SELECT {_TABLE} AS tab)
+)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard::INT AS shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, grown_shard::INT AS grown_shard
+FROM c JOIN s USING (doc_id)
+"""
