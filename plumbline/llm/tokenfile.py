@@ -29,6 +29,8 @@ from .wordbpe import WordBPE, load
 
 #: Ids of a sequence, sequences of a record batch.
 LENGTH, ROWS = 1024, 256
+#: Pre-tokens in one call of the library, whose working memory is a hundred times their text.
+TOGETHER = 3000
 #: Characters that are encoded at once, and chunks and pre-tokens whose ids a worker remembers; neither changes a result.
 AT_ONCE, REMEMBERED = 2_000_000, 500_000
 
@@ -95,10 +97,12 @@ class Encoder:
         new = [c for c in chunks if c not in known]
         mixed = [c for c in new if not c.isalpha()]
         parts = [self.bpe.words(c) for c in mixed]
-        words = {c for c in new if c.isalpha()}
-        words.update(w for w in set(chain.from_iterable(parts)) if w not in known)
-        if words:
-            # one text of all new pre-tokens, blanks between; each one's ids end at a symbol with the word end
+        every = {c for c in new if c.isalpha()}
+        every.update(w for w in set(chain.from_iterable(parts)) if w not in known)
+        every = list(every)
+        for at in range(0, len(every), TOGETHER):
+            # one text of new pre-tokens, blanks between; each one's ids end at a symbol with the word end
+            words = every[at : at + TOGETHER]
             encoded = self.bpe.library.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0]
             ids = np.array(encoded.ids, self.kind)
             stops = (np.flatnonzero(self.ends[ids]) + 1) * self.kind.itemsize

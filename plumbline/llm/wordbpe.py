@@ -7,6 +7,7 @@ by one regular expression; any other text goes through the library's own normali
 from __future__ import annotations
 
 import json
+import os
 from functools import lru_cache
 
 import regex
@@ -25,6 +26,7 @@ class WordBPE:
     """A loaded vocabulary file: the library's tokenizer and what the array merging needs of it."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
