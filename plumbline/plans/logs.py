@@ -95,7 +95,7 @@ def log_parse_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs.parse_lines(lines, "json_lines").select("line_number", "level", "message", "category", "timestamp")
 
 
-@query("SELECT * FROM (VALUES ('json', 'json_lines', 1.0), ('plain', 'generic', 0.1), ('python', 'python_logging', 1.0), ('train', 'training', 1.0), ('web', 'webserver', 1.0)) AS t(source, log_format, score)")
+@query("SELECT * FROM (VALUES ('json', 'json_lines', 1.0::DOUBLE), ('plain', 'generic', 0.1::DOUBLE), ('python', 'python_logging', 1.0::DOUBLE), ('train', 'training', 1.0::DOUBLE), ('web', 'webserver', 1.0::DOUBLE)) AS t(source, log_format, score)")
 def log_detect_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = events(spark, sf_dir)
     number = F.col("event_id") + 1
