@@ -44,6 +44,8 @@ EXCEPTION = r"^([A-Z][a-zA-Z]+(Error|Exception|Warning|Interrupt|Exit|KeyboardIn
 #: Formats in the order in which equal scores are decided.
 FORMATS = ("pytest", "python_logging", "training", "json_lines", "webserver", "generic")
 PROTECTED = ("error", "traceback")
+#: Lines of a source that are sorted together where its lines are counted.
+BLOCK = 1 << 17
 
 
 def _line(level: Column, timestamp: Column, message: Column, category: Column, source: Column) -> Column:
@@ -191,26 +193,33 @@ def parse_lines(lines: DataFrame, log_format: str) -> DataFrame:
     return lines.withColumn("_p", PARSERS[log_format](F.col("raw"))).select(*lines.columns, "_p.*")
 
 
+def running_count(lines: DataFrame, flag: Column, into: str) -> DataFrame:
+    """lines with the number of lines of the source up to and with each for which flag holds.
+
+    Counts of blocks of lines come first, then counts within a block, so that no task sorts more than a
+    block of a long log.
+    """
+    own = lines.withColumns({"_flag": F.coalesce(flag, F.lit(False)).cast("long"), "_part": F.floor(F.col("line_number") / BLOCK)})
+    totals = own.groupBy("source", "_part").agg(F.sum("_flag").alias("_n"))
+    earlier = Window.partitionBy("source").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    base = totals.select("source", "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"))
+    within = Window.partitionBy("source", "_part").orderBy("line_number")
+    counted = own.join(base, ["source", "_part"]).withColumn(into, F.col("_base") + F.sum("_flag").over(within))
+    return counted.select(*lines.columns, into)
+
+
 def suppressed_lines(parsed: DataFrame, threshold: int = 3, window: int = 100) -> DataFrame:
     """parsed lines with key and suppressed: a line whose key has come more than `threshold` times in the last
     `window` lines that aren't errors or tracebacks (it included). Those two are never suppressed.
 
-    A source's lines are numbered in two steps: counts of blocks of lines first, then places within a
-    block, so that no task holds more than a block of a long log in one order; then a key's lines look
-    back over a range of places.
+    A source's lines are numbered without sorting it as a whole (see running_count); then a key's lines
+    look back over a range of places.
     """
-    block = 1 << 17
     plain = ~F.col("category").isin(*PROTECTED)
-    own = parsed.withColumns({"key": F.when(plain, log_key(F.col("message"))), "_block": F.floor(F.col("line_number") / block)})
-    counts = own.where(plain).groupBy("source", "_block").agg(F.count(F.lit(1)).alias("_n"))
-    earlier = Window.partitionBy("source").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select("source", "_block", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"))
-    own = own.join(counts, ["source", "_block"], "left")
-    within = Window.partitionBy("source", "_block").orderBy("line_number")
-    own = own.withColumn("_seq", F.col("_base") + F.sum(plain.cast("long")).over(within))
+    own = running_count(parsed.withColumn("key", F.when(plain, log_key(F.col("message")))), F.col("key").isNotNull(), "_seq")
     back = Window.partitionBy("source", "key").orderBy("_seq").rangeBetween(-(window - 1), 0)
     often = F.col("key").isNotNull() & (F.count("key").over(back) > threshold)
-    return own.withColumn("suppressed", often).drop("_block", "_base", "_seq")
+    return own.withColumn("suppressed", often).drop("_seq")
 
 
 def repeat_groups(marked: DataFrame, threshold: int = 3) -> DataFrame:
@@ -253,8 +262,7 @@ def tracebacks(lines: DataFrame, max_frames: int = 5) -> DataFrame:
     s = stripped(F.col("raw"))
     start = s.rlike(START)
     own = lines.select("source", "line_number", "raw", s.alias("_s"), start.alias("_start"))
-    run = Window.partitionBy("source").orderBy("line_number")
-    own = own.withColumn("_block", F.sum(F.col("_start").cast("long")).over(run)).where(F.col("_block") > 0)
+    own = running_count(own, F.col("_start"), "_block").where(F.col("_block") > 0)
     frame = F.col("raw").rlike(FRAME)
     ends = F.when(~F.col("_start") & F.col("_s").rlike(EXCEPTION) & ~frame, F.col("line_number"))
     blank = F.when(F.col("_s") == "", F.col("line_number"))
