@@ -24,8 +24,8 @@ SLOTS, PIECES = 256, 4
 EPOCHS, BATCH, RATE = 12, 128, 0.01
 #: Weight of the padding after a text's end; no filter prefers it to a response of zero.
 PADDING = -1e4
-#: Windows that are pooled together.
-AT_ONCE = 256
+#: Windows that are pooled together, and texts that are taken from a batch at a time.
+AT_ONCE, ROWS = 256, 500
 _letter = regex.compile(r"\p{L}")
 
 
@@ -133,6 +133,14 @@ class ReadyNet:
             out.append(softmax(np.concatenate(pooled, axis=1) @ self.net.dense + self.net.bias))
         return np.concatenate(out) if out else np.zeros((0, len(self.net.languages)), np.float32)
 
+    def predict_all(self, texts: pa.Array) -> tuple[list[str], list[float]]:
+        """predict() of an Arrow array, ROWS texts at a time, so that few are held twice."""
+        names, scores = [], []
+        for at in range(0, len(texts), ROWS):
+            some, sure = self.predict(texts.slice(at, ROWS).to_pylist())
+            names, scores = names + some, scores + sure
+        return names, scores
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """Language and score of whole texts: the windows' probabilities, averaged by their bytes."""
         names, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
@@ -215,7 +223,7 @@ def identify(df: DataFrame, net: ByteNet, text: str, keep: list[str], lang_pred:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ready = shared.value.ready()
         for batch in batches:
-            names, scores = ready.predict(batch.column(len(keep)).to_pylist())
+            names, scores = ready.predict_all(batch.column(len(keep)))
             arrays = [*batch.columns[: len(keep)], pa.array(names, pa.string()), pa.array(scores, pa.float64())]
             yield pa.RecordBatch.from_arrays(arrays, names=[*keep, lang_pred, score])
 
@@ -244,7 +252,7 @@ def accept(df: DataFrame, doc_id: str, text: str, lang: str, least: float = 0.35
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ready = shared.value.ready()
         for batch in batches:
-            found, scores = ready.predict(batch.column(names.index(text)).to_pylist())
+            found, scores = ready.predict_all(batch.column(names.index(text)))
             yield batch.filter(pa.array([n != UNDETERMINED and s >= least for n, s in zip(found, scores)], pa.bool_()))
 
     return df.mapInArrow(run, df.schema)

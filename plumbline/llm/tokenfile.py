@@ -32,7 +32,7 @@ LENGTH, ROWS = 1024, 256
 #: Pre-tokens in one call of the library, whose working memory is a hundred times their text.
 TOGETHER = 3000
 #: Characters that are encoded at once, and chunks and pre-tokens whose ids a worker remembers; neither changes a result.
-AT_ONCE, REMEMBERED = 2_000_000, 500_000
+AT_ONCE, REMEMBERED = 2_000_000, 400_000
 
 
 def runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -56,6 +56,7 @@ class Encoder:
         self.ends = np.zeros(top + 1, bool)
         self.ends[[i for w, i in names.items() if w.endswith(self.bpe.end)]] = True
         self.end_id = end_id
+        self.elder: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}  # of chunks and of pre-tokens, which may be whole chunks
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -90,11 +91,13 @@ class Encoder:
 
     def _learn(self, chunks: list[str]) -> None:
         """Put all chunks into self.known, encoding pre-tokens that aren't."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known = self.known
+        if len(self.known) > REMEMBERED // 2:
+            self.known, self.elder = {}, self.known  # what is still in use comes back from the elder half
+        known, elder = self.known, self.elder
         known[""] = b""
         new = [c for c in chunks if c not in known]
+        known.update([(c, elder[c]) for c in new if c in elder])
+        new = [c for c in new if c not in known]
         mixed = [c for c in new if not c.isalpha()]
         parts = [self.bpe.words(c) for c in mixed]
         every = {c for c in new if c.isalpha()}
