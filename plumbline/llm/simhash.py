@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,13 +12,17 @@ from xxhash import xxh64_intdigest
 
 from .common import settle
 from .components import star_components
-from .vptree import TopTree, near_pairs
+from .vptree import TopTree, forest, near_pairs
 
 SEED = 42
 #: Fingerprints that the upper tree is fitted on (8 bytes each, on the driver), and those aimed at in a shard.
 SAMPLE, SHARD = 65_536, 4096
 #: Bytes of text whose shingles are hashed together.
 AT_ONCE = 1 << 20
+#: Shingles of a block on average, blocks by which a text meets others, and texts beyond which a block is a common one.
+BLOCK, BLOCKS, COMMON = 12, 12, 4096
+#: 64-bit words of a wide fingerprint, by which texts that share a block are compared.
+WIDE = 8
 
 # eight counters in a 64-bit word: a byte's bits spread out, lowest first
 _spread = np.array([sum((b >> k & 1) << (8 * k) for k in range(8)) for b in range(256)], np.uint64)
@@ -62,6 +66,42 @@ def majorities(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
+def wide_prints(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """WIDE fingerprints of each run of hashes, [run, word]: of the hashes, then of other mixes of them."""
+    out = [majorities(hashes, sizes)]
+    for k in range(1, WIDE):
+        h = hashes + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        out.append(majorities(h ^ (h >> np.uint64(31)), sizes))
+    return np.stack(out, axis=1) if len(sizes) else np.zeros((0, WIDE), np.uint64)
+
+
+def wide_bound(similarity: float) -> int:
+    """Bits of a wide fingerprint that differ between texts of a Jaccard similarity, and half a standard deviation more.
+
+    Sets of equal size with Jaccard index s have a cosine of 2s / (1 + s), and a bit differs with the
+    angle's share of a half turn.
+    """
+    share = np.arccos(min(1.0, 2 * similarity / (1 + similarity))) / np.pi
+    bits = 64 * WIDE
+    return int(bits * share + 0.5 * np.sqrt(bits * share * (1 - share)))
+
+
+def wide_pairs(points: np.ndarray, bound: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges between points [n, word] that differ in at most `bound` bits: a star for each group under all of them."""
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for at in range(0, len(points), 256):
+        apart = np.zeros((min(256, len(points) - at), len(points)), np.uint16)
+        for k in range(points.shape[1]):
+            apart += np.bitwise_count(points[at : at + 256, k, None] ^ points[None, :, k])
+        i, j = np.nonzero(apart <= bound)
+        found.append((i[j > i + at] + at, j[j > i + at]))
+    label = forest(len(points), *(np.concatenate(x) for x in zip(*found)))
+    i = np.flatnonzero(label != np.arange(len(points)))
+    return i, label[i]
+
+
 def fingerprints(df: DataFrame, text: str, keep: list[str], words: int = 3) -> DataFrame:
     """Columns `keep` and _fp, the text's fingerprint as a signed 64-bit number; a null text or one without words: 0."""
 
@@ -117,12 +157,19 @@ def group_by_fingerprint(prints: DataFrame, doc_id: str, radius: int = 2) -> Dat
     fingerprints are one node, however many rows have them. Every row stays, repeated ones too.
     """
     classes = settle(prints.groupBy("_fp").agg(F.min(doc_id).alias("_least")), "classes")
-    edges = linked(classes, radius)
-    stars = star_components(edges).select(F.col("u").alias("_fp"), F.col("v").alias("_root"))
-    rooted = classes.join(stars, "_fp", "left").withColumn("_root", F.coalesce("_root", "_fp"))
+    return grouped_by(prints, doc_id, "_fp", classes, linked(classes, radius))
+
+
+def grouped_by(prints: DataFrame, doc_id: str, node: str, classes: DataFrame, edges: DataFrame) -> DataFrame:
+    """doc_id, node, component_id and _root of each row, for edges u, v between nodes.
+
+    classes has a row for each node, with the least doc_id of its rows as _least.
+    """
+    stars = star_components(edges).select(F.col("u").alias(node), F.col("v").alias("_root"))
+    rooted = classes.select(node, "_least").join(stars, node, "left").withColumn("_root", F.coalesce("_root", node))
     least = rooted.groupBy("_root").agg(F.min("_least").alias("component_id"))
-    named = rooted.select("_fp", "_root").join(least, "_root").select("_fp", "_root", "component_id")
-    return prints.join(named, "_fp").select(doc_id, "_fp", "component_id", "_root")
+    named = rooted.select(node, "_root").join(least, "_root").select(node, "_root", "component_id")
+    return prints.join(named, node).select(doc_id, node, "component_id", "_root")
 
 
 def near_duplicates(df: DataFrame, doc_id: str, text: str, words: int = 3, radius: int = 2) -> DataFrame:
@@ -136,6 +183,110 @@ def near_duplicates(df: DataFrame, doc_id: str, text: str, words: int = 3, radiu
     return grouped.select(doc_id, F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def block_prints(df: DataFrame, text: str, keep: list[str], words: int = 5) -> DataFrame:
+    """Columns `keep`, _words (a hash of the words in order), _fp, _wide and _blocks of each text.
+
+    A text's shingles are cut into blocks after each whose hash is a multiple of BLOCK, so that an edit
+    changes the blocks around it only. _blocks are the fingerprints of blocks, of many the BLOCKS whose
+    bits, mixed, make the least numbers: near copies choose the same ones.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(len(keep))
+            names, prints, offsets, blocks = [], [], [np.zeros(1, np.int32)], []
+            step = max(1, AT_ONCE * batch.num_rows // max(1, texts.nbytes))
+            for at in range(0, batch.num_rows, step):
+                raw = [t or b"" for t in texts.slice(at, step).to_pylist()]
+                lists = [shingle_hashes(t, words) for t in raw]
+                names += [xxh64_intdigest(b" ".join(t.lower().split()), SEED) for t in raw]
+                sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+                hashes = np.fromiter((h for x in lists for h in x), np.uint64, int(sizes.sum()))
+                prints.append(wide_prints(hashes, sizes))
+                owner, found = chosen_blocks(hashes, sizes)
+                blocks.append(found)
+                offsets.append(offsets[-1][-1] + np.cumsum(np.bincount(owner, minlength=len(lists))).astype(np.int32))
+            signed = lambda x: pa.array(np.asarray(x, np.uint64).view(np.int64))
+            none = np.zeros(0, np.uint64)
+            own = pa.ListArray.from_arrays(pa.array(np.concatenate(offsets)), signed(np.concatenate([none, *blocks])))
+            wide = np.concatenate([np.zeros((0, WIDE), np.uint64), *prints])
+            rows = pa.array([r.tobytes() for r in wide], pa.binary())
+            arrays = [*batch.columns[: len(keep)], signed(names), signed(wide[:, 0].copy()), rows, own]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*keep, "_words", "_fp", "_wide", "_blocks"])
+
+    narrow = df.select(*keep, F.col(text).cast("binary").alias("_text"))
+    kinds = ", ".join(f"`{c}` {narrow.schema[c].dataType.simpleString()}" for c in keep)
+    return narrow.mapInArrow(run, f"{kinds}, _words long, _fp long, _wide binary, _blocks array<long>")
+
+
+def chosen_blocks(hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Owner (place of the text) and fingerprint of each chosen block, by owner."""
+    ends = np.cumsum(sizes)
+    cut = hashes % np.uint64(BLOCK) == 0
+    cut[ends[sizes > 0] - 1] = True
+    stops = np.flatnonzero(cut) + 1
+    own = majorities(hashes, np.diff(np.r_[0, stops]))
+    owner = np.searchsorted(ends, stops - 1, side="right")
+    mixed = own * np.uint64(0x9E3779B97F4A7C15)
+    order = np.lexsort((own, mixed ^ (mixed >> np.uint64(29)), owner))
+    owner, own = owner[order], own[order]
+    fresh = np.r_[True, (np.diff(owner) != 0) | (own[1:] != own[:-1])] if len(own) else np.zeros(0, bool)
+    owner, own = owner[fresh], own[fresh]
+    first = np.searchsorted(owner, owner)
+    few = np.arange(len(owner)) - first < BLOCKS
+    return owner[few], own[few]
+
+
+def similar(classes: DataFrame, similarity: float) -> DataFrame:
+    """Edges u, v between different texts (_words) that share a block and are as similar by their wide fingerprints.
+
+    classes has _words, _wide, _blocks. Texts meet by block; all pairs of a block's texts are compared,
+    but only a star of each group within it leaves the task. Blocks in over COMMON texts are passages
+    that many texts share; texts meet by their other blocks. Texts all of whose blocks are so common
+    meet by the whole list of them.
+    """
+    bound = wide_bound(similarity)
+    each = classes.select("_words", "_wide", F.explode("_blocks").alias("_block"))
+    common = settle(each.groupBy("_block").count().where(F.col("count") > COMMON).select("_block"), "common")
+    rare = each.join(common, "_block", "left_anti")
+
+    def search(group: pa.Table) -> pa.Table:
+        own = np.frombuffer(b"".join(group.column("_wide").to_pylist()), np.uint64).reshape(-1, WIDE)
+        name = group.column("_words").to_numpy()
+        a, b = wide_pairs(own, bound)
+        return pa.table({"u": pa.array(name[a]), "v": pa.array(name[b])})
+
+    met = rare.groupBy("_block").applyInArrow(search, "u long, v long")
+    if not common.limit(1).count():
+        return met
+    rest = classes.where(F.size("_blocks") > 0).join(rare.select("_words").distinct(), "_words", "left_anti")
+    least = rest.groupBy("_blocks").agg(F.min("_words").alias("v"))
+    return met.unionByName(rest.join(least, "_blocks").select(F.col("_words").alias("u"), "v"))
+
+
+def keep_one_of_similar(df: DataFrame, doc_id: str, text: str, words: int = 5, similarity: float = 0.8, radius: int = 2) -> DataFrame:
+    """df with one row of each group of near copies: that with the smallest id. All columns stay.
+
+    Texts with the same words are copies. Different ones are linked if their fingerprints (SimHash of
+    `words`-word shingles) differ in `radius` bits at most, which the trees find whatever else they
+    share, or if they share a block of shingles and their wide fingerprints tell a Jaccard index of
+    `similarity` (within some 0.03). Groups are closed under links. A row without an id stays only if no row of its group has one; of rows that share an id
+    and their words one stays.
+    """
+    prints = settle(block_prints(df, text, [doc_id], words), "blocks")
+    classes = prints.groupBy("_words").agg(F.min(doc_id).alias("_least"), F.max("_fp").alias("_fp"), F.max("_wide").alias("_wide"), F.max("_blocks").alias("_blocks"))
+    classes = settle(classes, "classes")
+    # texts whose fingerprints are equal or within the radius, as edges between their least names
+    named = settle(classes.groupBy("_fp").agg(F.min("_words").alias("_name")), "names")
+    close = linked(named, radius)
+    u, v = named.select(F.col("_fp").alias("u"), F.col("_name").alias("a")), named.select(F.col("_fp").alias("v"), F.col("_name").alias("b"))
+    close = close.join(u, "u").join(v, "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    equal = classes.select("_words", "_fp").join(named, "_fp").where(F.col("_words") != F.col("_name")).select(F.col("_words").alias("u"), F.col("_name").alias("v"))
+    edges = close.unionByName(equal).unionByName(similar(classes, similarity))
+    grouped = grouped_by(prints.select(doc_id, "_words"), doc_id, "_words", classes, edges)
+    return _one_of_each(df, doc_id, text, prints.select(doc_id), grouped, "_words", lambda x: block_prints(x, "_body", ["_whole", "_id"], words))
+
+
 def keep_one(df: DataFrame, doc_id: str, text: str, words: int = 3, radius: int = 2) -> DataFrame:
     """df with one row of each group of near duplicates: that with the smallest id. All columns stay.
 
@@ -144,14 +295,19 @@ def keep_one(df: DataFrame, doc_id: str, text: str, words: int = 3, radius: int
     """
     prints = settle(fingerprints(df, text, [doc_id], words), "fingerprints")
     grouped = group_by_fingerprint(prints, doc_id, radius)
-    repeated = prints.groupBy(doc_id).count().where(F.col(doc_id).isNull() | (F.col("count") > 1))
+    return _one_of_each(df, doc_id, text, prints, grouped, "_fp", lambda x: fingerprints(x, "_body", ["_whole", "_id"], words))
+
+
+def _one_of_each(df: DataFrame, doc_id: str, text: str, ids: DataFrame, grouped: DataFrame, node: str, tag: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """One row of each group: by id where ids are unique, else by id and node, with which `tag` marks rows again."""
+    repeated = ids.groupBy(doc_id).count().where(F.col(doc_id).isNull() | (F.col("count") > 1))
     if not repeated.limit(1).count():
         kept = settle(grouped.where(F.col(doc_id) == F.col("component_id")).select(F.col(doc_id).alias("_kept")), "kept")
         # sorted and merged at every size: the ids to keep are as many as the documents, never a table to broadcast
         return df.join(kept.hint("merge"), F.col(doc_id) == F.col("_kept"), "left_semi")
-    first = F.min(F.struct(F.col(doc_id).isNull(), F.col(doc_id).alias("_kept"), F.col("_fp").alias("_print")))
-    kept = settle(grouped.groupBy("_root").agg(first.alias("_row")).select("_row._kept", "_row._print"), "kept")
+    first = F.min(F.struct(F.col(doc_id).isNull(), F.col(doc_id).alias("_kept"), F.col(node).alias("_node")))
+    kept = settle(grouped.groupBy("_root").agg(first.alias("_row")).select("_row._kept", "_row._node"), "kept")
     held = df.select(F.struct(*df.columns).alias("_whole"), F.col(doc_id).alias("_id"), F.col(text).alias("_body"))
-    tagged = fingerprints(held, "_body", ["_whole", "_id"], words)
-    same = F.col("_id").eqNullSafe(F.col("_kept")) & (F.col("_fp") == F.col("_print"))
-    return tagged.join(kept.hint("merge"), same, "left_semi").dropDuplicates(["_id", "_fp"]).select("_whole.*")
+    tagged = tag(held)
+    same = F.col("_id").eqNullSafe(F.col("_kept")) & (F.col(node) == F.col("_node"))
+    return tagged.join(kept.hint("merge"), same, "left_semi").dropDuplicates(["_id", node]).select("_whole.*")

@@ -16,6 +16,8 @@ import numpy as np
 #: Fingerprints up to which all pairs of a branch are compared, and the most that are compared so where no
 #: vantage point divides a branch; beyond, each fingerprint's neighbours are looked up one by one.
 BRUTE, DENSE = 384, 60_000
+#: The largest radius for which neighbours are looked up.
+LOOK_UP = 3
 #: A branch must leave out at least this share of its parent.
 LEAVES_OUT = 0.08
 TRIES = 4
@@ -125,7 +127,7 @@ def near_pairs(points: np.ndarray, radius: int, seed: int = 11) -> tuple[np.ndar
         if cut is not None:
             d = distances(own, cut[0])
             todo += [members[d <= cut[1] + radius], members[d > cut[1]]]
-        elif len(members) <= DENSE:
+        elif len(members) <= DENSE or radius > LOOK_UP:
             step = max(1, 2_000_000 // max(1, len(members)))
             for k in range(0, len(members), step):
                 i, j = np.nonzero(distances(own[k : k + step, None], own[None, :]) <= radius)
