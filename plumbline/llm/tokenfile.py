@@ -32,7 +32,7 @@ LENGTH, ROWS = 1024, 256
 #: Pre-tokens in one call of the library, whose working memory is a hundred times their text.
 TOGETHER = 3000
 #: Characters that are encoded at once, and chunks and pre-tokens whose ids a worker remembers; neither changes a result.
-AT_ONCE, REMEMBERED = 2_000_000, 400_000
+AT_ONCE, REMEMBERED = 4_000_000, 900_000
 
 
 def runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
