@@ -14,7 +14,7 @@ from plumbline.llm.decontam import without_contained
 from plumbline.llm.langid import accept
 from plumbline.llm.mixing import mix_sources
 from plumbline.llm.queries import production_mix
-from plumbline.llm.simhash import keep_one
+from plumbline.llm.simhash import keep_one_of_similar
 from plumbline.llm.tokenfile import token_files
 
 
@@ -25,7 +25,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest doc_id."""
-    return keep_one(docs, "doc_id", "text")
+    return keep_one_of_similar(docs, "doc_id", "text")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
