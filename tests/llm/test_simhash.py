@@ -1,10 +1,11 @@
 import random
 
 import numpy as np
+import pytest
 import xxhash
 
 from plumbline.llm.components import star_components
-from plumbline.llm.simhash import keep_one, majorities, near_duplicates
+from plumbline.llm.simhash import chosen_blocks, keep_one, keep_one_of_similar, majorities, near_duplicates, wide_bound, wide_pairs, wide_prints
 from plumbline.llm.vptree import TopTree, distances, forest, near_pairs
 
 from .helpers import awkward, frame
@@ -58,6 +59,80 @@ def test_one_row_of_each_group_stays(spark):
     assert keep_one(frame(spark, []), "doc_id", "text").count() == 0
 
 
+def five(text):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def brute_similar(texts, similarity):
+    """The least id of each id's group, for links between texts at least so similar."""
+    sets, least = {d: five(t) for d, t in texts.items()}, {d: d for d in texts}
+    for a in sorted(texts):
+        for b in sorted(texts):
+            if a < b and jaccard(sets[a], sets[b]) >= similarity:
+                low, high = sorted((least[a], least[b]))
+                least = {d: low if x == high else x for d, x in least.items()}
+    return least
+
+
+def near_copies(pick, n=25):
+    texts, key = {}, 0
+    for k in range(n):
+        words = [f"w{pick.randint(0, 4000)}" for _ in range(pick.randint(60, 400))]
+        for copy in range(pick.randint(1, 5)):
+            texts[key] = " ".join(words)
+            key += 1
+            words = list(words)
+            for _ in range(copy % 2 + 1):
+                words[pick.randrange(len(words))] = f"changed{pick.random()}"
+    return texts
+
+
+@pytest.mark.parametrize("common", [4096, 2])
+def test_similar_texts_keep_one(spark, monkeypatch, common):
+    import plumbline.llm.simhash as module
+
+    monkeypatch.setattr(module, "COMMON", common)
+    texts = near_copies(random.Random(9))
+    rows = [(d, t, "en", "a", 0) for d, t in texts.items()] + [(900, "One  TWO", "en", "a", 0), (901, "one two", "en", "a", 0), (902, None, "en", "a", 0), (903, " ", "en", "a", 0)]
+    got = {r.doc_id for r in keep_one_of_similar(frame(spark, rows, clash=True), "doc_id", "text").collect()}
+    sure, loose = brute_similar(texts, 0.85), brute_similar(texts, 0.72)
+    assert {900, 902} <= got and not {901, 903} & got
+    if common == 4096:
+        assert not {d for d in texts if sure[d] != d} & got  # clear copies go
+    assert {d for d in texts if loose[d] == d} <= got  # and what is like no other text stays
+
+
+def test_similar_with_repeated_and_missing_ids(spark):
+    rows = [(1, "a b c d e f g", "en", "a", 0), (1, "a b c d e f g", "en", "a", 0), (None, "a b c d e f g", "en", "a", 0), (None, "lone words here", "en", "a", 0), (1, "other text of one", "en", "a", 0)]
+    got = keep_one_of_similar(frame(spark, rows, clash=True), "doc_id", "text").collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == [(1, "a b c d e f g"), (1, "other text of one"), (None, "lone words here")]
+    assert keep_one_of_similar(frame(spark, []), "doc_id", "text").count() == 0
+
+
+def test_wide_fingerprints_tell_similarity():
+    rng = np.random.default_rng(2)
+    hashes = rng.integers(0, 2**64, 3000, dtype=np.uint64)
+    sets = [hashes[:1000], hashes[60:1060], hashes[300:1300]]  # Jaccard indexes 0.89 and 0.54 with the first
+    wide = wide_prints(np.concatenate(sets), np.array([1000, 1000, 1000, 0])[:3])
+    a, b = wide_pairs(wide, wide_bound(0.8))
+    assert list(zip(a.tolist(), b.tolist())) == [(1, 0)] and wide_bound(1.0) == 0 and wide_bound(0.5) > wide_bound(0.8)
+
+
+def test_blocks_survive_edits_elsewhere():
+    rng = np.random.default_rng(3)
+    hashes = rng.integers(0, 2**64, 400, dtype=np.uint64)
+    edited = hashes.copy()
+    edited[200:205] = rng.integers(0, 2**64, 5, dtype=np.uint64)
+    owner, found = chosen_blocks(np.concatenate([hashes, edited, hashes[:0], hashes[:1]]), np.array([400, 400, 0, 1]))
+    own = [set(found[owner == k].tolist()) for k in range(4)]
+    assert len(own[0]) == len(own[1]) == 12 and len(own[0] & own[1]) >= 8 and not own[2] and len(own[3]) == 1
+
+
 def points(n, seed=3):
     rng = np.random.default_rng(seed)
     base = rng.integers(0, 2**64, n, dtype=np.uint64, endpoint=False)
