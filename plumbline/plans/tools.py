@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..errors import BadInput, FetchError, NotFound
+from ..errors import BadInput, DigestError, FetchError, NotFound
 from ..functions import web
 from ..functions.shapes import json_digests, xml_outlines
 from ..functions.text import UNITS, age
@@ -224,6 +224,18 @@ def summarize_data(
     return render.data(d, format)
 
 
+def summarize_folder(spark: SparkSession, folder: str, globs: str = "*", recursive: bool = False, format: str = "markdown", **options) -> tuple[list[str], list[str]]:
+    """Digests of a folder's data files that match comma-separated globs and no ignore rule, and warnings of those that
+    can't be read."""
+    done, warnings = [], []
+    for path in tabular.data_files(Path(folder), globs, recursive):
+        try:
+            done.append(summarize_data(spark, str(path), format=format, **options))
+        except (DigestError, ValueError) as e:
+            warnings.append(f"{path.name}: {e}")
+    return done, warnings
+
+
 def inspect_dependencies(
     spark: SparkSession, path: str, ecosystem: str | None = None, no_dev: bool = False, direct_only: bool = False, severity: list[str] | None = None,
     latest: DataFrame | None = None, advisories: DataFrame | None = None, details: DataFrame | None = None, format: str = "markdown",

@@ -275,6 +275,8 @@ _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
 
 def excel_sheets(path: str | Path) -> list[tuple[str, list[list[str | None]]]]:
     """Names and rows of a workbook's sheets, from its zipped XML; values as they are stored."""
+    if not zipfile.is_zipfile(path):
+        raise BadInput(f"{path} is no workbook")
     with zipfile.ZipFile(path) as z:
         strings = []
         if "xl/sharedStrings.xml" in z.namelist():

@@ -7,7 +7,7 @@ from plumbline.functions.text import log_key
 from plumbline.operators import logs
 from plumbline.plans.tools import log_digest, summarize_log, summarize_logs
 from plumbline.sources.lines import lines_of, read_lines, window_of
-from plumbline.streaming.logs import suppress_repeats
+from plumbline.streaming.logs import session_counts, suppress_repeats, tail_lines, window_counts
 from pyspark.sql import functions as F
 
 
@@ -165,3 +165,23 @@ def test_stream_suppresses_as_the_batch(spark, tmp_path):
     q.awaitTermination()
     got = {r.line_number: r.suppressed for r in spark.table("quiet").collect()}
     assert [got[k] for k in range(1, 121)] == model(words) and Counter(got.values())[True] > 50
+
+
+def finished(stream, name, folder, mode="append"):
+    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{folder}/{name}").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return stream.sparkSession.table(name).collect()
+
+
+def test_streams_of_files_windows_and_sessions(spark, tmp_path):
+    (tmp_path / "logs").mkdir()
+    (tmp_path / "logs" / "a.log").write_text("one\r\ntwo\n")
+    assert sorted(r.raw for r in finished(tail_lines(spark, str(tmp_path / "logs")), "tailed", tmp_path)) == ["one", "two"]
+    rows = [("2025-01-01 00:01:00", "a"), ("2025-01-01 00:20:00", "a"), ("2025-01-01 03:00:00", "a"), ("2025-01-01 03:00:00", "b")]
+    df = spark.createDataFrame(rows, "at string, k string").select(F.to_timestamp("at").alias("at"), "k")
+    df.coalesce(1).write.parquet(str(tmp_path / "events"))
+    stream = lambda: spark.readStream.schema(df.schema).parquet(str(tmp_path / "events"))
+    got = finished(window_counts(stream(), "at", "k", "1 hour"), "windows", tmp_path, "complete")
+    assert sorted((r.start.hour, r.k, r.n) for r in got) == [(0, "a", 2), (3, "a", 1), (3, "b", 1)]
+    got = finished(session_counts(stream(), "at", "k", "30 minutes"), "sessions", tmp_path, "complete")
+    assert sorted((r.k, r.n) for r in got) == [("a", 1), ("a", 2), ("b", 1)]

@@ -7,7 +7,7 @@ import pytest
 from plumbline.errors import BadInput, NotFound
 from plumbline.operators.profile import Options, text_profile, to_cells, typed_profile
 from plumbline.plans.sqlguard import check_options, check_select, run_select
-from plumbline.plans.tools import summarize_data
+from plumbline.plans.tools import summarize_data, summarize_folder
 from plumbline.sources import tabular
 
 
@@ -197,3 +197,10 @@ def test_folder_scan_skips_ignored(tmp_path):
         (tmp_path / name).write_text("a,b\n1,2\n")
     names = lambda **k: [p.relative_to(tmp_path).as_posix() for p in tabular.data_files(tmp_path, "*.csv,*.jsonl", **k)]
     assert names() == ["a.csv", "b.jsonl"] and names(recursive=True) == ["a.csv", "b.jsonl", "sub/c.csv"]
+
+
+def test_folder_digest(spark, tmp_path, tiny_csv):
+    (tmp_path / "bad.xlsx").write_text("no workbook")
+    (tmp_path / "words").write_text("no table")
+    done, warnings = summarize_folder(spark, str(tmp_path), sample=1)
+    assert len(done) == 1 and "tiny.csv" in done[0] and len(warnings) == 2
