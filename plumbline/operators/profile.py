@@ -1,9 +1,9 @@
 """Column profiles: kinds, nulls, numbers, dates, distinct and frequent values.
 
 Typed tables take one wide aggregate whose columns become rows; untyped text goes through cells, a row
-for each value, grouped by column. Exact distinct and frequent values need a group for each value, so
-they are worked out only for columns that can have an answer: a sketch first rules out columns with
-far more values than the cap, and ranks are limited within each partition before they are shuffled.
+for each value, grouped by column. Exact distinct counts need a group for each value, so they are worked
+out only for columns that can have an answer: a sketch in the wide aggregate first rules out columns
+with far more values than the cap.
 """
 
 from __future__ import annotations
@@ -36,6 +36,9 @@ class Options:
         return replace(self, **changes)
 
 
+#: Times the cap by which a sketch's count must exceed it to rule a column out; its error is a few hundredths.
+SURE = 1.5
+WIDE = "column string, dtype string, row_count long, non_null_count long, _about long, min double, max double, mean double, std double, median double, min_date string, max_date string"
 COLUMNS = [
     "column", "dtype", "nullable", "row_count", "non_null_count", "null_count", "null_pct", "distinct_count",
     "min", "max", "mean", "std", "median", "min_date", "max_date",
@@ -64,9 +67,11 @@ def type_label(kind_: T.DataType) -> str:
 
 
 def typed_profile(df: DataFrame, options: Options = Options()) -> DataFrame:
-    """One row for each column of a typed table, columns COLUMNS; one pass, but for exact distinct counts.
+    """One row for each column of a typed table, columns COLUMNS.
 
-    NaN and blank text count as null. distinct_count is null above options.max_distinct.
+    NaN and blank text count as null. distinct_count is null above options.max_distinct. The wide
+    aggregate, a row whatever the size of the table, is computed at once; columns that its sketches
+    leave in question are then counted exactly.
     """
     names = pick_columns(df.columns, options)
     parts, schema = [], {f.name: f.dataType for f in df.schema.fields}
@@ -91,8 +96,10 @@ def typed_profile(df: DataFrame, options: Options = Options()) -> DataFrame:
             ).alias(f"_{len(parts)}")
         )
     wide = df.agg(*parts)
-    rows = wide.select(F.explode(F.array(*(F.col(f"_{k}") for k in range(len(parts))))).alias("r")).select("r.*")
-    counted = distinct_counts(df, names, options.max_distinct)
+    (row,) = wide.collect()
+    rows = df.sparkSession.createDataFrame([tuple(r) for r in row], wide.schema[0].dataType if parts else WIDE)
+    few = [r["column"] for r in row if r["_about"] is not None and r["_about"] <= SURE * options.max_distinct + 10]
+    counted = distinct_counts(df, few, options.max_distinct)
     rows = rows.join(F.broadcast(counted), "column", "left")  # a row for each column
     nulls = F.col("row_count") - F.col("non_null_count")
     low = F.when(F.col("non_null_count") == 0, F.lit(0).cast("long")).otherwise(F.col("distinct_count"))
@@ -104,13 +111,11 @@ def typed_profile(df: DataFrame, options: Options = Options()) -> DataFrame:
 def distinct_counts(df: DataFrame, names: list[str], cap: int) -> DataFrame:
     """column, distinct_count of columns with at most cap different values that aren't null.
 
-    Each partition keeps no more than cap + 1 values of a column: ranks by value are limited before the
-    shuffle, and cap + 1 different ones already tell that a column has too many.
+    Meant for columns with few values: each partition sends each of its values once.
     """
-    cells = values(df, names)
-    few = cells.groupBy("column", "value").agg(F.lit(1).alias("_one"))
-    ranked = few.withColumn("_rank", F.row_number().over(Window.partitionBy("column").orderBy("value"))).where(F.col("_rank") <= cap + 1)
-    counts = ranked.groupBy("column").agg(F.count(F.lit(1)).alias("distinct_count"))
+    if not names:
+        return df.sparkSession.createDataFrame([], "column string, distinct_count long")
+    counts = values(df, names).distinct().groupBy("column").agg(F.count(F.lit(1)).alias("distinct_count"))
     return counts.where(F.col("distinct_count") <= cap)
 
 
