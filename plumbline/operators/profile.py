@@ -182,18 +182,19 @@ def text_profile(cells: DataFrame, options: Options = Options(), row_count: int
     rows = own.groupBy("col_ord", "column").agg(
         merged_kind(F.bit_or(kind_bit(F.col("_kind")))).alias("dtype"),
         total.alias("row_count"),
-        F.count(value).alias("non_null_count"),
+        F.count(value).alias("non_null_count"), F.approx_count_distinct(value).alias("_about"),
         F.min("_num").alias("min"), F.max("_num").alias("max"), F.avg("_num").alias("mean"), F.stddev_samp("_num").alias("std"),
         (F.median("_num") if options.median else F.lit(None).cast("double")).alias("median"),
         F.min("_date").alias("min_date"), F.max("_date").alias("max_date"),
     )
-    few = own.where("_kind <> 'null'").groupBy("column", "raw").agg(F.lit(1).alias("_one"))
-    ranked = few.withColumn("_rank", F.row_number().over(Window.partitionBy("column").orderBy("raw"))).where(F.col("_rank") <= options.max_distinct + 1)
-    counts = ranked.groupBy("column").agg(F.count(F.lit(1)).alias("_n"))
+    # columns whose sketch rules out few values aren't counted further; the list has a row for each column
+    few = rows.where(F.col("_about") <= SURE * options.max_distinct + 10).select("column")
+    counted = own.where("_kind <> 'null'").join(F.broadcast(few), "column").select("column", "raw").distinct()
+    counts = counted.groupBy("column").agg(F.count(F.lit(1)).alias("_n"))
     rows = rows.join(F.broadcast(counts), "column", "left")  # a row for each column
     nulls = F.col("row_count") - F.col("non_null_count")
     pct = F.when(F.col("row_count") > 0, 100.0 * nulls / F.col("row_count")).otherwise(0.0)
-    distinct = F.when(F.col("_n").isNull(), F.lit(0).cast("long")).when(F.col("_n") <= options.max_distinct, F.col("_n"))
+    distinct = F.when(F.col("non_null_count") == 0, F.lit(0).cast("long")).when(F.col("_n") <= options.max_distinct, F.col("_n"))
     rows = rows.withColumns({"null_count": nulls, "null_pct": pct, "nullable": nulls > 0, "distinct_count": distinct})
     return rows.select("col_ord", *COLUMNS)
 
