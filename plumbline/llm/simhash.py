@@ -247,8 +247,10 @@ def similar(classes: DataFrame, similarity: float) -> DataFrame:
     """
     bound = wide_bound(similarity)
     each = classes.select("_words", "_wide", F.explode("_blocks").alias("_block"))
-    common = settle(each.groupBy("_block").count().where(F.col("count") > COMMON).select("_block"), "common")
-    rare = each.join(common, "_block", "left_anti")
+    counts = settle(each.groupBy("_block").count().where("count > 1"), "block-counts")
+    common = counts.where(F.col("count") > COMMON)
+    # most blocks are in one text only and meet nothing
+    shared = each.join(counts.where(F.col("count") <= COMMON).select("_block"), "_block", "left_semi")
 
     def search(group: pa.Table) -> pa.Table:
         own = np.frombuffer(b"".join(group.column("_wide").to_pylist()), np.uint64).reshape(-1, WIDE)
@@ -256,10 +258,11 @@ def similar(classes: DataFrame, similarity: float) -> DataFrame:
         a, b = wide_pairs(own, bound)
         return pa.table({"u": pa.array(name[a]), "v": pa.array(name[b])})
 
-    met = rare.groupBy("_block").applyInArrow(search, "u long, v long")
+    met = shared.groupBy("_block").applyInArrow(search, "u long, v long")
     if not common.limit(1).count():
         return met
-    rest = classes.where(F.size("_blocks") > 0).join(rare.select("_words").distinct(), "_words", "left_anti")
+    rare = each.join(common, "_block", "left_anti").select("_words").distinct()
+    rest = classes.where(F.size("_blocks") > 0).join(rare, "_words", "left_anti")
     least = rest.groupBy("_blocks").agg(F.min("_words").alias("v"))
     return met.unionByName(rest.join(least, "_blocks").select(F.col("_words").alias("u"), "v"))
 

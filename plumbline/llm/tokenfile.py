@@ -48,7 +48,8 @@ def runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 class Encoder:
     """The library's ids of whole texts. Distinct pre-tokens are encoded once and remembered."""
 
-    def __init__(self, path: str, end_id: int):
+    def __init__(self, path: str, end_id: int, remembered: int = REMEMBERED):
+        self.remembered = remembered
         self.bpe: WordBPE = load(path)
         names = self.bpe.library.get_vocab()
         top = max(*names.values(), end_id)
@@ -91,7 +92,7 @@ class Encoder:
 
     def _learn(self, chunks: list[str]) -> None:
         """Put all chunks into self.known, encoding pre-tokens that aren't."""
-        if len(self.known) > REMEMBERED // 2:
+        if len(self.known) > self.remembered // 2:
             self.known, self.elder = {}, self.known  # what is still in use comes back from the elder half
         known, elder = self.known, self.elder
         known[""] = b""
@@ -117,9 +118,9 @@ class Encoder:
 
 
 @lru_cache(maxsize=1)
-def encoder_of(path: str, end_id: int) -> Encoder:
+def encoder_of(path: str, end_id: int, remembered: int) -> Encoder:
     """A Python worker keeps its encoder, with what it has learned, from task to task."""
-    return Encoder(path, end_id)
+    return Encoder(path, end_id, remembered)
 
 
 class SequenceWriter:
@@ -197,7 +198,7 @@ class SequenceFile:
 
 
 def write_sequences(
-    df: DataFrame, doc_id: str, text: str, path: str, tokenizer: str, end_id: int = 1, length: int = LENGTH
+    df: DataFrame, doc_id: str, text: str, path: str, tokenizer: str, end_id: int = 1, length: int = LENGTH, remembered: int = REMEMBERED
 ) -> DataFrame:
     """Encode whole texts in ascending doc_id order and write them below path; return the settled manifest.
 
@@ -210,7 +211,7 @@ def write_sequences(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, writer, n = TaskContext.get().partitionId(), None, 0
-        uri, encoder = f"{path}/part-{place:08d}.arrow", encoder_of(tokenizer, end_id)
+        uri, encoder = f"{path}/part-{place:08d}.arrow", encoder_of(tokenizer, end_id, remembered)
         for batch in batches:
             texts = batch.column(1)
             if writer is None and batch.num_rows:
@@ -260,8 +261,8 @@ def read_documents(manifest: DataFrame, id_type: str) -> DataFrame:
     return spread.mapInArrow(run, f"doc_id {id_type}, start long, n_tokens long, ids_crc32 long")
 
 
-def token_files(df: DataFrame, doc_id: str, text: str, tokenizer: str, path: str | None = None) -> DataFrame:
+def token_files(df: DataFrame, doc_id: str, text: str, tokenizer: str, path: str | None = None, remembered: int = REMEMBERED) -> DataFrame:
     """Write all documents' ids (see write_sequences) and read them back (see read_documents)."""
     spark = df.sparkSession
-    manifest = write_sequences(df, doc_id, text, path or new_path(spark, "tokens"), tokenizer)
+    manifest = write_sequences(df, doc_id, text, path or new_path(spark, "tokens"), tokenizer, remembered=remembered)
     return read_documents(manifest, df.schema[doc_id].dataType.simpleString())
