@@ -18,6 +18,10 @@ from plumbline.llm.simhash import keep_one_of_similar
 from plumbline.llm.tokenfile import token_files
 
 
+#: Chunks whose ids a worker remembers: fewer than alone, as workers also hold what earlier stages have left.
+REMEMBERED = 300_000
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; those without a letter, or like no language learned, go."""
     return accept(docs, "doc_id", "text", "lang")
@@ -41,7 +45,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files of all that is left, read back."""
-    return token_files(docs, "doc_id", "text", public_tokenizers.path("word_bpe_49k.json"))
+    return token_files(docs, "doc_id", "text", public_tokenizers.path("word_bpe_49k.json"), remembered=REMEMBERED)
 
 
 STAGES = [
