@@ -122,13 +122,15 @@ def json_array_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def page_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = extract_pages(table(spark, sf_dir, "pages"))
+    # a page takes milliseconds to parse: a single input file is dealt out first
+    pages = extract_pages(table(spark, sf_dir, "pages").repartition(spark.sparkContext.defaultParallelism))
     return pages.select("page_id", "page.title", "page.extractor", "page.content_text", F.round("page.ratio", 3).alias("ratio"), F.size("page.warnings").alias("n_warnings"))
 
 
 @query()
 def page_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract_pages(table(spark, sf_dir, "pages")).select("page_id", "page.content_markdown")
+    pages = table(spark, sf_dir, "pages").repartition(spark.sparkContext.defaultParallelism)
+    return extract_pages(pages).select("page_id", "page.content_markdown")
 
 
 @query(
