@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -19,8 +21,10 @@ SEED = 42
 SAMPLE, SHARD = 65_536, 4096
 #: Bytes of text whose shingles are hashed together.
 AT_ONCE = 1 << 20
-#: Shingles of a block on average, blocks by which a text meets others, and texts beyond which a block is a common one.
+#: Shingles of a block on average, blocks chosen of a text, and texts of a shingle beyond which they are compared with one first.
 BLOCK, BLOCKS, COMMON = 12, 12, 4096
+#: Texts and shingles by which rare shingles are told from usual ones, rounds of comparing with one text, pairs a set is given out for.
+SAMPLED, USUAL, ROUNDS, SHARE = 16_384, 131_072, 5, 512
 #: 64-bit words of a wide fingerprint, by which texts that share a block are compared.
 WIDE = 8
 
@@ -237,57 +241,187 @@ def chosen_blocks(hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np
     return owner[few], own[few]
 
 
-def similar(classes: DataFrame, similarity: float) -> DataFrame:
-    """Edges u, v between different texts (_words) that share a block and are as similar by their wide fingerprints.
+def prefix_length(size: int, similarity: float) -> int:
+    """Leading shingles of which texts with a Jaccard index of `similarity` share one, whatever order all texts use."""
+    return size - math.ceil(similarity * size - 1e-9) + 1 if size else 0
 
-    classes has _words, _wide, _blocks. Texts meet by block; all pairs of a block's texts are compared,
-    but only a star of each group within it leaves the task. Blocks in over COMMON texts are passages
-    that many texts share; texts meet by their other blocks. Texts all of whose blocks are so common
-    meet by the whole list of them.
+
+def usual_shingles(df: DataFrame, text: str, words: int) -> np.ndarray:
+    """The shingles found most in a sample of texts, sorted, and their counts: [2, n], USUAL at most.
+
+    They only set the order in which shingles are taken, rare ones first: no result depends on them.
     """
-    bound = wide_bound(similarity)
-    each = classes.select("_words", "_wide", F.explode("_blocks").alias("_block"))
-    counts = settle(each.groupBy("_block").count().where("count > 1"), "block-counts")
-    common = counts.where(F.col("count") > COMMON)
-    # most blocks are in one text only and meet nothing
-    shared = each.join(counts.where(F.col("count") <= COMMON).select("_block"), "_block", "left_semi")
+    step = max(1, df.count() // SAMPLED)
+    key = F.xxhash64(text)
+    own = df.select(key.alias("_key"), F.col(text).cast("binary").alias("_text")).where(F.pmod(key, F.lit(step)) == 0).dropDuplicates(["_key"])
 
-    def search(group: pa.Table) -> pa.Table:
-        own = np.frombuffer(b"".join(group.column("_wide").to_pylist()), np.uint64).reshape(-1, WIDE)
-        name = group.column("_words").to_numpy()
-        a, b = wide_pairs(own, bound)
-        return pa.table({"u": pa.array(name[a]), "v": pa.array(name[b])})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t in batch.column(0):
+                found = np.unique(np.array(shingle_hashes(t.as_py() or b"", words), np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], names=["_shingle"])
 
-    met = shared.groupBy("_block").applyInArrow(search, "u long, v long")
-    if not common.limit(1).count():
-        return met
-    rare = each.join(common, "_block", "left_anti").select("_words").distinct()
-    rest = classes.where(F.size("_blocks") > 0).join(rare, "_words", "left_anti")
-    least = rest.groupBy("_blocks").agg(F.min("_words").alias("v"))
-    return met.unionByName(rest.join(least, "_blocks").select(F.col("_words").alias("u"), "v"))
+    counts = own.select("_text").mapInArrow(run, "_shingle long").groupBy("_shingle").count().where("count > 2")
+    top = counts.orderBy(F.desc("count"), "_shingle").limit(USUAL).toPandas()
+    names = top["_shingle"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(names)
+    return np.stack([names[order], top["count"].to_numpy(np.int64).astype(np.uint64)[order]])
 
 
-def keep_one_of_similar(df: DataFrame, doc_id: str, text: str, words: int = 5, similarity: float = 0.8, radius: int = 2) -> DataFrame:
+def leading(found: np.ndarray, usual: np.ndarray, similarity: float) -> np.ndarray:
+    """The leading ones of a text's distinct shingles: least often in the sample first, then by hash."""
+    n = prefix_length(len(found), similarity)
+    if not len(usual[0]) or not len(found):
+        return found[:n]
+    at = np.minimum(np.searchsorted(usual[0], found), len(usual[0]) - 1)
+    return found[np.lexsort((found, np.where(usual[0][at] == found, usual[1][at], 0)))[:n]]
+
+
+def word_prints(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
+    """Columns `keep` and _words, a hash of each text's words in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = [xxh64_intdigest(b" ".join((t.as_py() or b"").lower().split()), SEED) for t in batch.column(len(keep))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(np.array(names, np.uint64).view(np.int64))], names=[*keep, "_words"])
+
+    narrow = df.select(*keep, F.col(text).cast("binary").alias("_text"))
+    kinds = ", ".join(f"`{c}` {narrow.schema[c].dataType.simpleString()}" for c in keep)
+    return narrow.mapInArrow(run, f"{kinds}, _words long")
+
+
+def shingle_prints(df: DataFrame, text: str, keep: list[str], words: int, similarity: float) -> DataFrame:
+    """Columns `keep`, _words, _key (a hash of the text as it is), _size (distinct shingles) and _leading of each text."""
+    usual = df.sparkSession.sparkContext.broadcast(usual_shingles(df, text, words))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, sizes, first = [], [], []
+            for t in batch.column(len(keep) + 1):
+                t = t.as_py() or b""
+                found = np.unique(np.array(shingle_hashes(t, words), np.uint64))
+                names.append(xxh64_intdigest(b" ".join(t.lower().split()), SEED))
+                sizes.append(len(found))
+                first.append(leading(found, usual.value, similarity))
+            offsets = np.cumsum([0, *map(len, first)]).astype(np.int32)
+            values = np.concatenate([np.zeros(0, np.uint64), *first]).view(np.int64)
+            arrays = [*batch.columns[: len(keep) + 1], pa.array(np.array(names, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*keep, "_key", "_words", "_size", "_leading"])
+
+    narrow = df.select(*keep, F.xxhash64(text).alias("_key"), F.col(text).cast("binary").alias("_text"))
+    kinds = ", ".join(f"`{c}` {narrow.schema[c].dataType.simpleString()}" for c in keep)
+    return narrow.mapInArrow(run, f"{kinds}, _key long, _words long, _size int, _leading array<long>")
+
+
+def shingle_sets(df: DataFrame, text: str, keys: DataFrame, words: int) -> DataFrame:
+    """_words and _set (sorted distinct hashes, 8 bytes each) of a text for each _key of keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                raw = [t or b"" for t in batch.column(0).slice(at, 256).to_pylist()]
+                names = [xxh64_intdigest(b" ".join(t.lower().split()), SEED) for t in raw]
+                sets = [np.unique(np.array(shingle_hashes(t, words), np.uint64)).tobytes() for t in raw]
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(names, np.uint64).view(np.int64)), pa.array(sets, pa.binary())], names=["_words", "_set"])
+
+    texts = df.select(F.xxhash64(text).alias("_key"), F.col(text).cast("binary").alias("_text"))
+    return texts.join(keys, "_key", "left_semi").dropDuplicates(["_key"]).select("_text").mapInArrow(run, "_words long, _set binary")
+
+
+def as_similar(pairs: DataFrame, df: DataFrame, text: str, classes: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Those of the distinct pairs u, v whose texts' sets have a Jaccard index of at least `similarity`, exactly.
+
+    Only texts in a pair are hashed again; sets of all texts would be larger than the input. A set that is v in many pairs is given out SHARE pairs at a time, so that no task gets all of them.
+    """
+    named = pairs.select(F.explode(F.array("u", "v")).alias("_words")).distinct()
+    sets = settle(shingle_sets(df, text, classes.join(named, "_words", "left_semi").select("_key"), words), "sets")
+    shares = pairs.groupBy("v").agg(F.ceil(F.count(F.lit(1)) / SHARE).cast("int").alias("_n"))
+    given = shares.join(sets.select(F.col("_words").alias("v"), F.col("_set").alias("_b")), "v")
+    given = given.select("v", "_b", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_share"))
+    dealt = pairs.join(shares, "v").select("u", "v", F.pmod(F.xxhash64("u"), F.col("_n")).cast("int").alias("_share"))
+    both = dealt.join(given.hint("merge"), ["v", "_share"]).join(sets.select(F.col("_words").alias("u"), F.col("_set").alias("_a")).hint("merge"), "u")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, bool)
+            for k, (a, b) in enumerate(zip(batch.column(2), batch.column(3))):
+                a, b = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
+                both = np.sort(np.concatenate([a, b]), kind="stable")
+                common = int((both[1:] == both[:-1]).sum())
+                keep[k] = common / (len(a) + len(b) - common) >= similarity
+            yield batch.select(["u", "v"]).filter(pa.array(keep))
+
+    return both.select("u", "v", "_a", "_b").mapInArrow(run, "u long, v long")
+
+
+def similar(df: DataFrame, text: str, classes: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Edges u, v between texts (_words) with a Jaccard index of at least `similarity`, that join all such pairs.
+
+    classes has _words, _key, _size, _leading. Texts as similar share one of their leading shingles, and
+    the first that they share leaves enough shingles behind it (prefix and position filters), so no pair
+    is missed; each edge is verified by whole sets. First each text is compared with one of each of its
+    leading shingles' texts. Pairs within a group found so need no look. While a shingle has over COMMON
+    texts in several groups, they are compared with another one of them, ROUNDS times at most; then all
+    pairs across groups are.
+    """
+    each = classes.select("_words", "_size", F.posexplode("_leading").alias("_at", "_shingle"))
+    met = each.groupBy("_shingle").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_shingle")
+    rows = settle(each.join(met, "_shingle"), "leading")
+    verified = lambda p: as_similar(settle(p.distinct(), "pairs"), df, text, classes, words, similarity)
+    need = lambda x, y: F.ceil(similarity / (1 + similarity) * (F.col(f"{x}._size") + F.col(f"{y}._size")) - 1e-9)
+    after = lambda x: F.col(f"{x}._size") - F.col(f"{x}._at")
+    possible = F.least(after("a"), after("b")) >= need("a", "b")
+    ordered = (F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    edges, open_ = None, rows.withColumn("_root", F.col("_words")).withColumn("_main", F.lit(None).cast("long"))
+    for k in range(ROUNDS):
+        pivot = F.min(F.struct(F.xxhash64("_words", F.lit(k)).alias("_order"), "_words", "_size", "_at", "_root")).alias("b")
+        pivots = open_.groupBy("_shingle").agg(pivot).select("_shingle", "b.*")
+        minor = open_.where("_main IS NULL OR _root <> _main").alias("a")
+        pairs = minor.join(pivots.alias("b"), F.col("a._shingle") == F.col("b._shingle")).where((F.col("a._root") != F.col("b._root")) & possible)
+        found = settle(verified(pairs.select(F.col("a._words").alias("u"), F.col("b._words").alias("v"))), "edges")
+        edges = found if edges is None else edges.unionByName(found)
+        roots = star_components(edges).select(F.col("u").alias("_words"), F.col("v").alias("_root"))
+        labelled = rows.join(roots, "_words", "left").withColumn("_root", F.coalesce("_root", "_words"))
+        groups = labelled.groupBy("_shingle", "_root").agg(F.count(F.lit(1)).alias("_n"))
+        several = groups.groupBy("_shingle").agg(F.max_by("_root", F.struct("_n", "_root")).alias("_main"), F.count(F.lit(1)).alias("_groups"), F.sum("_n").alias("_texts")).where("_groups > 1")
+        left = settle(labelled.join(several, "_shingle"), "open")
+        open_ = left.where(F.col("_texts") > COMMON)
+        if not open_.limit(1).count():
+            break
+    # a pair across groups has a text outside its shingle's largest group
+    minor = left.where("_root <> _main").alias("a")
+    pairs = minor.join(left.alias("b"), F.col("a._shingle") == F.col("b._shingle")).where((F.col("a._root") != F.col("b._root")) & possible)
+    return edges.unionByName(verified(pairs.select(F.col("a._words").alias("u"), F.col("b._words").alias("v")).select(*ordered)))
+
+
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Within it, a query's shuffle files go when it ends, not when the driver next collects garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def keep_one_of_similar(df: DataFrame, doc_id: str, text: str, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """df with one row of each group of near copies: that with the smallest id. All columns stay.
 
-    Texts with the same words are copies. Different ones are linked if their fingerprints (SimHash of
-    `words`-word shingles) differ in `radius` bits at most, which the trees find whatever else they
-    share, or if they share a block of shingles and their wide fingerprints tell a Jaccard index of
-    `similarity` (within some 0.03). Groups are closed under links. A row without an id stays only if no row of its group has one; of rows that share an id
-    and their words one stays.
+    Texts with the same words are copies. Different ones are linked if their sets of distinct runs of
+    `words` words (by 64-bit hashes) have a Jaccard index of at least `similarity`; all such pairs are
+    linked, and no others. Groups are closed under links. A row without an id stays only if no row of its
+    group has one; of rows that share an id and their words one stays.
     """
-    prints = settle(block_prints(df, text, [doc_id], words), "blocks")
-    classes = prints.groupBy("_words").agg(F.min(doc_id).alias("_least"), F.max("_fp").alias("_fp"), F.max("_wide").alias("_wide"), F.max("_blocks").alias("_blocks"))
-    classes = settle(classes, "classes")
-    # texts whose fingerprints are equal or within the radius, as edges between their least names
-    named = settle(classes.groupBy("_fp").agg(F.min("_words").alias("_name")), "names")
-    close = linked(named, radius)
-    u, v = named.select(F.col("_fp").alias("u"), F.col("_name").alias("a")), named.select(F.col("_fp").alias("v"), F.col("_name").alias("b"))
-    close = close.join(u, "u").join(v, "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    equal = classes.select("_words", "_fp").join(named, "_fp").where(F.col("_words") != F.col("_name")).select(F.col("_words").alias("u"), F.col("_name").alias("v"))
-    edges = close.unionByName(equal).unionByName(similar(classes, similarity))
-    grouped = grouped_by(prints.select(doc_id, "_words"), doc_id, "_words", classes, edges)
-    return _one_of_each(df, doc_id, text, prints.select(doc_id), grouped, "_words", lambda x: block_prints(x, "_body", ["_whole", "_id"], words))
+    with shuffles_freed(df.sparkSession):
+        prints = settle(shingle_prints(df, text, [doc_id], words, similarity), "shingles")
+        first = F.min(F.struct("_key", "_size", "_leading")).alias("_one")
+        classes = prints.groupBy("_words").agg(F.min(doc_id).alias("_least"), first).select("_words", "_least", "_one.*")
+        classes = settle(classes, "classes")
+        edges = similar(df, text, classes, words, similarity)
+        grouped = grouped_by(prints.select(doc_id, "_words"), doc_id, "_words", classes.select("_words", "_least"), edges)
+        return _one_of_each(df, doc_id, text, prints.select(doc_id), grouped, "_words", lambda x: word_prints(x, "_body", ["_whole", "_id"]))
 
 
 def keep_one(df: DataFrame, doc_id: str, text: str, words: int = 3, radius: int = 2) -> DataFrame:

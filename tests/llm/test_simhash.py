@@ -176,3 +176,24 @@ def test_components_of_paths_stars_and_loops(spark):
     edges = [(i, i + 1) for i in range(1, 60)] + [(100, k) for k in range(101, 160)] + [(200, 200)]
     got = star_components(spark.createDataFrame(edges, "u long, v long")).collect()
     assert sorted(map(tuple, got)) == [(k, 1) for k in range(2, 61)] + [(k, 100) for k in range(101, 160)]
+
+
+def kept_ids(spark, texts):
+    rows = [(d, t, "en", "a", 0) for d, t in texts.items()]
+    return {r.doc_id for r in keep_one_of_similar(frame(spark, rows, clash=True), "doc_id", "text").collect()}
+
+
+def test_groups_of_any_size_are_exact(spark, monkeypatch):
+    import plumbline.llm.simhash as module
+
+    monkeypatch.setattr(module, "COMMON", 2)
+    pick = random.Random(5)
+    texts, base = near_copies(pick, 12), [f"w{pick.randint(0, 4000)}" for _ in range(300)]
+    for k in range(150):  # a group beyond COMMON, some of whose pairs are below the bound
+        words = list(base)
+        for at in pick.sample(range(300), 3 + k % 4):
+            words[at] = f"other{pick.random()}"
+        texts[1000 + k] = " ".join(words)
+    least = brute_similar(texts, 0.8)
+    assert len({least[d] for d in texts if d >= 1000}) > 1
+    assert kept_ids(spark, texts) == {d for d in texts if least[d] == d}
