@@ -197,3 +197,15 @@ def test_groups_of_any_size_are_exact(spark, monkeypatch):
     least = brute_similar(texts, 0.8)
     assert len({least[d] for d in texts if d >= 1000}) > 1
     assert kept_ids(spark, texts) == {d for d in texts if least[d] == d}
+
+
+def test_a_repeated_line_makes_no_copies(spark):
+    pick, texts = random.Random(6), {}
+    for k in range(10):
+        line = " ".join(f"line{pick.random()}" for _ in range(10))
+        for side in range(2):
+            texts[2 * k + side] = " ".join([line] * 20 + [f"own{pick.random()}" for _ in range(100)])
+    for k in range(20):  # repeated so often that it makes up the whole fingerprint
+        texts[100 + k] = " ".join(["one line of seven words in all"] * 300 + [f"own{pick.random()}" for _ in range(20)])
+    assert brute_similar(texts, 0.8) == {d: d for d in texts}
+    assert kept_ids(spark, texts) == set(texts)
