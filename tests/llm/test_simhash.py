@@ -209,3 +209,19 @@ def test_a_repeated_line_makes_no_copies(spark):
         texts[100 + k] = " ".join(["one line of seven words in all"] * 300 + [f"own{pick.random()}" for _ in range(20)])
     assert brute_similar(texts, 0.8) == {d: d for d in texts}
     assert kept_ids(spark, texts) == set(texts)
+
+
+def test_lone_pairs_of_short_and_long_texts(spark):
+    pick, texts = random.Random(7), {}
+    for k in range(120):
+        words = [f"w{pick.randint(0, 10**6)}" for _ in range((15, 25, 40)[k % 3])]
+        texts[2 * k], texts[2 * k + 1] = " ".join(words), " ".join([*words[:-1], "changed"])
+    for k in range(120, 160):
+        words = [f"w{pick.randint(0, 10**6)}" for _ in range((300, 1000)[k % 2])]
+        texts[2 * k] = " ".join(words)
+        for at in pick.sample(range(len(words)), len(words) // 50 + k % 4):
+            words[at] = "changed"
+        texts[2 * k + 1] = " ".join(words)
+    least = brute_similar(texts, 0.8)
+    assert 120 < sum(least[d] != d for d in texts) < 160
+    assert kept_ids(spark, texts) == {d for d in texts if least[d] == d}
