@@ -135,6 +135,13 @@ def log_normalize_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", log_key(F.col("line")).alias("key"))
 
 
+@query()
+def log_normalize_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
+    return lines.select("doc_id", (F.col("at") + 1).cast("long").alias("line_number"), log_key(F.col("line")).alias("key"))
+
+
 @query(
     f"""WITH d AS ({DEDUP_SQL}) SELECT source, count(*) AS total_lines, count(*) FILTER (suppressed) AS suppressed_lines,
       count(*) FILTER (category = 'error' AND NOT suppressed) AS errors, count(*) FILTER (category = 'warning' AND NOT suppressed) AS warnings,

@@ -5,6 +5,7 @@ from collections import Counter, deque
 
 from plumbline.functions.text import log_key
 from plumbline.operators import logs
+from plumbline.plans import registry
 from plumbline.plans.tools import log_digest, summarize_log, summarize_logs
 from plumbline.sources.lines import lines_of, read_lines, window_of
 from plumbline.streaming.logs import session_counts, suppress_repeats, tail_lines, window_counts
@@ -185,3 +186,21 @@ def test_streams_of_files_windows_and_sessions(spark, tmp_path):
     assert sorted((r.start.hour, r.k, r.n) for r in got) == [(0, "a", 2), (3, "a", 1), (3, "b", 1)]
     got = finished(session_counts(stream(), "at", "k", "30 minutes"), "sessions", tmp_path, "complete")
     assert sorted((r.k, r.n) for r in got) == [("a", 1), ("a", 2), ("b", 1)]
+
+
+def test_every_line_of_whole_texts_has_its_key(spark, tmp_path):
+    moment = r"[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}:[0-9]{2}([,.][0-9]+)?"
+    hexes = r"\b[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\b"
+
+    def key(line):
+        out = line.lower().strip()
+        for pattern, put in ((moment, "{TS}"), (hexes, "{ID}"), (r"\b0x[0-9a-f]{4,}\b", "{ID}"), (r"\b[0-9]+(\.[0-9]+)?\b", "{N}")):
+            out = re.sub(pattern, put, out)
+        return out
+
+    texts = [(1, "É took 12 ms é3 3é ß 4\n\n  Ünder 0xBEEF  \n2025-05-12 10:30:00,5 日本 7日 8 " + "x" * 90 + " 9"), (2, None), (3, ""), (4, "plain 1.5"), (5, " 10\n")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for folder in (str(tmp_path), "/root/testdata/sf0.001"):
+        rows = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()
+        want = [(r.doc_id, k, key(x)) for r in rows if r.text is not None for k, x in enumerate(r.text.split("\n"), 1)]
+        assert sorted(map(tuple, registry.queries()["log_normalize_lines"](spark, folder).collect())) == sorted(want)
