@@ -81,13 +81,25 @@ def body_route(spark: SparkSession, sf_dir: str) -> DataFrame:
       'Authorization=<redacted>', 'Set-Cookie=sid=<redacted>; Path=/' || event_type]) AS h, unnest([1, 2, 3, 4]) AS k FROM events WHERE event_id < 300) GROUP BY event_id, user_id"""
 )
 def header_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shown_headers(table(spark, sf_dir, "events").where("event_id < 300"))
+
+
+@query(
+    """SELECT user_id, string_agg(h, '|' ORDER BY k) AS shown FROM (SELECT event_id, user_id, unnest(['Content-Type=' || event_type, 'X-RateLimit-Left=' || (event_id % 9)::VARCHAR,
+      'Authorization=<redacted>', 'Set-Cookie=sid=<redacted>; Path=/' || event_type]) AS h, unnest([1, 2, 3, 4]) AS k FROM events) GROUP BY event_id, user_id"""
+)
+def header_filter_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shown_headers(table(spark, sf_dir, "events"))
+
+
+def shown_headers(events: DataFrame) -> DataFrame:
     pairs = {
         "Content-Type": F.col("event_type"), "X-Other": F.lit("gone"), "X-RateLimit-Left": (F.col("event_id") % 9).cast("string"), "Authorization": F.lit("Bearer abc"),
         "Set-Cookie": F.concat(F.lit("sid=secret;  Path=/"), "event_type"),
     }
     headers = F.array(*(F.struct(F.lit(k).alias("name"), v.alias("value")) for k, v in pairs.items()))
     shown = F.transform(web.kept_headers(headers), lambda h: F.concat_ws("=", h["name"], h["value"]))
-    return table(spark, sf_dir, "events").where("event_id < 300").select("user_id", F.array_join(shown, "|").alias("shown"))
+    return events.select("user_id", F.array_join(shown, "|").alias("shown"))
 
 
 @query("SELECT event_id, 'a=<redacted>; HttpOnly, b=<redacted>, flag; Path=/' || event_type AS cookie FROM events")

@@ -80,3 +80,8 @@ def test_page_cache_and_robots(spark, tmp_path):
     urls = spark.createDataFrame([("http://a/1",), ("http://a/2",), ("http://b/1",)], "url string")
     assert {r.url: r.allowed for r in allowed(urls, robots).collect()} == {"http://a/1": False, "http://a/2": True, "http://b/1": True}
     assert {r.url: r.wait for r in spaced(urls, 2.0).collect()} == {"http://a/1": 0.0, "http://a/2": 2.0, "http://b/1": 0.0}
+
+
+def test_header_filter_all_takes_every_event(spark):
+    got = registry.queries()["header_filter_all"](spark, "/root/testdata/sf0.01")
+    assert got.count() == spark.read.parquet("/root/testdata/sf0.01/events.parquet").count() > 300
