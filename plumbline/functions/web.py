@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from html import unescape
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .values import stripped
 
@@ -39,8 +43,16 @@ def is_downloadable(type_: Column) -> Column:
 
 
 def html_title(html: Column) -> Column:
-    """The title's text, entities as they are, at most 200 characters; null without a title element."""
-    return F.when(html.rlike(TITLE), F.substring(stripped(F.regexp_extract(html, TITLE, 1)), 1, 200))
+    """The title's text with its entities resolved, at most 200 characters; null without a title or text in it."""
+    return _shown(F.when(html.rlike(TITLE), F.regexp_extract(html, TITLE, 1)))
+
+
+def _plain(titles: pd.Series) -> pd.Series:
+    return titles.map(lambda t: unescape(t).strip()[:200] or None, na_action="ignore")
+
+
+def _shown(title: Column) -> Column:
+    return F.pandas_udf(_plain, T.StringType())(title)
 
 
 def bare_text(html: Column) -> Column:

@@ -27,7 +27,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@query("SELECT page_id, CASE WHEN regexp_matches(html, '(?is)<title[^>]*>(.*?)</title>') THEN left(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), 200) END AS title FROM pages")
+def dealt(df: DataFrame) -> DataFrame:
+    """df, dealt out to all cores if it is in fewer pieces than there are: a small file, whose rows take long. Large inputs aren't shuffled."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
+TITLE = "regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)"
+# the entities that occur in the tables' titles; an ampersand's last, as each is resolved once
+SHOWN = f"""regexp_replace(regexp_replace(regexp_replace(regexp_replace({TITLE}, '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g')"""
+
+
+@query(f"SELECT page_id, nullif(left(trim({SHOWN}), 200), '') AS title FROM pages")
 def page_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", web.html_title(F.col("html")).alias("title"))
 
@@ -76,19 +87,11 @@ def body_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", web.body_format(type_, body).alias("format"))
 
 
-@query(
-    """SELECT user_id, string_agg(h, '|' ORDER BY k) AS shown FROM (SELECT event_id, user_id, unnest(['Content-Type=' || event_type, 'X-RateLimit-Left=' || (event_id % 9)::VARCHAR,
-      'Authorization=<redacted>', 'Set-Cookie=sid=<redacted>; Path=/' || event_type]) AS h, unnest([1, 2, 3, 4]) AS k FROM events WHERE event_id < 300) GROUP BY event_id, user_id"""
-)
-def header_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown_headers(table(spark, sf_dir, "events").where("event_id < 300"))
-
-
 @query(
     """SELECT user_id, string_agg(h, '|' ORDER BY k) AS shown FROM (SELECT event_id, user_id, unnest(['Content-Type=' || event_type, 'X-RateLimit-Left=' || (event_id % 9)::VARCHAR,
       'Authorization=<redacted>', 'Set-Cookie=sid=<redacted>; Path=/' || event_type]) AS h, unnest([1, 2, 3, 4]) AS k FROM events) GROUP BY event_id, user_id"""
 )
-def header_filter_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def header_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown_headers(table(spark, sf_dir, "events"))
 
 
@@ -134,15 +137,12 @@ def json_array_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def page_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # a page takes milliseconds to parse: a single input file is dealt out first
-    pages = extract_pages(table(spark, sf_dir, "pages").repartition(spark.sparkContext.defaultParallelism))
-    return pages.select("page_id", "page.title", "page.extractor", "page.content_text", F.round("page.ratio", 3).alias("ratio"), F.size("page.warnings").alias("n_warnings"))
+    return extract_pages(dealt(table(spark, sf_dir, "pages"))).select("page_id", "page.title", "page.extractor", "page.content_text", F.round("page.ratio", 3).alias("ratio"), F.size("page.warnings").alias("n_warnings"))
 
 
 @query()
 def page_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").repartition(spark.sparkContext.defaultParallelism)
-    return extract_pages(pages).select("page_id", "page.content_markdown")
+    return extract_pages(dealt(table(spark, sf_dir, "pages"))).select("page_id", "page.content_markdown")
 
 
 @query(

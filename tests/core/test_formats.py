@@ -1,8 +1,11 @@
 import json
+import re
 import struct
 import subprocess
+import time
 import zipfile
 import zlib
+from html import unescape
 
 import pytest
 
@@ -41,6 +44,51 @@ def test_pages():
     assert thin["extractor"] == "raw" and thin["content_text"] == "short" and thin["warnings"] and html.extract(None)["content_text"] == ""
 
 
+def test_page_dates_and_charsets():
+    assert html.extract('<meta name="Date" content="2024-05-06T07:00Z"><p>x</p>')["date"] == "2024-05-06" and html.extract("<time datetime='2020-01-02'>")["date"] == "2020-01-02"
+    assert html.extract("<p>x</p>")["date"] is None
+    for raw in ("<meta charset=latin-1><p>é</p>".encode("latin-1"), "<p>é</p>".encode(), "<p>é</p>".encode("cp1252"), "\ufeff<p>é</p>".encode(), "<p>é</p>".encode("utf-16")):
+        assert html.extract(raw)["content_text"] == "é"
+
+
+def test_nested_marks_lists_and_tables():
+    show = lambda s: html.markdown(html.tree(s))
+    assert show("<b>a<i>b<b>c</b></i></b> d<b> </b>e") == "**a*bc*** d e"
+    assert show("<ul><li>a<ol><li>b</li><li>c</li></ol></li><li>d</ul>") == "- a\n\n  1. b\n  2. c\n\n- d"
+    assert show("<blockquote>a<p>b</p></blockquote>c") == "> a\n>\n> b\n\nc"
+    assert show("<table><tr><th>a<th>b|c<tr><td><table><tr><td>x<td>y</table></table>") == "| a   | b\\|c |\n|-----|------|\n| x y |"
+    assert show("<h2> a <br> b </h2><hr><pre>c\n d</pre>") == "## a b\n\n---\n\n```\nc\n d\n```"
+    deep = show("<ul><li>x" * 60)
+    assert deep.count("- x") == 60 and max(map(len, deep.split("\n"))) < 60
+
+
+@pytest.mark.parametrize("unit", ["<", "<b>", "<b><i>", "![", "<a href=x>", "<div><blockquote>", "<table><tr><td>", "<ul><li>x", "<!--", "</", "<a b='", "&#", "<pre>", "<p>x"])
+def test_pages_take_time_by_their_length(unit):
+    def seconds(n):
+        began = time.process_time()
+        html.extract(unit * n + "x")
+        return time.process_time() - began
+
+    assert seconds(40_000) < 12 * max(0.05, seconds(5_000))
+
+
+def test_main_text_of_whole_tables():
+    """Where a page has one article without other parts in it, its text is what stands outside tags there."""
+    import duckdb
+
+    n = 0
+    for url, page in duckdb.sql("SELECT url, html FROM '/root/testdata/sf0.01/pages.parquet' WHERE html IS NOT NULL").fetchall():
+        began = time.process_time()
+        got = html.extract(page, url)
+        assert time.process_time() - began < 1
+        part = re.findall(r"(?s)<article>(.*?)</article>", page)
+        if got["extractor"] == "article" and len(part) == 1 and not re.search(r"<(script|style|form|nav|aside|header|footer|button)", part[0]):
+            n += 1
+            assert "".join(got["content_text"].split()) == "".join(unescape(re.sub("<[^>]+>", "", part[0])).split())
+            assert got["title"] == " ".join(unescape(re.search(r"(?s)<title>(.*?)</title>", page)[1]).split())
+    assert n > 100
+
+
 def test_markdown_cleaning():
     assert html.clean("a\n\n\n\nb  \n#Head\n[](x) ![i](y)") == "a\n\nb\n# Head"
     assert html.unescaped("\\[a\\]\n```\n\\[b\\]\n```") == "[a]\n```\n\\[b\\]\n```"
