@@ -12,40 +12,61 @@ from pyspark.sql import DataFrame, SparkSession
 from plumbline.llm.common import settle
 from plumbline.llm.decontam import without_contained
 from plumbline.llm.langid import accept
-from plumbline.llm.mixing import mix_sources
-from plumbline.llm.queries import production_mix
-from plumbline.llm.simhash import keep_one_of_similar
+from plumbline.llm.mixing import mix_sources, production_mix
+from plumbline.llm.similar import keep_one_of_similar
 from plumbline.llm.tokenfile import token_files
 
 
-#: Chunks whose ids a worker remembers: fewer than alone, as workers also hold what earlier stages have left.
-REMEMBERED = 300_000
+#: Vocabulary by which the mix counts and the last stage encodes.
+VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+#: Chunks whose counts, then ids, a worker remembers: fewer than alone, as workers also hold what earlier stages have left.
+COUNTED, REMEMBERED = 150_000, 300_000
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; those without a letter, or like no language learned, go."""
+    """Documents whose language can be told; those without a letter, or like no language learned, go.
+
+    Null and empty texts go. Rows are judged one by one: repeated ones go or stay together. All columns
+    stay, whatever their names; an empty table stays empty.
+    """
     return accept(docs, "doc_id", "text", "lang")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest doc_id."""
-    return keep_one_of_similar(docs, "doc_id", "text")
+    """One document of each group of near copies (a Jaccard index of 0.8 or more of five-word shingles): that with the smallest doc_id.
+
+    Null, empty and wordless texts are copies of each other. A row without an id stays only if its group
+    has no id; of repeated rows one stays. All columns stay; an empty table stays empty.
+    """
+    return keep_one_of_similar(docs, "doc_id", "text", words=5, similarity=0.8)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain no benchmark item."""
+    """Documents that contain no benchmark item; null and wordless texts contain none.
+
+    Rows are judged one by one. All columns stay; an empty table stays empty, and without items all stay.
+    """
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return without_contained(docs, "text", items, "item_id", "text")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them, a row for each epoch."""
-    return mix_sources(docs, "doc_id", "text", "lang", "source", production_mix()).select(*docs.columns)
+    """Documents as often as the mix of sources takes them, a row for each epoch.
+
+    Null languages and sources are leaves of their own; leaves without tokens aren't taken. Rows that
+    share an id go together. All columns stay; an empty table stays empty.
+    """
+    taken = mix_sources(docs, "doc_id", "text", "lang", "source", production_mix(), VOCABULARY, COUNTED)
+    return taken.select(*docs.columns)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files of all that is left, read back."""
-    return token_files(docs, "doc_id", "text", public_tokenizers.path("word_bpe_49k.json"), remembered=REMEMBERED)
+    """Token files of all that is left, read back: a row for each row of docs, in ascending order of doc_id, nulls first.
+
+    Null texts are empty, with the end id only; equal ids are ordered by text. Other columns aren't written. An
+    empty table gives an empty result.
+    """
+    return token_files(docs, "doc_id", "text", VOCABULARY, remembered=REMEMBERED)
 
 
 STAGES = [

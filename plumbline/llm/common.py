@@ -35,18 +35,29 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def remove_settled() -> None:
     """Delete all tables and files that this process has put below the shared folder."""
     while _written:
-        spark, path = _written.pop()
         try:
-            jvm = spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            _delete(*_written.pop())
         except Exception:  # noqa: BLE001 - the session may be gone; the folder's owner cleans up then
             return
 
 
+def forget(*tables: DataFrame) -> None:
+    """Delete settled tables that nothing will read again; others are left alone."""
+    for df in tables:
+        path = getattr(df, "settled_at", None)
+        if path:
+            _written.remove((df.sparkSession, path))
+            _delete(df.sparkSession, path)
+
+
 atexit.register(remove_settled)
 
 
@@ -57,15 +68,24 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     """
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.settled_at = path  # for forget()
+    return out
+
+
+def tasks_for(df: DataFrame, each: int = 64 << 20) -> int:
+    """Tasks to deal df out to: some `each` bytes of the files it is read from, or as many as a shuffle has, if that is more."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(least, -(-size // each)) if size < 1 << 60 else least  # beyond: Spark doesn't know
 
 
-def in_ranges(df: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """Settle df dealt out by ranges of keys (ascending, nulls first), with the range's number as _pid.
+def in_ranges(df: DataFrame, keys: list[str], name: str, tasks: int) -> DataFrame:
+    """Settle df dealt out to `tasks` ranges of keys (ascending, nulls first), with the range's number as _pid.
 
     Meant for narrow rows: keys and numbers, not texts.
     """
-    return settle(df.repartitionByRange(*keys).withColumn("_pid", F.spark_partition_id()), name)
+    return settle(df.repartitionByRange(tasks, *keys).withColumn("_pid", F.spark_partition_id()), name)
 
 
 def running_sum(
@@ -83,7 +103,7 @@ def running_sum(
     base = totals.select("_pid", *by, F.coalesce(F.sum("_all").over(earlier), F.lit(0)).alias("_base"))
     within = Window.partitionBy("_pid", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     own = ranged.withColumn("_own", F.coalesce(F.sum(weight).over(within), F.lit(0)))
-    # base has (number of ranges) x (values of by) rows, whatever the size of the input
     same = [own["_pid"] == base["_pid"], *(own[c].eqNullSafe(base[c]) for c in by)]
-    joined = own.join(F.broadcast(base), same, "left")
+    # Spark broadcasts base where it measures it to be small; else both sides are dealt out by these keys, as own already is
+    joined = own.join(base, same, "left")
     return joined.select(*(own[c] for c in ranged.columns), (F.col("_own") + F.col("_base")).cast("long").alias(into))

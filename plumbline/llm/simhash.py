@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -21,12 +19,6 @@ SEED = 42
 SAMPLE, SHARD = 65_536, 4096
 #: Bytes of text whose shingles are hashed together.
 AT_ONCE = 1 << 20
-#: Shingles of a block on average, blocks chosen of a text, and texts of a shingle beyond which they are compared with one first.
-BLOCK, BLOCKS, COMMON = 12, 12, 4096
-#: Texts and shingles by which rare shingles are told from usual ones, rounds of comparing with one text, pairs a set is given out for.
-SAMPLED, USUAL, ROUNDS, SHARE = 16_384, 131_072, 5, 512
-#: 64-bit words of a wide fingerprint, by which texts that share a block are compared.
-WIDE = 8
 
 # eight counters in a 64-bit word: a byte's bits spread out, lowest first
 _spread = np.array([sum((b >> k & 1) << (8 * k) for k in range(8)) for b in range(256)], np.uint64)
@@ -70,42 +62,6 @@ def majorities(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-def wide_prints(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """WIDE fingerprints of each run of hashes, [run, word]: of the hashes, then of other mixes of them."""
-    out = [majorities(hashes, sizes)]
-    for k in range(1, WIDE):
-        h = hashes + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)
-        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        out.append(majorities(h ^ (h >> np.uint64(31)), sizes))
-    return np.stack(out, axis=1) if len(sizes) else np.zeros((0, WIDE), np.uint64)
-
-
-def wide_bound(similarity: float) -> int:
-    """Bits of a wide fingerprint that differ between texts of a Jaccard similarity, and half a standard deviation more.
-
-    Sets of equal size with Jaccard index s have a cosine of 2s / (1 + s), and a bit differs with the
-    angle's share of a half turn.
-    """
-    share = np.arccos(min(1.0, 2 * similarity / (1 + similarity))) / np.pi
-    bits = 64 * WIDE
-    return int(bits * share + 0.5 * np.sqrt(bits * share * (1 - share)))
-
-
-def wide_pairs(points: np.ndarray, bound: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges between points [n, word] that differ in at most `bound` bits: a star for each group under all of them."""
-    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-    for at in range(0, len(points), 256):
-        apart = np.zeros((min(256, len(points) - at), len(points)), np.uint16)
-        for k in range(points.shape[1]):
-            apart += np.bitwise_count(points[at : at + 256, k, None] ^ points[None, :, k])
-        i, j = np.nonzero(apart <= bound)
-        found.append((i[j > i + at] + at, j[j > i + at]))
-    label = forest(len(points), *(np.concatenate(x) for x in zip(*found)))
-    i = np.flatnonzero(label != np.arange(len(points)))
-    return i, label[i]
-
-
 def fingerprints(df: DataFrame, text: str, keep: list[str], words: int = 3) -> DataFrame:
     """Columns `keep` and _fp, the text's fingerprint as a signed 64-bit number; a null text or one without words: 0."""
 
@@ -161,19 +117,11 @@ def group_by_fingerprint(prints: DataFrame, doc_id: str, radius: int = 2) -> Dat
     fingerprints are one node, however many rows have them. Every row stays, repeated ones too.
     """
     classes = settle(prints.groupBy("_fp").agg(F.min(doc_id).alias("_least")), "classes")
-    return grouped_by(prints, doc_id, "_fp", classes, linked(classes, radius))
-
-
-def grouped_by(prints: DataFrame, doc_id: str, node: str, classes: DataFrame, edges: DataFrame) -> DataFrame:
-    """doc_id, node, component_id and _root of each row, for edges u, v between nodes.
-
-    classes has a row for each node, with the least doc_id of its rows as _least.
-    """
-    stars = star_components(edges).select(F.col("u").alias(node), F.col("v").alias("_root"))
-    rooted = classes.select(node, "_least").join(stars, node, "left").withColumn("_root", F.coalesce("_root", node))
+    stars = star_components(linked(classes, radius)).select(F.col("u").alias("_fp"), F.col("v").alias("_root"))
+    rooted = classes.select("_fp", "_least").join(stars, "_fp", "left").withColumn("_root", F.coalesce("_root", "_fp"))
     least = rooted.groupBy("_root").agg(F.min("_least").alias("component_id"))
-    named = rooted.select(node, "_root").join(least, "_root").select(node, "_root", "component_id")
-    return prints.join(named, node).select(doc_id, node, "component_id", "_root")
+    named = rooted.select("_fp", "_root").join(least, "_root").select("_fp", "_root", "component_id")
+    return prints.join(named, "_fp").select(doc_id, "_fp", "component_id", "_root")
 
 
 def near_duplicates(df: DataFrame, doc_id: str, text: str, words: int = 3, radius: int = 2) -> DataFrame:
@@ -185,266 +133,3 @@ def near_duplicates(df: DataFrame, doc_id: str, text: str, words: int = 3, radiu
     prints = settle(fingerprints(df, text, [doc_id], words), "fingerprints")
     grouped = group_by_fingerprint(prints, doc_id, radius)
     return grouped.select(doc_id, F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def block_prints(df: DataFrame, text: str, keep: list[str], words: int = 5) -> DataFrame:
-    """Columns `keep`, _words (a hash of the words in order), _fp, _wide and _blocks of each text.
-
-    A text's shingles are cut into blocks after each whose hash is a multiple of BLOCK, so that an edit
-    changes the blocks around it only. _blocks are the fingerprints of blocks, of many the BLOCKS whose
-    bits, mixed, make the least numbers: near copies choose the same ones.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(len(keep))
-            names, prints, offsets, blocks = [], [], [np.zeros(1, np.int32)], []
-            step = max(1, AT_ONCE * batch.num_rows // max(1, texts.nbytes))
-            for at in range(0, batch.num_rows, step):
-                raw = [t or b"" for t in texts.slice(at, step).to_pylist()]
-                lists = [shingle_hashes(t, words) for t in raw]
-                names += [xxh64_intdigest(b" ".join(t.lower().split()), SEED) for t in raw]
-                sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-                hashes = np.fromiter((h for x in lists for h in x), np.uint64, int(sizes.sum()))
-                prints.append(wide_prints(hashes, sizes))
-                owner, found = chosen_blocks(hashes, sizes)
-                blocks.append(found)
-                offsets.append(offsets[-1][-1] + np.cumsum(np.bincount(owner, minlength=len(lists))).astype(np.int32))
-            signed = lambda x: pa.array(np.asarray(x, np.uint64).view(np.int64))
-            none = np.zeros(0, np.uint64)
-            own = pa.ListArray.from_arrays(pa.array(np.concatenate(offsets)), signed(np.concatenate([none, *blocks])))
-            wide = np.concatenate([np.zeros((0, WIDE), np.uint64), *prints])
-            rows = pa.array([r.tobytes() for r in wide], pa.binary())
-            arrays = [*batch.columns[: len(keep)], signed(names), signed(wide[:, 0].copy()), rows, own]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*keep, "_words", "_fp", "_wide", "_blocks"])
-
-    narrow = df.select(*keep, F.col(text).cast("binary").alias("_text"))
-    kinds = ", ".join(f"`{c}` {narrow.schema[c].dataType.simpleString()}" for c in keep)
-    return narrow.mapInArrow(run, f"{kinds}, _words long, _fp long, _wide binary, _blocks array<long>")
-
-
-def chosen_blocks(hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Owner (place of the text) and fingerprint of each chosen block, by owner."""
-    ends = np.cumsum(sizes)
-    cut = hashes % np.uint64(BLOCK) == 0
-    cut[ends[sizes > 0] - 1] = True
-    stops = np.flatnonzero(cut) + 1
-    own = majorities(hashes, np.diff(np.r_[0, stops]))
-    owner = np.searchsorted(ends, stops - 1, side="right")
-    mixed = own * np.uint64(0x9E3779B97F4A7C15)
-    order = np.lexsort((own, mixed ^ (mixed >> np.uint64(29)), owner))
-    owner, own = owner[order], own[order]
-    fresh = np.r_[True, (np.diff(owner) != 0) | (own[1:] != own[:-1])] if len(own) else np.zeros(0, bool)
-    owner, own = owner[fresh], own[fresh]
-    first = np.searchsorted(owner, owner)
-    few = np.arange(len(owner)) - first < BLOCKS
-    return owner[few], own[few]
-
-
-def prefix_length(size: int, similarity: float) -> int:
-    """Leading shingles of which texts with a Jaccard index of `similarity` share one, whatever order all texts use."""
-    return size - math.ceil(similarity * size - 1e-9) + 1 if size else 0
-
-
-def usual_shingles(df: DataFrame, text: str, words: int) -> np.ndarray:
-    """The shingles found most in a sample of texts, sorted, and their counts: [2, n], USUAL at most.
-
-    They only set the order in which shingles are taken, rare ones first: no result depends on them.
-    """
-    step = max(1, df.count() // SAMPLED)
-    key = F.xxhash64(text)
-    own = df.select(key.alias("_key"), F.col(text).cast("binary").alias("_text")).where(F.pmod(key, F.lit(step)) == 0).dropDuplicates(["_key"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for t in batch.column(0):
-                found = np.unique(np.array(shingle_hashes(t.as_py() or b"", words), np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], names=["_shingle"])
-
-    counts = own.select("_text").mapInArrow(run, "_shingle long").groupBy("_shingle").count().where("count > 2")
-    top = counts.orderBy(F.desc("count"), "_shingle").limit(USUAL).toPandas()
-    names = top["_shingle"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(names)
-    return np.stack([names[order], top["count"].to_numpy(np.int64).astype(np.uint64)[order]])
-
-
-def leading(found: np.ndarray, usual: np.ndarray, similarity: float) -> np.ndarray:
-    """The leading ones of a text's distinct shingles: least often in the sample first, then by hash."""
-    n = prefix_length(len(found), similarity)
-    if not len(usual[0]) or not len(found):
-        return found[:n]
-    at = np.minimum(np.searchsorted(usual[0], found), len(usual[0]) - 1)
-    return found[np.lexsort((found, np.where(usual[0][at] == found, usual[1][at], 0)))[:n]]
-
-
-def word_prints(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
-    """Columns `keep` and _words, a hash of each text's words in order."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names = [xxh64_intdigest(b" ".join((t.as_py() or b"").lower().split()), SEED) for t in batch.column(len(keep))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(np.array(names, np.uint64).view(np.int64))], names=[*keep, "_words"])
-
-    narrow = df.select(*keep, F.col(text).cast("binary").alias("_text"))
-    kinds = ", ".join(f"`{c}` {narrow.schema[c].dataType.simpleString()}" for c in keep)
-    return narrow.mapInArrow(run, f"{kinds}, _words long")
-
-
-def shingle_prints(df: DataFrame, text: str, keep: list[str], words: int, similarity: float) -> DataFrame:
-    """Columns `keep`, _words, _key (a hash of the text as it is), _size (distinct shingles) and _leading of each text."""
-    usual = df.sparkSession.sparkContext.broadcast(usual_shingles(df, text, words))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names, sizes, first = [], [], []
-            for t in batch.column(len(keep) + 1):
-                t = t.as_py() or b""
-                found = np.unique(np.array(shingle_hashes(t, words), np.uint64))
-                names.append(xxh64_intdigest(b" ".join(t.lower().split()), SEED))
-                sizes.append(len(found))
-                first.append(leading(found, usual.value, similarity))
-            offsets = np.cumsum([0, *map(len, first)]).astype(np.int32)
-            values = np.concatenate([np.zeros(0, np.uint64), *first]).view(np.int64)
-            arrays = [*batch.columns[: len(keep) + 1], pa.array(np.array(names, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*keep, "_key", "_words", "_size", "_leading"])
-
-    narrow = df.select(*keep, F.xxhash64(text).alias("_key"), F.col(text).cast("binary").alias("_text"))
-    kinds = ", ".join(f"`{c}` {narrow.schema[c].dataType.simpleString()}" for c in keep)
-    return narrow.mapInArrow(run, f"{kinds}, _key long, _words long, _size int, _leading array<long>")
-
-
-def shingle_sets(df: DataFrame, text: str, keys: DataFrame, words: int) -> DataFrame:
-    """_words and _set (sorted distinct hashes, 8 bytes each) of a text for each _key of keys."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                raw = [t or b"" for t in batch.column(0).slice(at, 256).to_pylist()]
-                names = [xxh64_intdigest(b" ".join(t.lower().split()), SEED) for t in raw]
-                sets = [np.unique(np.array(shingle_hashes(t, words), np.uint64)).tobytes() for t in raw]
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(names, np.uint64).view(np.int64)), pa.array(sets, pa.binary())], names=["_words", "_set"])
-
-    texts = df.select(F.xxhash64(text).alias("_key"), F.col(text).cast("binary").alias("_text"))
-    return texts.join(keys, "_key", "left_semi").dropDuplicates(["_key"]).select("_text").mapInArrow(run, "_words long, _set binary")
-
-
-def as_similar(pairs: DataFrame, df: DataFrame, text: str, classes: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Those of the distinct pairs u, v whose texts' sets have a Jaccard index of at least `similarity`, exactly.
-
-    Only texts in a pair are hashed again; sets of all texts would be larger than the input. A set that is v in many pairs is given out SHARE pairs at a time, so that no task gets all of them.
-    """
-    named = pairs.select(F.explode(F.array("u", "v")).alias("_words")).distinct()
-    sets = settle(shingle_sets(df, text, classes.join(named, "_words", "left_semi").select("_key"), words), "sets")
-    shares = pairs.groupBy("v").agg(F.ceil(F.count(F.lit(1)) / SHARE).cast("int").alias("_n"))
-    given = shares.join(sets.select(F.col("_words").alias("v"), F.col("_set").alias("_b")), "v")
-    given = given.select("v", "_b", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_share"))
-    dealt = pairs.join(shares, "v").select("u", "v", F.pmod(F.xxhash64("u"), F.col("_n")).cast("int").alias("_share"))
-    both = dealt.join(given.hint("merge"), ["v", "_share"]).join(sets.select(F.col("_words").alias("u"), F.col("_set").alias("_a")).hint("merge"), "u")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = np.zeros(batch.num_rows, bool)
-            for k, (a, b) in enumerate(zip(batch.column(2), batch.column(3))):
-                a, b = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
-                both = np.sort(np.concatenate([a, b]), kind="stable")
-                common = int((both[1:] == both[:-1]).sum())
-                keep[k] = common / (len(a) + len(b) - common) >= similarity
-            yield batch.select(["u", "v"]).filter(pa.array(keep))
-
-    return both.select("u", "v", "_a", "_b").mapInArrow(run, "u long, v long")
-
-
-def similar(df: DataFrame, text: str, classes: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Edges u, v between texts (_words) with a Jaccard index of at least `similarity`, that join all such pairs.
-
-    classes has _words, _key, _size, _leading. Texts as similar share one of their leading shingles, and
-    the first that they share leaves enough shingles behind it (prefix and position filters), so no pair
-    is missed; each edge is verified by whole sets. First each text is compared with one of each of its
-    leading shingles' texts. Pairs within a group found so need no look. While a shingle has over COMMON
-    texts in several groups, they are compared with another one of them, ROUNDS times at most; then all
-    pairs across groups are.
-    """
-    each = classes.select("_words", "_size", F.posexplode("_leading").alias("_at", "_shingle"))
-    met = each.groupBy("_shingle").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_shingle")
-    rows = settle(each.join(met, "_shingle"), "leading")
-    verified = lambda p: as_similar(settle(p.distinct(), "pairs"), df, text, classes, words, similarity)
-    need = lambda x, y: F.ceil(similarity / (1 + similarity) * (F.col(f"{x}._size") + F.col(f"{y}._size")) - 1e-9)
-    after = lambda x: F.col(f"{x}._size") - F.col(f"{x}._at")
-    possible = F.least(after("a"), after("b")) >= need("a", "b")
-    ordered = (F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    edges, open_ = None, rows.withColumn("_root", F.col("_words")).withColumn("_main", F.lit(None).cast("long"))
-    for k in range(ROUNDS):
-        pivot = F.min(F.struct(F.xxhash64("_words", F.lit(k)).alias("_order"), "_words", "_size", "_at", "_root")).alias("b")
-        pivots = open_.groupBy("_shingle").agg(pivot).select("_shingle", "b.*")
-        minor = open_.where("_main IS NULL OR _root <> _main").alias("a")
-        pairs = minor.join(pivots.alias("b"), F.col("a._shingle") == F.col("b._shingle")).where((F.col("a._root") != F.col("b._root")) & possible)
-        found = settle(verified(pairs.select(F.col("a._words").alias("u"), F.col("b._words").alias("v"))), "edges")
-        edges = found if edges is None else edges.unionByName(found)
-        roots = star_components(edges).select(F.col("u").alias("_words"), F.col("v").alias("_root"))
-        labelled = rows.join(roots, "_words", "left").withColumn("_root", F.coalesce("_root", "_words"))
-        groups = labelled.groupBy("_shingle", "_root").agg(F.count(F.lit(1)).alias("_n"))
-        several = groups.groupBy("_shingle").agg(F.max_by("_root", F.struct("_n", "_root")).alias("_main"), F.count(F.lit(1)).alias("_groups"), F.sum("_n").alias("_texts")).where("_groups > 1")
-        left = settle(labelled.join(several, "_shingle"), "open")
-        open_ = left.where(F.col("_texts") > COMMON)
-        if not open_.limit(1).count():
-            break
-    # a pair across groups has a text outside its shingle's largest group
-    minor = left.where("_root <> _main").alias("a")
-    pairs = minor.join(left.alias("b"), F.col("a._shingle") == F.col("b._shingle")).where((F.col("a._root") != F.col("b._root")) & possible)
-    return edges.unionByName(verified(pairs.select(F.col("a._words").alias("u"), F.col("b._words").alias("v")).select(*ordered)))
-
-
-@contextmanager
-def shuffles_freed(spark: SparkSession) -> Iterator[None]:
-    """Within it, a query's shuffle files go when it ends, not when the driver next collects garbage."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
-def keep_one_of_similar(df: DataFrame, doc_id: str, text: str, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """df with one row of each group of near copies: that with the smallest id. All columns stay.
-
-    Texts with the same words are copies. Different ones are linked if their sets of distinct runs of
-    `words` words (by 64-bit hashes) have a Jaccard index of at least `similarity`; all such pairs are
-    linked, and no others. Groups are closed under links. A row without an id stays only if no row of its
-    group has one; of rows that share an id and their words one stays.
-    """
-    with shuffles_freed(df.sparkSession):
-        prints = settle(shingle_prints(df, text, [doc_id], words, similarity), "shingles")
-        first = F.min(F.struct("_key", "_size", "_leading")).alias("_one")
-        classes = prints.groupBy("_words").agg(F.min(doc_id).alias("_least"), first).select("_words", "_least", "_one.*")
-        classes = settle(classes, "classes")
-        edges = similar(df, text, classes, words, similarity)
-        grouped = grouped_by(prints.select(doc_id, "_words"), doc_id, "_words", classes.select("_words", "_least"), edges)
-        return _one_of_each(df, doc_id, text, prints.select(doc_id), grouped, "_words", lambda x: word_prints(x, "_body", ["_whole", "_id"]))
-
-
-def keep_one(df: DataFrame, doc_id: str, text: str, words: int = 3, radius: int = 2) -> DataFrame:
-    """df with one row of each group of near duplicates: that with the smallest id. All columns stay.
-
-    A row without an id stays only if no row of its group has one; of rows that share an id and a
-    fingerprint one stays. Where ids are unique, rows are chosen by id; else by id and fingerprint.
-    """
-    prints = settle(fingerprints(df, text, [doc_id], words), "fingerprints")
-    grouped = group_by_fingerprint(prints, doc_id, radius)
-    return _one_of_each(df, doc_id, text, prints, grouped, "_fp", lambda x: fingerprints(x, "_body", ["_whole", "_id"], words))
-
-
-def _one_of_each(df: DataFrame, doc_id: str, text: str, ids: DataFrame, grouped: DataFrame, node: str, tag: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """One row of each group: by id where ids are unique, else by id and node, with which `tag` marks rows again."""
-    repeated = ids.groupBy(doc_id).count().where(F.col(doc_id).isNull() | (F.col("count") > 1))
-    if not repeated.limit(1).count():
-        kept = settle(grouped.where(F.col(doc_id) == F.col("component_id")).select(F.col(doc_id).alias("_kept")), "kept")
-        # sorted and merged at every size: the ids to keep are as many as the documents, never a table to broadcast
-        return df.join(kept.hint("merge"), F.col(doc_id) == F.col("_kept"), "left_semi")
-    first = F.min(F.struct(F.col(doc_id).isNull(), F.col(doc_id).alias("_kept"), F.col(node).alias("_node")))
-    kept = settle(grouped.groupBy("_root").agg(first.alias("_row")).select("_row._kept", "_row._node"), "kept")
-    held = df.select(F.struct(*df.columns).alias("_whole"), F.col(doc_id).alias("_id"), F.col(text).alias("_body"))
-    tagged = tag(held)
-    same = F.col("_id").eqNullSafe(F.col("_kept")) & (F.col(node) == F.col("_node"))
-    return tagged.join(kept.hint("merge"), same, "left_semi").dropDuplicates(["_id", node]).select("_whole.*")

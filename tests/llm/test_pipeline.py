@@ -9,14 +9,13 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from plumbline.llm.langid import fit, sample
-from plumbline.llm.mixing import order_key
-from plumbline.llm.queries import production_mix
+from plumbline.llm.mixing import order_key, production_mix
 
 from .helpers import DOCS
 from .test_decontam import shingles
 from .test_langid import labelled
 from .test_mixing import brute as brute_mix
-from .test_simhash import brute_similar
+from .test_similar import brute_similar
 
 
 @pytest.fixture(scope="module")
