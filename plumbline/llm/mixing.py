@@ -1,6 +1,7 @@
 """Mixing sources to target weights, by budgets on a tree of domains, languages and sources.
 
-A node's budget goes to its children by weight. A child never gets more than it can supply (its
+Supplies and budgets are in tokens of the vocabulary that the texts will be encoded with, counted by
+rank-synchronous merging, so that the weights hold in what is written. A node's budget goes to its children by weight. A child never gets more than it can supply (its
 tokens times the number of epochs); what it can't take goes to its siblings by weight, and only when
 all of them are full to the siblings of the node above. Each leaf then takes whole epochs and, of one
 more, a prefix in an order seeded for that epoch.
@@ -10,15 +11,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import settle
+from .tokencount import count_tokens
 
 NONE = "(none)"
-#: Leaves the driver works out budgets for; more raise an error, as sources are meant to be counted in thousands.
-MAX_LEAVES = 200_000
+#: Leaves up to which their plan is broadcast (some 100 bytes each); beyond, rows are joined to it by their leaf.
+BROADCAST = 200_000
 #: Bits of an epoch's order that are looked at in turn; only rows of a leaf that share all of them are sorted.
 BITS = (8, 16)
 LEVELS = ("_domain", "_lang", "_source")
@@ -72,26 +74,43 @@ def spread(budget: int, children: list[tuple[float, int]]) -> list[int]:
     return whole
 
 
+def shares(have: dict[tuple[str, ...], int], budget: int, mix: Mix) -> dict[tuple[str, ...], int]:
+    """A node's budget among its children, by path and the tokens each has."""
+    paths = sorted(have)
+    listed = sum(mix.weights.get(path, 0.0) for path in paths)
+    tempered = {path: have[path] ** mix.temper if have[path] else 0.0 for path in paths if path not in mix.weights}
+    scale = max(0.0, 1.0 - listed) / (sum(tempered.values()) or 1.0)
+    weights = [mix.weights[path] if path in mix.weights else tempered[path] * scale for path in paths]
+    return dict(zip(paths, spread(budget, [(w, have[path] * mix.epochs) for w, path in zip(weights, paths)])))
+
+
 def budgets(supply: dict[tuple[str, ...], int], mix: Mix) -> dict[tuple[str, ...], int]:
-    """Tokens to take from each leaf (domain, lang, source), for the tokens each has."""
-
-    def grow(prefix: tuple[str, ...], budget: int, leaves: list[tuple[str, ...]]) -> None:
-        if len(prefix) == 3:
-            out[prefix] = budget
-            return
-        children: dict[tuple[str, ...], list[tuple[str, ...]]] = {}
-        for leaf in leaves:
-            children.setdefault(leaf[: len(prefix) + 1], []).append(leaf)
-        have = [sum(supply[x] for x in own) for own in children.values()]
-        listed = sum(mix.weights.get(path, 0.0) for path in children)
-        tempered = {path: n**mix.temper if n else 0.0 for path, n in zip(children, have) if path not in mix.weights}
-        scale = max(0.0, 1.0 - listed) / (sum(tempered.values()) or 1.0)
-        weights = [mix.weights[path] if path in mix.weights else tempered[path] * scale for path in children]
-        for (path, own), part in zip(children.items(), spread(budget, [(w, n * mix.epochs) for w, n in zip(weights, have)])):
-            grow(path, part, own)
-
-    out: dict[tuple[str, ...], int] = {}
-    grow((), int(mix.share * sum(supply.values())), sorted(supply))
+    """Tokens to take from each leaf (domain, lang, source), for the tokens each has: from the root down."""
+    parents: dict[tuple[str, ...], int] = {(): int(mix.share * sum(supply.values()))}
+    for depth in range(1, len(LEVELS) + 1):
+        have: dict[tuple[str, ...], dict] = {}
+        for leaf, n in supply.items():
+            own = have.setdefault(leaf[: depth - 1], {})
+            own[leaf[:depth]] = own.get(leaf[:depth], 0) + n
+        parents = {path: part for parent, own in have.items() for path, part in shares(own, parents[parent], mix).items()}
+    return parents
+
+
+def budget_table(stats: DataFrame, mix: Mix) -> DataFrame:
+    """stats (LEVELS and _supply) with _budget, worked out as by budgets(): each node's children in a task, however many leaves there are."""
+    total = stats.agg(F.sum("_supply")).first()[0] or 0
+    out = stats.select(*LEVELS, "_supply", F.lit(int(mix.share * total)).cast("long").alias("_budget"))
+    for depth in range(1, len(LEVELS) + 1):
+        own, parent = list(LEVELS[:depth]), list(LEVELS[: depth - 1])
+
+        def divide(rows: pd.DataFrame, own=own) -> pd.DataFrame:
+            paths = [tuple(r) for r in rows[own].itertuples(index=False)]
+            given = shares(dict(zip(paths, rows["_supply"].tolist())), int(rows["_budget"].iloc[0]), mix)
+            return rows[own].assign(_budget=[given[p] for p in paths])
+
+        nodes = out.groupBy(*own).agg(F.sum("_supply").alias("_supply"), F.first("_budget").alias("_budget"))
+        divided = nodes.groupBy(*parent).applyInPandas(divide, ", ".join(f"{c} string" for c in own) + ", _budget long")
+        out = out.drop("_budget").join(divided, own)
     return out
 
 
@@ -109,33 +128,25 @@ def leaf_columns(source: str, lang: str, mix: Mix) -> list[Column]:
     return [domain.alias("_domain"), F.coalesce(F.col(lang), F.lit(NONE)).alias("_lang"), F.coalesce(F.col(source), F.lit(NONE)).alias("_source")]
 
 
-def tokens(text: str) -> Column:
-    """Tokens of a text for budgets: its runs of characters other than white space (null: 0)."""
-    return F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+def counted(df: DataFrame, doc_id: str, text: str, lang: str, source: str, mix: Mix, path: str, remembered: int) -> DataFrame:
+    """LEVELS, _id and _n (tokens) of each row, settled: texts are counted once, only names and numbers are kept."""
+    own = df.select(*leaf_columns(source, lang, mix), F.col(doc_id).alias("_id"), F.col(text).alias("_body"))
+    return settle(count_tokens(own, "_body", path, [*LEVELS, "_id"], remembered=remembered).select(*LEVELS, "_id", F.col("n_tokens").alias("_n")), "tokens")
 
 
-def plan(df: DataFrame, doc_id: str, text: str, lang: str, source: str, mix: Mix) -> DataFrame:
-    """A row for each leaf: its columns, _supply, _budget, _epochs (taken whole), and _key, _last: the place of the
-    last document of the prefix taken in one more epoch (nulls: none).
+def plan(narrow: DataFrame, mix: Mix) -> DataFrame:
+    """A row for each leaf of narrow (LEVELS, _id, _n): its columns, _supply, _budget, _epochs (taken whole), and _key,
+    _last: the place of the last document of the prefix taken in one more epoch (nulls: none).
 
-    Tokens are counted once, into a settled table of ids and numbers. A leaf's prefix is found without
-    sorting the leaf: sums over slots of the epoch's order tell the slot in which the budget ends, sums
-    over its own slots the one within, and that one's rows alone are sorted. A prefix ends before the document that would exceed the budget.
+    A leaf's prefix is found without sorting the leaf: sums over slots of the epoch's order tell the slot
+    in which the budget ends, sums over its own slots the one within, and that one's rows alone are
+    sorted. A prefix ends before the document that would exceed the budget.
     """
-    spark = df.sparkSession
-    narrow = df.select(*leaf_columns(source, lang, mix), F.col(doc_id).alias("_id"), tokens(text).alias("_n"))
-    narrow = settle(narrow, "tokens")
-    stats = narrow.groupBy(*LEVELS).agg(F.sum("_n").alias("s")).limit(MAX_LEAVES + 1).collect()
-    if len(stats) > MAX_LEAVES:
-        raise ValueError(f"more than {MAX_LEAVES} leaves; group sources into fewer")
-    supply = {tuple(r[:3]): int(r["s"]) for r in stats}
-    rows = []
-    for leaf, budget in budgets(supply, mix).items():
-        whole = budget // supply[leaf] if supply[leaf] else 0
-        rows.append((*leaf, supply[leaf], budget, whole, budget - whole * supply[leaf]))
-    schema = "_domain string, _lang string, _source string, _supply long, _budget long, _epochs int, _left long"
-    leaves = spark.createDataFrame(rows, schema)
-    part = narrow.join(F.broadcast(leaves.where("_left > 0")), list(LEVELS))  # at most MAX_LEAVES rows
+    stats = settle(narrow.groupBy(*LEVELS).agg(F.sum("_n").alias("_supply")), "supply")
+    leaves = budget_table(stats, mix).withColumn("_epochs", F.expr("coalesce(cast(_budget div nullif(_supply, 0) as int), 0)"))
+    leaves = settle(leaves.withColumn("_left", F.col("_budget") - F.col("_epochs") * F.col("_supply")), "leaves")
+    near = met(leaves)
+    part = narrow.join(near(leaves.where("_left > 0")), list(LEVELS))
     part = part.select(*LEVELS, "_id", "_n", "_left", order_key(F.col("_epochs"), "_id", mix.seed).alias("_key"))
     inside = part.withColumn("_before", F.lit(0).cast("long"))
     for bits in BITS:
@@ -146,7 +157,7 @@ def plan(df: DataFrame, doc_id: str, text: str, lang: str, source: str, mix: Mix
         ended = slots.withColumn("_upto", upto).where("_upto > _left").groupBy(*LEVELS)
         # the first slot that doesn't fit; a prefix is never all of a leaf, so there is one
         cut = settle(ended.agg(F.min("_slot").alias("_cut"), F.min_by(F.col("_upto") - F.col("_sum"), "_slot").alias("_before")), "cut")
-        inside = part.join(F.broadcast(cut), list(LEVELS)).where(slot == F.col("_cut"))
+        inside = part.join(near(cut), list(LEVELS)).where(slot == F.col("_cut"))
     within = Window.partitionBy(*LEVELS).orderBy("_key", "_id").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     inside = inside.withColumn("_run", F.sum("_n").over(within) + F.col("_before"))
     ends = inside.where("_run <= _left").groupBy(*LEVELS).agg(F.max(F.struct("_key", "_id")).alias("_at"))
@@ -158,19 +169,57 @@ def plan(df: DataFrame, doc_id: str, text: str, lang: str, source: str, mix: Mix
     )
 
 
-def mix_sources(df: DataFrame, doc_id: str, text: str, lang: str, source: str, mix: Mix) -> DataFrame:
-    """df with a row for each time a document is taken, and the epoch (from 0) as _epoch.
+def met(leaves: DataFrame):
+    """How rows meet a table with a row for each leaf: broadcast if there are few leaves."""
+    return F.broadcast if leaves.count() <= BROADCAST else lambda df: df
 
-    A leaf's documents are all taken in its whole epochs, and in one more those of a prefix of its seeded
-    order; rows that share an id go together. Null languages and sources are leaves of their own. A leaf
-    without tokens isn't taken. Texts aren't shuffled: each row meets its leaf's plan, a table of at most
-    MAX_LEAVES rows.
-    """
-    leaves = plan(df, doc_id, text, lang, source, mix).select(*LEVELS, "_epochs", F.col("_key").alias("_end"), "_last")
-    own = df.select("*", *leaf_columns(source, lang, mix)).join(F.broadcast(leaves), list(LEVELS))
-    key = order_key(F.col("_epochs"), doc_id, mix.seed)
-    tie = (key == F.col("_end")) & (F.col("_last").isNull() | F.col(doc_id).isNull() | (F.col(doc_id) <= F.col("_last")))
+
+def taken(rows: DataFrame, leaves: DataFrame, mix: Mix) -> DataFrame:
+    """rows (LEVELS, _id and others) once for each time a document is taken, with the epoch (from 0) as _epoch."""
+    ends = leaves.select(*LEVELS, "_epochs", F.col("_key").alias("_end"), "_last")
+    own = rows.join(met(ends)(ends), list(LEVELS))
+    key = order_key(F.col("_epochs"), "_id", mix.seed)
+    tie = (key == F.col("_end")) & (F.col("_last").isNull() | F.col("_id").isNull() | (F.col("_id") <= F.col("_last")))
     in_prefix = F.coalesce((key < F.col("_end")) | tie, F.lit(False))
     times = F.col("_epochs") + in_prefix.cast("int")
     epochs = F.when(times > 0, F.sequence(F.lit(0), times - 1)).otherwise(F.array().cast("array<int>"))
-    return own.select(*(own[c] for c in df.columns), *(F.col(c) for c in LEVELS), F.explode(epochs).alias("_epoch"))
+    return own.select(*rows.columns, F.explode(epochs).alias("_epoch"))
+
+
+def mix_sources(df: DataFrame, doc_id: str, text: str, lang: str, source: str, mix: Mix, path: str, remembered: int = 700_000) -> DataFrame:
+    """df's columns, then mix_domain, mix_lang, mix_source and mix_epoch (from 0): a row for each time a document is taken.
+
+    Supplies are counted in tokens of the vocabulary file at `path`. A leaf's documents are all taken in
+    its whole epochs, and in one more those of a prefix of its seeded order; rows that share an id go
+    together. Null languages and sources are leaves of their own. A leaf without tokens (null or empty
+    texts) isn't taken, and an empty table gives an empty result. Where df has a column of one of the
+    names added, the added one gets an underscore. Texts aren't shuffled, unless there are more than
+    BROADCAST leaves.
+    """
+    leaves = plan(counted(df, doc_id, text, lang, source, mix, path, remembered), mix)
+    rows = df.select(F.struct(*(df[c] for c in df.columns)).alias("_whole"), *leaf_columns(source, lang, mix), F.col(doc_id).alias("_id"))
+    added = []
+    for name in ("mix_domain", "mix_lang", "mix_source", "mix_epoch"):
+        while name in df.columns:
+            name += "_"
+        added.append(name)
+    return taken(rows, leaves, mix).select("_whole.*", *(F.col(c).alias(n) for c, n in zip((*LEVELS, "_epoch"), added)))
+
+
+def mix_table(df: DataFrame, doc_id: str, text: str, lang: str, source: str, mix: Mix, path: str, remembered: int = 700_000) -> DataFrame:
+    """doc_id, domain, lang, source, epoch and n_tokens of what mix_sources takes, without reading texts again.
+
+    Null languages and sources come back as null. Repeated rows repeat; an empty table gives an empty result.
+    """
+    narrow = counted(df, doc_id, text, lang, source, mix, path, remembered)
+    out = taken(narrow, plan(narrow, mix), mix)
+    known = lambda c: F.when(F.col(c) != NONE, F.col(c))
+    return out.select(F.col("_id").alias("doc_id"), F.col("_domain").alias("domain"), known("_lang").alias("lang"), known("_source").alias("source"), F.col("_epoch").alias("epoch"), F.col("_n").alias("n_tokens"))
+
+
+def production_mix() -> Mix:
+    """Domains of the known sources, and the weights to aim at; other sources form the domain `other`."""
+    names = {"crawl": range(0, 1), "reference": range(1, 7), "forum": range(7, 14), "news": range(14, 20)}
+    weights = {("crawl",): 0.4, ("reference",): 0.25, ("forum",): 0.15, ("news",): 0.18}
+    weights |= {(d, lang): w for d in names for lang, w in (("en", 0.5), ("fr", 0.2), ("de", 0.2))}
+    return Mix(weights=weights, domains={f"src{k}": d for d, own in names.items() for k in own})

@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from . import decontam, merkle, secrets, sharding, warc
 
@@ -29,21 +28,10 @@ def op2_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_edits(documents(spark, sf_dir), "doc_id", "text")
 
 
-def production_mix():
-    """Domains of the known sources, and the weights to aim at; other sources form the domain `other`."""
-    from .mixing import Mix
-
-    names = {"crawl": range(0, 1), "reference": range(1, 7), "forum": range(7, 14), "news": range(14, 20)}
-    weights = {("crawl",): 0.4, ("reference",): 0.25, ("forum",): 0.15, ("news",): 0.18}
-    weights |= {(d, lang): w for d in names for lang, w in (("en", 0.5), ("fr", 0.2), ("de", 0.2))}
-    return Mix(weights=weights, domains={f"src{k}": d for d, own in names.items() for k in own})
-
-
 def op3_hierarchical_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .mixing import mix_sources, tokens
+    from .mixing import mix_table, production_mix
 
-    taken = mix_sources(documents(spark, sf_dir), "doc_id", "text", "lang", "source", production_mix())
-    return taken.select("doc_id", F.col("_domain").alias("domain"), "lang", "source", F.col("_epoch").alias("epoch"), tokens("text").alias("n_tokens"))
+    return mix_table(documents(spark, sf_dir), "doc_id", "text", "lang", "source", production_mix(), WORD_BPE)
 
 
 def op4_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -95,7 +95,8 @@ def _merger(path: str) -> RankMerger:
 class TokenCounter:
     """Counts tokens of texts exactly as the library would, remembering the counts of pre-tokens."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
+        self.remembered = remembered
         self.bpe, self.merger = load(path), _merger(path)
         self.known: dict[str, int] = {}
         self.byte_of = {c: b for b, c in enumerate(byte_characters())}
@@ -123,7 +124,7 @@ class TokenCounter:
                 if words:
                     raw = [bytes(self.byte_of[c] for c in w) for w in words]
                     extra[k] += int(self.merger.count(raw).sum())
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > self.remembered:
             self.known.clear()
         known, new = self.known, set()
         for chunks in lists:
@@ -137,12 +138,12 @@ class TokenCounter:
 
 
 @lru_cache(maxsize=1)
-def counter_of(path: str) -> TokenCounter:
+def counter_of(path: str, remembered: int = REMEMBERED) -> TokenCounter:
     """A Python worker keeps its counter, with what it has counted, from task to task."""
-    return TokenCounter(path)
+    return TokenCounter(path, remembered)
 
 
-def count_tokens(df: DataFrame, text: str, path: str, keep: list[str], limit: int = 2048) -> DataFrame:
+def count_tokens(df: DataFrame, text: str, path: str, keep: list[str], limit: int = 2048, remembered: int = REMEMBERED) -> DataFrame:
     """Columns `keep` of each row, then n_bytes (UTF-8), n_tokens and over_limit (n_tokens > limit).
 
     path names a word-end BPE file that every executor can open. No special tokens are added; special
@@ -152,9 +153,12 @@ def count_tokens(df: DataFrame, text: str, path: str, keep: list[str], limit: in
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = counter_of(path)
+        counter = counter_of(path, remembered)
         for batch in batches:
-            counts = counter.counts(batch.column(len(keep) + 1).to_pylist())
+            texts, counts = batch.column(len(keep) + 1), []
+            step = max(1, AT_ONCE * batch.num_rows // max(1, texts.nbytes))
+            for at in range(0, batch.num_rows, step):
+                counts += counter.counts(texts.slice(at, step).to_pylist())
             n = pa.array(counts, pa.int64())
             over = pa.array([c > limit for c in counts], pa.bool_())
             arrays = [*batch.columns[: len(keep) + 1], n, over]

@@ -1,10 +1,11 @@
 import random
-import re
 from collections import Counter
 
+import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
-from plumbline.llm.mixing import Mix, budgets, mix_sources, order_key, spread
+from plumbline.llm.mixing import Mix, budget_table, budgets, mix_sources, mix_table, order_key, production_mix, spread
 
 from .helpers import awkward, frame
 
@@ -36,9 +37,16 @@ def test_shortage_goes_to_siblings_before_ancestors():
     assert dry[("a", "fr", "x")] in (140, 141) and dry[("b", "en", "x")] in (150, 151) and sum(dry.values()) == 301
 
 
+PATH = public_tokenizers.path("word_bpe_49k.json")
+LIBRARY = Tokenizer.from_file(PATH)
+
+
+def size(r):
+    return len(LIBRARY.encode(r[1] or "", add_special_tokens=False).ids)
+
+
 def brute(rows, keys, mix):
     leaf = lambda r: (mix.domains.get(r[3] or "(none)", mix.rest), r[2] or "(none)", r[3] or "(none)")
-    size = lambda r: len(re.findall(r"[^\x20\x09-\x0d]+", r[1] or ""))
     supply = Counter()
     for r in rows:
         supply[leaf(r)] += size(r)
@@ -63,12 +71,42 @@ def test_prefixes_match_brute_force(spark, share, epochs):
     df = frame(spark, rows, clash=True)
     each = df.select("doc_id", *(order_key(e, "doc_id", mix.seed).alias(str(e)) for e in range(5))).distinct().collect()
     keys = {(r.doc_id, e): r[str(e)] for r in each for e in range(5)}
-    taken = mix_sources(df, "doc_id", "text", "lang", "source", mix)
-    assert taken.columns == [*df.columns, "_domain", "_lang", "_source", "_epoch"]
-    got = taken.select("doc_id", "_domain", "_lang", "_source", "_epoch").collect()
+    taken = mix_sources(df, "doc_id", "text", "lang", "source", mix, PATH)
+    assert taken.columns == [*df.columns, "mix_domain", "mix_lang", "mix_source", "mix_epoch"]
+    got = taken.select("doc_id", "mix_domain", "mix_lang", "mix_source", "mix_epoch").collect()
     assert sorted(map(tuple, got), key=str) == brute(rows, keys, mix)
+    table = mix_table(df, "doc_id", "text", "lang", "source", mix, PATH).collect()
+    assert sorted(((r.doc_id, r.domain, r.lang or "(none)", r.source or "(none)", r.epoch) for r in table), key=str) == brute(rows, keys, mix)
+    sizes = Counter((r[0], size(r)) for r in rows)
+    assert all((r.doc_id, r.n_tokens) in sizes for r in table)
+
+
+def test_columns_of_any_name(spark):
+    names = ["_domain", "_lang", "_source", "_epochs", "_last", "_end", "_epoch", "_id", "_n", "_whole", "mix_epoch", "_body"]
+    df = spark.createDataFrame([(k, f"text number {k}", "en", "a", *range(len(names))) for k in range(20)], "doc_id long, text string, lang string, source string, " + ", ".join(f"{n} long" for n in names))
+    got = mix_sources(df, "doc_id", "text", "lang", "source", Mix(share=0.5, epochs=1), PATH)
+    assert got.columns == [*df.columns, "mix_domain", "mix_lang", "mix_source", "mix_epoch_"] and 5 < got.count() < 15
+    assert {tuple(r)[4:-4] for r in got.collect()} == {tuple(range(len(names)))}
+
+
+def test_budgets_are_the_same_by_tasks(spark, monkeypatch):
+    pick, mix = random.Random(4), production_mix()
+    supply = {(mix.domains.get(f"src{k}", "other"), lang, f"src{k}"): pick.choice([0, 5, 1000, 10**9]) for k in range(30) for lang in ("en", "fr", "de", "es")}
+    stats = spark.createDataFrame([(*k, v) for k, v in supply.items()], "_domain string, _lang string, _source string, _supply long")
+    got = {tuple(r)[:3]: r._budget for r in budget_table(stats, mix).select("_domain", "_lang", "_source", "_budget").collect()}
+    assert got == budgets(supply, mix)
+    import plumbline.llm.mixing as module
+
+    monkeypatch.setattr(module, "BROADCAST", 0)
+    rows = [(k, "w " * (k % 9), "en", f"s{k % 5}", 0) for k in range(100)]
+    one = lambda: sorted(map(tuple, mix_sources(frame(spark, rows), "doc_id", "text", "lang", "source", Mix(share=0.5), PATH).collect()))
+    joined = one()
+    monkeypatch.undo()
+    assert joined == one() and joined
 
 
 def test_empty(spark):
-    assert mix_sources(frame(spark, []), "doc_id", "text", "lang", "source", Mix()).count() == 0
-    assert mix_sources(frame(spark, [(1, None, "en", "a", 0)]), "doc_id", "text", "lang", "source", Mix()).count() == 0
+    for rows in ([], [(1, None, "en", "a", 0)], [(1, "", None, None, 0)]):
+        df = frame(spark, rows)
+        assert mix_sources(df, "doc_id", "text", "lang", "source", Mix(), PATH).count() == 0
+        assert mix_table(df, "doc_id", "text", "lang", "source", Mix(), PATH).count() == 0
