@@ -14,14 +14,21 @@ def sha(s):
 
 
 def tree(text):
-    parts = []
-    for s in text.split("\n\n"):
-        parts.append(sha("".join(sha("".join(sha(x)[:32] for x in re.findall(PIECE, p))) for p in s.split("\n"))))
-    return sha("".join(parts)), {sha(x)[:10] for s in text.split("\n\n") for p in s.split("\n") for x in re.findall(PIECE, p)}
+    """Root, branches and paragraph digests by section."""
+    found = [[[sha(x)[:32] for x in re.findall(PIECE, p)] for p in s.split("\n")] for s in text.split("\n\n")]
+    own = [[sha("".join(p)) for p in s] for s in found]
+    parts = [sha("".join(s)) for s in own]
+    every = [*parts, *(p for s in own for p in s), *(x for s in found for p in s for x in p)]
+    return sha("".join(parts)), {int(x[:10], 16) for x in every}, own
 
 
 def like(a, b):
-    return len(a & b) / len(a | b) if a | b else 1.0
+    return 2 * len(a & b) / (len(a) + len(b))
+
+
+def places(a, b):
+    get = lambda x, k: x[k] if k < len(x) else []
+    return [(k, i) for k in range(max(len(a), len(b))) for x, y in [(get(a, k), get(b, k))] for i in range(max(len(x), len(y))) if x[i : i + 1] != y[i : i + 1]]
 
 
 def brute(rows):
@@ -34,8 +41,8 @@ def brute(rows):
         text, follow = t or "", min(by_id[order[(order.index(d) + 1) % len(order)]], key=lambda x: tree(x)[0])
         k = len(text) // 4
         edit = text[: len(text) - k] + follow[:k]
-        (fp, own), (efp, changed), (_, after) = tree(text), tree(edit), tree(follow)
-        out.append((d, len(text), sha(edit), fp, efp, like(own, changed), like(own, after)))
+        (fp, own, at), (efp, changed, to), (_, after, _) = tree(text), tree(edit), tree(follow)
+        out.append((d, len(text), sha(edit), fp, efp, like(own, changed), like(own, after), ",".join(f"{k}.{i}" for k, i in places(at, to))))
     return sorted(out, key=str)
 
 
@@ -50,6 +57,21 @@ def test_edits_match_brute_force(spark):
     assert sorted(map(tuple, got), key=str) == brute(distinct)
 
 
+def test_sql_gives_the_same(spark, tmp_path):
+    import duckdb
+
+    from plumbline.llm.merkle import ORACLE
+
+    pick = random.Random(7)
+    rows = [(3 * k, "".join(pick.choice("abc.\n\n ,") for _ in range(pick.randint(0, 300))), "en", "a", 0) for k in range(60)]
+    df = frame(spark, rows)
+    df.write.parquet(f"{tmp_path}/d")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/d/*.parquet'")
+    got = fingerprint_edits(df, "doc_id", "text")
+    assert sorted(map(tuple, got.collect())) == sorted(con.execute(ORACLE).fetchall())
+
+
 def test_one_row_follows_itself_and_no_row_gives_none(spark):
     one = [(4, "abcdefgh", "en", "a", 0)]
     assert [tuple(r) for r in fingerprint_edits(frame(spark, one), "doc_id", "text").collect()] == brute(one)
