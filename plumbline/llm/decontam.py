@@ -1,28 +1,37 @@
 """Benchmark items inside documents: size-partitioned MinHash search for containment, verified by exact shingles.
 
-Items are partitioned by their number n of distinct shingles. Of n shingles, a text that contains at
-least the share t holds all but floor((1-t) n); so among the n - ceil(t n) + 1 shingles with the least
-hashes (the item's MinHash sketch, whose length its size class sets) it holds one at least. A document
-is looked up with those of its shingles whose hash is no larger than the largest in a size class's
-sketches, and each item so met is verified by its exact shingles. No containing pair is missed.
+Items are partitioned into classes by their number n of distinct shingles, from 2^(k-1) to 2^k - 1. The
+class sets the length of its items' MinHash sketches: of a class's largest items a text with at least
+the share t may lack floor((1-t) (2^k - 1)) shingles, and a sketch has one more of the least hashes. So a
+containing text holds at least one hash of the sketch, and of a smaller item of the class more: the
+sketch's length less floor((1-t) n). Documents are looked up with those of their shingles whose hash
+is no larger than the largest in a class's sketches, and an item of whose sketch enough is met is
+verified by its exact shingles. No containing pair is missed.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-#: Bytes of item texts that are held by each worker at once; more items are searched in blocks.
-BLOCK_BYTES = 16 << 20
-#: Bytes of document text that are hashed together.
-AT_ONCE = 2 << 20
+from .common import settle
+from .files import locate
+
+#: Bytes of item texts in a block, and blocks whose index a worker holds at once (some 3 bytes for each byte of text).
+BLOCK_BYTES, HELD = 32 << 20, 2
+#: Bytes of document text that are hashed together, and that are gathered before blocks are gone through, if there are many.
+AT_ONCE, GATHERED = 2 << 20, 32 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15)
 # a word: a run of letters, digits and all that isn't ASCII
 _word = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -70,77 +79,133 @@ def run_hashes(words: np.ndarray, size: int) -> np.ndarray:
     return mixed(total)
 
 
+def missing(n: int, share: float) -> int:
+    """Shingles of n that a text with at least `share` of them may lack."""
+    return n - math.ceil(share * n - 1e-9)
+
+
+def sketch_length(n: int, share: float) -> int:
+    """Length of the sketches of items with n distinct shingles: the same for a whole class of sizes."""
+    largest = (1 << n.bit_length()) - 1
+    return missing(largest, share) + 1
+
+
+@dataclass
+class Sketches:
+    """The sketches of items with shingles of `length` words in a class of sizes: hashes, sorted, and their items."""
+
+    length: int
+    hashes: np.ndarray
+    items: np.ndarray
+
+
 class Items:
-    """A block of items: their shingles, and the items to verify for each hash in a sketch."""
+    """A block of items: their texts, and sketches by length of a shingle and class of sizes."""
 
-    def __init__(self, rows: list[tuple[object, str]], size: int, share: float):
+    def __init__(self, texts: list[str | None], size: int, share: float):
         self.size, self.share = size, share
-        self.ids, self.sets, met = [], [], defaultdict(list)
-        for item_id, text in rows:
-            words = words_of(text)
-            shingles = shingles_of(words, size)
-            if not shingles:
+        self.words = [words_of(t or "") for t in texts]
+        self.n = np.zeros(len(texts), np.int64)
+        self.need = np.zeros(len(texts), np.int64)
+        found: dict[tuple[int, int], tuple[list, list]] = {}
+        for k, words in enumerate(self.words):
+            if not words:
                 continue
             length = min(size, len(words))
-            own = sorted(int(self.hash_of(s)) for s in shingles)
-            for h in own[: len(shingles) - math.ceil(share * len(shingles) - 1e-9) + 1]:
-                met[length, len(shingles).bit_length(), h].append(len(self.ids))
-            self.ids.append(item_id)
-            self.sets.append(shingles)
-        by_class: dict[tuple[int, int], list[int]] = defaultdict(list)
-        for length, size_class, h in met:
-            by_class[length, size_class].append(h)
-        self.met = dict(met)
-        #: for each length of a shingle and each class of sizes (powers of two): the sketches' hashes, sorted
-        self.sketches = {k: np.unique(np.array(v, np.uint64)) for k, v in sorted(by_class.items())}
-
-    @staticmethod
-    def hash_of(shingle: tuple[bytes, ...]) -> np.uint64:
-        _, h = word_hashes(np.frombuffer(b" ".join(shingle), np.uint8))
-        return run_hashes(h, len(shingle))[0]
-
-    def search(self, texts: list[str]) -> list[tuple[int, object, int, int]]:
-        """text's index, item id, shingles in common, the item's shingles, for all containing pairs."""
+            _, h = word_hashes(np.frombuffer(b" ".join(words), np.uint8))
+            # by hash, a sketch is the least of them; equal hashes of different shingles only make it longer
+            own = np.unique(run_hashes(h, length))
+            self.n[k] = n = len(shingles_of(words, size))
+            sketch = own[: sketch_length(n, share)]
+            self.need[k] = max(1, len(sketch) - missing(n, share))
+            hashes, items = found.setdefault((length, n.bit_length()), ([], []))
+            hashes.append(sketch)
+            items.append(np.full(len(sketch), k))
+        self.sketches = []
+        for (length, _), (hashes, items) in sorted(found.items()):
+            hashes, items = np.concatenate(hashes), np.concatenate(items)
+            order = np.argsort(hashes, kind="stable")
+            self.sketches.append(Sketches(length, hashes[order], items[order]))
+
+    def met(self, h: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """doc and item, [2, n], of the pairs with enough of the item's sketch in the document, for the hash and document of each word."""
+        pairs, length, hashes = [], None, h
+        for s in self.sketches:
+            if s.length != length:
+                length, hashes = s.length, run_hashes(h, s.length)
+            low = np.flatnonzero(hashes <= s.hashes[-1])
+            low = low[doc[low] == doc[low + length - 1]]
+            low = low[s.hashes[np.searchsorted(s.hashes, hashes[low])] == hashes[low]]
+            # a shingle counts once for a document
+            order = np.lexsort((hashes[low], doc[low]))
+            low = low[order]
+            low = low[np.r_[True, (np.diff(doc[low]) != 0) | (np.diff(hashes[low]) != 0)]] if len(low) else low
+            first, last = (np.searchsorted(s.hashes, hashes[low], side) for side in ("left", "right"))
+            times = last - first
+            at = np.repeat(first, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            key, hits = np.unique(np.repeat(doc[low], times) * len(self.n) + s.items[at], return_counts=True)
+            item = key % len(self.n)
+            enough = hits >= self.need[item]
+            pairs.append(np.stack([key[enough] // len(self.n), item[enough]]))
+        return np.concatenate([np.zeros((2, 0), np.int64), *pairs], axis=1)
+
+    def search(self, texts: list[str]) -> list[tuple[int, int, int, int]]:
+        """text's index, item's index, shingles in common, the item's shingles, for all containing pairs."""
         lowered = [t.lower().encode("utf-8", "surrogatepass") for t in texts]
         data = np.frombuffer(b"\n".join(lowered), np.uint8)
-        if not len(data):
+        if not len(data) or not self.sketches:
             return []
         starts, h = word_hashes(data)
         ends = np.cumsum([len(b) + 1 for b in lowered])
         doc = np.searchsorted(ends, starts, side="right")
-        pairs, last, hashes = set(), None, h
-        for (length, size_class), sketch in self.sketches.items():
-            if length != last:
-                last, hashes = length, run_hashes(h, length)
-            low = np.flatnonzero(hashes <= sketch[-1])
-            low = low[doc[low] == doc[low + length - 1]]
-            at = np.minimum(np.searchsorted(sketch, hashes[low]), len(sketch) - 1)
-            for k in low[sketch[at] == hashes[low]].tolist():
-                pairs.update((int(doc[k]), i) for i in self.met[length, size_class, int(hashes[k])])
         out, held = [], (-1, {})
-        for d, i in sorted(pairs):
-            item = self.sets[i]
-            length = len(next(iter(item)))
+        for d, i in sorted(map(tuple, self.met(h, doc).T.tolist())):
+            item = shingles_of(self.words[i], self.size)
+            length = min(self.size, len(self.words[i]))
             if held[0] != d:
                 held = (d, {})
             if length not in held[1]:
                 held[1][length] = shingles_of(_word.findall(lowered[d]), length)
             common = len(item & held[1][length])
             if common >= self.share * len(item) - 1e-9:
-                out.append((d, self.ids[i], common, len(item)))
+                out.append((d, i, common, len(item)))
         return out
 
 
-def blocks(items: DataFrame, item_id: str, text: str) -> Iterator[list[tuple[object, str]]]:
-    """Items in blocks of at most BLOCK_BYTES of text (or a single item), streamed through the driver."""
+@lru_cache(maxsize=HELD)
+def block_of(uri: str, size: int, share: float) -> tuple[pa.Array, Items]:
+    """Ids and index of a block of items, read from the shared folder; a worker keeps HELD of them from task to task."""
+    system, path = locate(uri)
+    table = pq.read_table(system.open_input_file(path))
+    return table.column(0).combine_chunks(), Items(table.column(1).to_pylist(), size, share)
+
+
+def blocks(items: DataFrame, item_id: str, text: str) -> list[str]:
+    """Files of items with some BLOCK_BYTES of text each, written by the executors below the shared folder."""
+    own = items.select(F.col(item_id).alias("_item"), F.col(text).alias("_text")).where(F.col(text).isNotNull()).distinct()
+    total = own.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
+    return settle(own.repartition(1 + total // BLOCK_BYTES, F.xxhash64("_text")), "items").inputFiles()
+
+
+def gathered(batches: Iterator[pa.RecordBatch], column: int, n_blocks: int) -> Iterator[pa.RecordBatch]:
+    """Batches as they are, or larger ones where there are more blocks than a worker holds, as each has to read them again."""
     held, size = [], 0
-    for row in items.select(item_id, text).where(F.col(text).isNotNull()).distinct().toLocalIterator():
-        if held and size + len(row[1]) * 2 > BLOCK_BYTES:
-            yield held
+    for batch in batches:
+        held.append(batch)
+        size += batch.column(column).nbytes
+        if n_blocks <= HELD or size >= GATHERED:
+            yield held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
             held, size = [], 0
-        held.append((row[0], row[1]))
-        size += len(row[1]) * 2
-    yield held
+    if held:
+        yield held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def hits(texts: pa.Array, index: Items) -> Iterator[tuple[int, int, int, int]]:
+    """What Items.search() finds in a column of texts, AT_ONCE bytes at a time; a null text is empty."""
+    step = max(1, AT_ONCE * len(texts) // max(1, texts.nbytes))
+    for at in range(0, len(texts), step):
+        for d, *rest in index.search([t or "" for t in texts.slice(at, step).to_pylist()]):
+            yield at + d, *rest
 
 
 def contained_items(
@@ -150,58 +215,45 @@ def contained_items(
 
     Contained: at least `share` of the item's distinct runs of `size` words (an item of fewer words: the
     run of all of them) occur in the document. Words are lower-cased runs of letters, digits and
-    anything beyond ASCII. All items are queries against all rows, block by block; a block's size is
-    bounded, so documents are read once for each 16 MB of items and never shuffled. Null or wordless
+    anything beyond ASCII. All items are queries against all rows: documents are read once and never
+    shuffled, and looked up in blocks of items that workers read from the shared folder. Null or wordless
     texts contain nothing and nothing contains them; an item in several rows is searched for each
-    different text; repeated documents repeat their rows.
+    different text; repeated documents repeat their rows. Ids may be of any type; other columns are not
+    read. An empty table of documents or items gives an empty result.
     """
-    d_kind, i_kind = docs.schema[doc_id].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
     narrow = docs.select(F.col(doc_id).alias("_d"), F.col(text).alias("_t")).where(F.col(text).isNotNull())
-    spark, out = docs.sparkSession, None
-    for rows in blocks(items, item_id, item_text):
-        block = spark.sparkContext.broadcast((rows, size, share))
-
-        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            index = Items(*block.value)
-            schema = None
-            for batch in batches:
-                texts, ids = batch.column(1), batch.column(0)
-                schema = schema or pa.schema([("_d", ids.type)])
-                step = max(1, AT_ONCE * batch.num_rows // max(1, texts.nbytes))
-                for at in range(0, batch.num_rows, step):
-                    hits = index.search(texts.slice(at, step).to_pylist())
-                    if hits:
-                        where, item, common, n = zip(*hits)
-                        yield pa.RecordBatch.from_arrays(
-                            [ids.take(pa.array([at + k for k in where])), pa.array(item), pa.array(common, pa.int64()), pa.array(n, pa.int64())],
-                            names=["doc_id", "item_id", "n_common", "n_shingles"],
-                        )
-
-        part = narrow.mapInArrow(run, f"doc_id {d_kind}, item_id {i_kind}, n_common long, n_shingles long")
-        out = part if out is None else out.unionByName(part)
+    files, kind = blocks(items, item_id, item_text), items.schema[item_id].dataType
+    as_given = to_arrow_type(kind)
+    schema = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("item_id", kind), T.StructField("n_common", T.LongType()), T.StructField("n_shingles", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in gathered(batches, 1, len(files)):
+            for file in files:
+                ids, index = block_of(file, size, share)
+                found = list(hits(batch.column(1), index))
+                if found:
+                    where, item, common, n = (pa.array(x, pa.int64()) for x in zip(*found))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(where), ids.take(item).cast(as_given), common, n], names=schema.names)
+
+    out = narrow.mapInArrow(run, schema)
     return out.withColumn("containment", F.col("n_common") / F.col("n_shingles"))
 
 
 def without_contained(docs: DataFrame, text: str, items: DataFrame, item_id: str, item_text: str, size: int = 5, share: float = 0.8) -> DataFrame:
-    """docs without the rows whose text contains an item; all columns stay, and so do null texts."""
-    kinds, names = docs.schema, docs.columns
-    out = docs
-    for rows in blocks(items, item_id, item_text):
-        block = docs.sparkSession.sparkContext.broadcast((rows, size, share))
-
-        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            index = Items(*block.value)
-            for batch in batches:
-                texts = batch.column(names.index(text))
-                step = max(1, AT_ONCE * batch.num_rows // max(1, texts.nbytes))
-                keep = np.ones(batch.num_rows, bool)
-                for at in range(0, batch.num_rows, step):
-                    part = [t or "" for t in texts.slice(at, step).to_pylist()]
-                    keep[[at + d for d, *_ in index.search(part)]] = False
-                yield batch.filter(pa.array(keep))
-
-        out = out.mapInArrow(run, kinds)
-    return out
+    """docs without the rows whose text contains an item; all columns stay, whatever their names, and so do null texts.
+
+    Rows are judged one by one, repeated ones alike. An empty table stays empty; without items all rows stay.
+    """
+    files, at = blocks(items, item_id, item_text), docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in gathered(batches, at, len(files)):
+            keep = np.ones(batch.num_rows, bool)
+            for file in files:
+                keep[[d for d, *_ in hits(batch.column(at), block_of(file, size, share)[1])]] = False
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 _WORDS = r"regexp_extract_all(lower(text), '[^\x00-/:-`{-\x7f]+')"
