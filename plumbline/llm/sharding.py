@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_ranges, running_sum
+from .common import in_ranges, running_sum, tasks_for
 
 # The published algorithm's multiplier and the width of its random draw.
 JUMP_MULTIPLIER = 2862933555777941757
@@ -65,8 +65,9 @@ def shard_layout(df: DataFrame, key: str, text: str, n_shards: int) -> DataFrame
         F.crc32(body.cast("binary")).alias("text_crc32"),
     )
     placed = assign_shards(assign_shards(narrow, "_key", n_shards), "_key", n_shards + 1, "grown_shard").drop("_key")
-    ranged = in_ranges(placed, [key], "shards")
-    slots = running_sum(ranged, [key, "size", "text_crc32"], F.lit(1), "slot", ["shard"])
+    order = [key, "size", "text_crc32"]
+    ranged = in_ranges(placed, order, "shards", tasks_for(df, 1 << 30))
+    slots = running_sum(ranged, order, F.lit(1), "slot", ["shard"])
     return slots.select(key, "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 

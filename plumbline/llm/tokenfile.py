@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import new_path, settle
+from .common import new_path, settle, tasks_for
 from .files import Draft, open_file
 from .wordbpe import WordBPE, load
 
@@ -203,9 +203,9 @@ def write_sequences(
     """Encode whole texts in ascending doc_id order and write them below path; return the settled manifest.
 
     The manifest has a row for each file: uri, place (files in order), n_docs, n_tokens, start (ids in
-    all earlier files). Nulls come first in the order, texts that share a doc_id by text; null texts
-    count as empty and have the end id alone. Each range of ids is one task's file, so files follow the
-    input in number, not in size. An empty table gives an empty manifest.
+    all earlier files). Nulls come first in the order, texts that share a doc_id by XXH64 (seed 42, signed), then
+    by text; null texts count as empty and have the end id alone. Each range is one task's file, so files
+    follow the input in number, not in size. Other columns aren't read. An empty table gives an empty manifest.
     """
     id_type = df.select(doc_id).schema[0].dataType
 
@@ -227,7 +227,10 @@ def write_sequences(
             rows = {"uri": [uri], "place": [place], "n_docs": [n], "n_tokens": [writer.total]}
             yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([("uri", pa.string()), *((k, pa.int64()) for k in list(rows)[1:])]))
 
-    ordered = df.select(F.col(doc_id).cast(id_type), F.col(text)).repartitionByRange(doc_id).sortWithinPartitions(doc_id, text)
+    # by a hash of the text too: rows without an id, or with one id, go to as many ranges as they need
+    order = ["doc_id", "_hash", "text"]
+    named = df.select(F.col(doc_id).cast(id_type).alias("doc_id"), F.col(text).alias("text")).withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    ordered = named.repartitionByRange(tasks_for(df), *order[:2]).sortWithinPartitions(*order).select("doc_id", "text")
     files = settle(ordered.mapInArrow(run, "uri string, place long, n_docs long, n_tokens long"), "manifest")
     # the manifest has a row for each file, and stays small
     before = Window.orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
@@ -262,7 +265,11 @@ def read_documents(manifest: DataFrame, id_type: str) -> DataFrame:
 
 
 def token_files(df: DataFrame, doc_id: str, text: str, tokenizer: str, path: str | None = None, remembered: int = REMEMBERED) -> DataFrame:
-    """Write all documents' ids (see write_sequences) and read them back (see read_documents)."""
+    """Write all documents' ids (see write_sequences) and read them back (see read_documents): a row for each row of df.
+
+    Null texts have the end id alone; repeated rows repeat; columns other than doc_id and text are not read, and may
+    have any names; an empty table gives an empty result.
+    """
     spark = df.sparkSession
     manifest = write_sequences(df, doc_id, text, path or new_path(spark, "tokens"), tokenizer, remembered=remembered)
     return read_documents(manifest, df.schema[doc_id].dataType.simpleString())

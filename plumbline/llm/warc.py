@@ -8,6 +8,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -17,8 +18,8 @@ from pyspark.sql import functions as F
 from .common import new_path, settle
 from .files import Draft, open_stream
 
-#: Bytes read at a time, and compressed bytes after which a task begins another archive.
-CHUNK, ARCHIVE = 1 << 18, 1 << 30
+#: Bytes read at a time, bytes of pages taken from a batch at a time, and compressed bytes after which a task begins another archive.
+CHUNK, AT_ONCE, ARCHIVE = 1 << 18, 4 << 20, 1 << 30
 LEVEL = 1
 # The format's version line and the profile of a record that repeats a payload.
 VERSION = b"WARC/1.1"
@@ -33,8 +34,14 @@ def sha1_base32(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def record_id(key: object) -> str:
-    return f"<urn:page:{key}>"
+def record_id(key: str | None) -> str:
+    """A record's name: the page's id, escaped, or for a page without one a name that holds none."""
+    return f"<urn:uuid:{uuid.uuid4()}>" if key is None else f"<urn:page:{quote(key, safe='')}>"
+
+
+def page_of(name: str | None) -> str | None:
+    """The page's id in a record's name; null if there is none."""
+    return unquote(name.removeprefix("<urn:page:").removesuffix(">")) if name and name.startswith("<urn:page:") else None
 
 
 def record(kind: str, headers: list[tuple[str, str]], block: bytes) -> bytes:
@@ -46,7 +53,7 @@ def record(kind: str, headers: list[tuple[str, str]], block: bytes) -> bytes:
     return packer.compress(b"\r\n".join(lines) + b"\r\n\r\n" + block + b"\r\n\r\n") + packer.flush()
 
 
-def page_record(page_id: object, url: str | None, payload: bytes, original: object | None) -> bytes:
+def page_record(page_id: str | None, url: str | None, payload: bytes, original: str | None) -> bytes:
     """A response, or a revisit of page `original` that keeps the HTTP header but no payload."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     target = "".join(c if " " < c < "\x7f" else "".join(f"%{b:02X}" for b in c.encode()) for c in url or "about:blank")
@@ -112,7 +119,7 @@ def parse(member: bytes) -> Record:
     return Record(headers.get("warc-type", ""), headers, block)
 
 
-def read_pages(stream) -> Iterator[tuple[str, int, str, str, str | None]]:
+def read_pages(stream) -> Iterator[tuple[str | None, int, str, str, str | None]]:
     """Of each record: page id, bytes and digest of the full payload, type, and the page it refers to."""
     for r in map(parse, members(stream)):
         digest = r.headers["warc-payload-digest"].removeprefix("sha1:")
@@ -121,13 +128,15 @@ def read_pages(stream) -> Iterator[tuple[str, int, str, str, str | None]]:
         size = int(sizes[0])
         if r.kind == "response" and (len(payload) != size or sha1_base32(payload) != digest):
             raise WarcError(f"the payload of {r.headers['warc-record-id']} fails its digest")
-        name, to = (h and h.removeprefix("<urn:page:").removesuffix(">") for h in (r.headers["warc-record-id"], r.headers.get("warc-refers-to")))
+        name, to = (page_of(r.headers.get(h)) for h in ("warc-record-id", "warc-refers-to"))
         yield name, size, digest, r.kind, to
 
 
-def write_archives(pages: DataFrame, page_id: str, url: str, html: str, path: str, at_least: int = 0) -> DataFrame:
+def write_archives(pages: DataFrame, page_id: str, url: str, html: str, path: str, at_least: int = 0, archive: int = ARCHIVE) -> DataFrame:
     """Write a record for each page below path; return the settled manifest (uri, n_records).
 
+    A task begins another file after `archive` compressed bytes.
+
     Of pages with equal payloads of at least `at_least` bytes, the one with the smallest id is a
     response and the others revisit it. Only digests and ids are grouped; pages go with their digest's
     first page by a join that Spark may split where a payload is very frequent.
@@ -142,14 +151,16 @@ def write_archives(pages: DataFrame, page_id: str, url: str, html: str, path: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, draft, written, n, uris, counts = TaskContext.get().partitionId(), None, 0, 0, [], []
         for batch in batches:
-            for key, link, payload, to in zip(*(c.to_pylist() for c in batch.columns)):
+            step = max(1, AT_ONCE * batch.num_rows // max(1, batch.column(2).nbytes))
+            parts = (batch.slice(at, step) for at in range(0, batch.num_rows, step))
+            for key, link, payload, to in (row for part in parts for row in zip(*(c.to_pylist() for c in part.columns))):
                 if draft is None:
                     uris.append(f"{path}/part-{place:06d}-{uuid.uuid4().hex}.warc.gz")
                     draft, written, n = Draft(uris[-1]), 0, 0
                 packed = page_record(key, link, payload, to)
                 draft.sink.write(packed)
                 written, n = written + len(packed), n + 1
-                if written >= ARCHIVE:
+                if written >= archive:
                     draft.publish()
                     counts, draft = [*counts, n], None
         if draft:
@@ -180,18 +191,18 @@ def read_archives(manifest: DataFrame, id_type: str) -> DataFrame:
 
     spread = manifest.select("uri").repartition(max(1, manifest.count()))
     out = spread.mapInArrow(run, "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string")
-    number = lambda c: F.when(F.col(c) != "None", F.col(c)).cast(id_type).alias(c)
+    number = lambda c: F.col(c).cast(id_type).alias(c)
     return out.select(number("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to"))
 
 
-def warc_round_trip(pages: DataFrame, page_id: str, url: str, html: str, path: str | None = None) -> DataFrame:
+def warc_round_trip(pages: DataFrame, page_id: str, url: str, html: str, path: str | None = None, at_least: int = 0, archive: int = ARCHIVE) -> DataFrame:
     """Write all pages to archives (see write_archives) and read them back (see read_archives).
 
     A null html is an empty payload, a null url about:blank, a null id comes back as null; pages with
     equal payloads and no smaller id each are a response (repeated rows included). Other columns are
     not read. An empty table gives an empty result.
     """
-    manifest = write_archives(pages, page_id, url, html, path or new_path(pages.sparkSession, "warc"))
+    manifest = write_archives(pages, page_id, url, html, path or new_path(pages.sparkSession, "warc"), at_least, archive)
     return read_archives(manifest, pages.schema[page_id].dataType.simpleString())
 
 
