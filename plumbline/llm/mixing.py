@@ -19,7 +19,8 @@ from .common import settle
 from .tokencount import count_tokens
 
 NONE = "(none)"
-#: Leaves up to which their plan is broadcast (some 100 bytes each); beyond, rows are joined to it by their leaf.
+#: Leaves up to which the driver divides budgets and their plan is broadcast (some 100 bytes each); beyond, tasks
+#: divide them and rows are joined to the plan by their leaf, with the same result.
 BROADCAST = 200_000
 #: Bits of an epoch's order that are looked at in turn; only rows of a leaf that share all of them are sorted.
 BITS = (8, 16)
@@ -97,20 +98,27 @@ def budgets(supply: dict[tuple[str, ...], int], mix: Mix) -> dict[tuple[str, ...
 
 
 def budget_table(stats: DataFrame, mix: Mix) -> DataFrame:
-    """stats (LEVELS and _supply) with _budget, worked out as by budgets(): each node's children in a task, however many leaves there are."""
+    """stats (LEVELS and _supply, settled) with _budget: by budgets(), or of very many leaves each node's children in a task."""
+    if stats.count() <= BROADCAST:
+        supply = {tuple(r[:3]): int(r["_supply"]) for r in stats.select(*LEVELS, "_supply").collect()}
+        rows = [(*leaf, supply[leaf], budget) for leaf, budget in budgets(supply, mix).items()]
+        return stats.sparkSession.createDataFrame(rows, ", ".join(f"{c} string" for c in LEVELS) + ", _supply long, _budget long")
     total = stats.agg(F.sum("_supply")).first()[0] or 0
     out = stats.select(*LEVELS, "_supply", F.lit(int(mix.share * total)).cast("long").alias("_budget"))
-    for depth in range(1, len(LEVELS) + 1):
-        own, parent = list(LEVELS[:depth]), list(LEVELS[: depth - 1])
 
-        def divide(rows: pd.DataFrame, own=own) -> pd.DataFrame:
+    def divider(own: list[str]):
+        def divide(rows: pd.DataFrame) -> pd.DataFrame:
             paths = [tuple(r) for r in rows[own].itertuples(index=False)]
             given = shares(dict(zip(paths, rows["_supply"].tolist())), int(rows["_budget"].iloc[0]), mix)
             return rows[own].assign(_budget=[given[p] for p in paths])
 
+        return divide
+
+    for depth in range(1, len(LEVELS) + 1):
+        own, parent = list(LEVELS[:depth]), list(LEVELS[: depth - 1])
         nodes = out.groupBy(*own).agg(F.sum("_supply").alias("_supply"), F.first("_budget").alias("_budget"))
-        divided = nodes.groupBy(*parent).applyInPandas(divide, ", ".join(f"{c} string" for c in own) + ", _budget long")
-        out = out.drop("_budget").join(divided, own)
+        divided = nodes.groupBy(*parent).applyInPandas(divider(own), ", ".join(f"{c} string" for c in own) + ", _budget long")
+        out = settle(out.drop("_budget").join(divided, own), "budgets")
     return out
 
 
