@@ -3,34 +3,18 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-_written: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see, as a URI.
+from ..sources.scratch import new_folder
 
-    It is what the session names in spark.checkpoint.dir. Only a local master, where driver and
-    executors are one process, falls back to a folder of this machine.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    own = "file://" + tempfile.mkdtemp(prefix="plumbline-shared-")
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
+_written: list[tuple[SparkSession, str]] = []
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder, removed when the driver's Python ends."""
-    path = f"{shared_dir(spark)}/plumbline/{name}-{uuid.uuid4().hex}"
+    path = new_folder(spark, name)
     _written.append((spark, path))
     return path
 

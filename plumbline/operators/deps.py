@@ -10,6 +10,8 @@ from pyspark.sql import types as T
 from ..functions.text import package_name
 from ..functions.web import severity
 from ..sources.manifests import versions_behind
+from ..sources.numbers import numbered
+from ..sources.scratch import new_folder
 
 SEVERITIES = ("critical", "high", "medium", "low", "unknown")
 
@@ -79,6 +81,23 @@ def with_latest(resolved: DataFrame, latest: DataFrame) -> DataFrame:
     return own.withColumn("outdated", F.pandas_udf(behind, T.BooleanType())(F.col("resolved"), F.col("latest")))
 
 
+def zipped(asked: DataFrame, asked_at: str, answers: DataFrame, answers_at: str) -> DataFrame:
+    """Both tables' rows by their places in order (from 0, as place): the first asked meets the first answer.
+
+    Places are numbered by ranges of the order, written once, so neither side is sorted in one task; what has no
+    counterpart meets nulls.
+    """
+
+    def placed(df: DataFrame, at: str) -> DataFrame:
+        spark, path = df.sparkSession, new_folder(df.sparkSession, "ranges")
+        own = df.repartitionByRange(at).select("*", F.spark_partition_id().alias("_part"))
+        own.write.parquet(path)
+        own = numbered(spark.read.schema(own.schema).parquet(path), [F.col("_part"), F.col(at)], "_place")
+        return own.select((F.col("_place") - 1).alias("place"), *(c for c in df.columns if c != at))
+
+    return placed(asked, asked_at).join(placed(answers, answers_at), "place", "full")
+
+
 def normal_advisories(raw: DataFrame, details: DataFrame) -> DataFrame:
     """id, severity, summary, fixed_in, url of each package's advisories, one for each id.
 

@@ -323,7 +323,7 @@ def markdown(node: Node, base: str = "", links: bool = True) -> str:
             writers.pop()
             tables.pop()
             own.breaks(2)
-            for line in table(rows):
+            for line in table(rows).split("\n") if rows else ():
                 own.line(line)
             own.breaks(2)
 
@@ -402,18 +402,18 @@ def resolved(base: str, to: str) -> str:
         return to
 
 
-def table(rows: list[list[str]]) -> list[str]:
-    """The lines of a markdown table, its columns aligned by width; only the head has a cell for every column."""
+def table(rows: list[list[str]]) -> str:
+    """A markdown table, its columns aligned by width; only the head has a cell for every column."""
     rows = [r for r in rows if r]
     if not rows:
-        return []
+        return ""
     rows[0] = rows[0] + [""] * (max(map(len, rows)) - len(rows[0]))
     width = [3] * len(rows[0])
     for r in rows:
         for k, c in enumerate(r):
             width[k] = max(width[k], min(PADDED, len(c)))
     line = lambda r: "| " + " | ".join(c.ljust(w) for c, w in zip(r, width)) + " |"
-    return [line(rows[0]), "|" + "|".join("-" * (w + 2) for w in width) + "|", *map(line, rows[1:])]
+    return "\n".join([line(rows[0]), "|" + "|".join("-" * (w + 2) for w in width) + "|", *map(line, rows[1:])])
 
 
 def clean(md: str) -> str:
@@ -422,7 +422,7 @@ def clean(md: str) -> str:
     md = re.sub(r"!\[[^\[\]]*\]\([^()]*\)|\[[ \t]*\]\([^()]*\)", "", md)
     md = re.sub(r"^(#{1,6})([^# \n])", r"\1 \2", md, flags=re.M)
     md = re.sub(r"(\n---\n){2,}", "\n---\n", md)
-    return without_link_lists(unescaped(md)).strip()
+    return re.sub(r"\n{3,}", "\n\n", without_link_lists(unescaped(md))).strip()
 
 
 def unescaped(md: str) -> str:

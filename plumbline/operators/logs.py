@@ -193,33 +193,57 @@ def parse_lines(lines: DataFrame, log_format: str) -> DataFrame:
     return lines.withColumn("_p", PARSERS[log_format](F.col("raw"))).select(*lines.columns, "_p.*")
 
 
-def running_count(lines: DataFrame, flag: Column, into: str) -> DataFrame:
-    """lines with the number of lines of the source up to and with each for which flag holds.
+def by_blocks(
+    lines: DataFrame, order: tuple[str, ...] = ("line_number",), sums: dict[str, Column] | None = None, maxes: dict[str, Column] | None = None, previous: dict[str, Column] | None = None
+) -> DataFrame:
+    """lines with running sums of flags and running maxima of numbers over each source, up to and with each line, and
+    values of the line before.
 
-    Counts of blocks of lines come first, then counts within a block, so that no task sorts more than a
+    Blocks of lines are summed up first, then lines within a block, so that no task sorts more than a
     block of a long log.
     """
-    own = lines.withColumns({"_flag": F.coalesce(flag, F.lit(False)).cast("long"), "_part": F.floor(F.col("line_number") / BLOCK)})
-    totals = own.groupBy("source", "_part").agg(F.sum("_flag").alias("_n"))
-    earlier = Window.partitionBy("source").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    base = totals.select("source", "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"))
-    within = Window.partitionBy("source", "_part").orderBy("line_number")
-    counted = own.join(base, ["source", "_part"]).withColumn(into, F.col("_base") + F.sum("_flag").over(within))
-    return counted.select(*lines.columns, into)
+    sums, maxes, previous = sums or {}, maxes or {}, previous or {}
+    values = {f"_v_{n}": F.coalesce(f, F.lit(False)).cast("long") for n, f in sums.items()} | {f"_v_{n}": v for n, v in maxes.items()}
+    values |= {f"_v_{n}": F.struct(v.alias("v")) for n, v in previous.items()}
+    own = lines.withColumns(values | {"_part": F.floor(F.col("line_number") / BLOCK)})
+    place = F.struct(*order)
+    ends = [F.sum(f"_v_{n}").alias(f"_b_{n}") for n in sums] + [F.max(f"_v_{n}").alias(f"_b_{n}") for n in maxes] + [F.max_by(f"_v_{n}", place).alias(f"_b_{n}") for n in previous]
+    blocks = Window.partitionBy("source").orderBy("_part")
+    before = blocks.rowsBetween(Window.unboundedPreceding, -1)
+    base = own.groupBy("source", "_part").agg(*ends).select(
+        "source", "_part", *(F.coalesce(F.sum(f"_b_{n}").over(before), F.lit(0)).alias(f"_b_{n}") for n in sums),
+        *(F.max(f"_b_{n}").over(before).alias(f"_b_{n}") for n in maxes), *(F.lag(f"_b_{n}").over(blocks).alias(f"_b_{n}") for n in previous),
+    )
+    within = Window.partitionBy("source", "_part").orderBy(*order)
+    upto = within.rowsBetween(Window.unboundedPreceding, 0)
+    out = {n: F.col(f"_b_{n}") + F.sum(f"_v_{n}").over(upto) for n in sums} | {n: F.greatest(f"_b_{n}", F.max(f"_v_{n}").over(upto)) for n in maxes}
+    out |= {n: F.coalesce(F.lag(f"_v_{n}").over(within), F.col(f"_b_{n}")) for n in previous}
+    done = own.join(base, ["source", "_part"]).select(*lines.columns, *(c.alias(n) for n, c in out.items()))
+    return done.withColumns({n: F.col(n)["v"] for n in previous} | {f"{n}_known": F.col(n).isNotNull() for n in previous}) if previous else done
+
+
+def running_count(lines: DataFrame, flag: Column, into: str) -> DataFrame:
+    """lines with the number of lines of the source up to and with each for which flag holds (see by_blocks)."""
+    return by_blocks(lines, sums={into: flag})
 
 
 def suppressed_lines(parsed: DataFrame, threshold: int = 3, window: int = 100) -> DataFrame:
     """parsed lines with key and suppressed: a line whose key has come more than `threshold` times in the last
     `window` lines that aren't errors or tracebacks (it included). Those two are never suppressed.
 
-    A source's lines are numbered without sorting it as a whole (see running_count); then a key's lines
-    look back over a range of places.
+    A source's lines are numbered without sorting it as a whole (see by_blocks); then a key's lines of a
+    block look back over a range of places. The last lines of a block are seen by the next one too, so
+    that neither a long log nor a line that makes up most of it is one task's.
     """
     plain = ~F.col("category").isin(*PROTECTED)
     own = running_count(parsed.withColumn("key", F.when(plain, log_key(F.col("message")))), F.col("key").isNotNull(), "_seq")
-    back = Window.partitionBy("source", "key").orderBy("_seq").rangeBetween(-(window - 1), 0)
-    often = F.col("key").isNotNull() & (F.count("key").over(back) > threshold)
-    return own.withColumn("suppressed", often).drop("_seq")
+    at = F.floor(F.col("_seq") / BLOCK)
+    ahead = F.col("key").isNotNull() & (F.pmod("_seq", F.lit(BLOCK)) >= BLOCK - (window - 1))
+    seen = F.when(ahead, F.array(at, at + 1)).otherwise(F.array(at))
+    dealt = own.withColumn("_block", F.explode(seen))
+    back = Window.partitionBy("source", "key", "_block").orderBy("_seq").rangeBetween(-(window - 1), 0)
+    marked = dealt.withColumn("suppressed", F.col("key").isNotNull() & (F.count("key").over(back) > threshold))
+    return marked.where(F.col("_block") == at).drop("_seq", "_block")
 
 
 def repeat_groups(marked: DataFrame, threshold: int = 3) -> DataFrame:
@@ -307,11 +331,10 @@ def metric_anomalies(found: DataFrame, max_metrics: int | None = 30) -> DataFram
     bad = held.where(F.col("value").isin("nan", "inf", "-inf"))
     bad = bad.select("source", "line_number", F.lit("ERROR").alias("level"), F.format_string("Anomaly: %s=%s at line %d", "name", "value", "line_number").alias("message"))
     loss = held.where((F.col("name") == "loss") & ~F.col("value").isin("nan", "inf", "-inf"))
-    by = Window.partitionBy("source").orderBy(*order)
-    up = F.coalesce(F.col("number") > F.lag("number").over(by), F.lit(False))
-    runs = loss.withColumn("_up", up).withColumn("_run", F.sum((~F.col("_up")).cast("long")).over(by))
-    length = F.sum(F.col("_up").cast("int")).over(Window.partitionBy("source", "_run").orderBy(*order))
-    risen = runs.withColumn("_length", length).where(F.col("_length") == 3).groupBy("source").agg(F.min("line_number").alias("line_number"))
+    up = F.coalesce(F.col("number") > F.col("_prior"), F.lit(False))
+    runs = by_blocks(loss, tuple(order), sums={"_seq": F.lit(True)}, previous={"_prior": F.col("number")}).withColumn("_up", up)
+    runs = by_blocks(runs, tuple(order), maxes={"_low": F.when(~F.col("_up"), F.col("_seq"))})
+    risen = runs.where(F.col("_seq") - F.col("_low") == 3).groupBy("source").agg(F.min("line_number").alias("line_number"))
     rising = risen.select("source", "line_number", F.lit("WARNING").alias("level"), F.lit("Training loss has been increasing for 3+ consecutive steps").alias("message"))
     return bad.unionByName(rising)
 
@@ -326,9 +349,7 @@ def key_events(marked: DataFrame, log_format: str) -> DataFrame:
 
 def run_suppression(lines: DataFrame, key: Column, threshold: int = 3) -> DataFrame:
     """lines with suppressed: those beyond the first `threshold` of consecutive lines with one key."""
-    by = Window.partitionBy("source").orderBy("line_number")
-    own = lines.withColumn("_key", key)
-    own = own.withColumn("_new", (~F.col("_key").eqNullSafe(F.lag("_key").over(by)) | (F.row_number().over(by) == 1)).cast("long"))
-    own = own.withColumn("_run", F.sum("_new").over(by))
-    place = F.row_number().over(Window.partitionBy("source", "_run").orderBy("line_number"))
-    return own.withColumn("suppressed", place > threshold).drop("_key", "_new", "_run")
+    own = by_blocks(lines.withColumn("_key", key), sums={"_seq": F.lit(True)}, previous={"_prior": F.col("_key")})
+    fresh = ~F.col("_prior_known") | ~F.col("_key").eqNullSafe(F.col("_prior"))
+    own = by_blocks(own, maxes={"_first": F.when(fresh, F.col("_seq"))})
+    return own.withColumn("suppressed", F.col("_seq") - F.col("_first") >= threshold).select(*lines.columns, "suppressed")

@@ -79,6 +79,13 @@ def within_budget(lines: DataFrame, group: str, order: list[str], budget: int =
     return own.where(F.col("_n") <= budget).withColumn("cut", (F.col("_n") == budget) & F.col("_more").isNotNull()).drop("_n", "_more")
 
 
+def uncommitted(staged: DataFrame, against_head: DataFrame, path: list[str] | str = "path") -> DataFrame:
+    """What isn't committed, with part: what is staged, and of the difference to the last commit the paths that aren't."""
+    keys = [path] if isinstance(path, str) else path
+    rest = against_head.join(staged.select(*keys).distinct(), keys, "left_anti")
+    return staged.withColumn("part", F.lit("staged")).unionByName(rest.withColumn("part", F.lit("unstaged")))
+
+
 def roll_up(nodes: DataFrame, depth: int = 64) -> DataFrame:
     """path, n_files (at any depth), bytes (of direct files), n_children of each folder.
 
@@ -109,7 +116,7 @@ def annotate(nodes: DataFrame, now: int) -> DataFrame:
     file = ~F.col("is_dir")
     flags = F.array_compact(
         F.array(
-            F.when(file & (F.col("size") == 0), "empty"), F.when(file & (F.col("size") > LARGE), "large"), F.when(file & (F.col("mtime") >= now - RECENT), "recent"),
+            F.when(file & F.col("is_binary"), "binary") if "is_binary" in nodes.columns else F.lit(None).cast("string"), F.when(file & (F.col("size") == 0), "empty"), F.when(file & (F.col("size") > LARGE), "large"), F.when(file & (F.col("mtime") >= now - RECENT), "recent"),
         )
     )
     return nodes.withColumns({"flags": flags, "age": age(F.lit(now) - F.col("mtime")), "size_text": human_size(F.col("size"), 1)})
@@ -136,7 +143,7 @@ def filter_nodes(
 
 
 def glob_regex(glob: str) -> str:
-    """A glob as a regular expression over whole paths: ** crosses folders, * and ? don't."""
+    """A glob as a regular expression over whole paths: ** crosses folders; *, ? and [sets] don't."""
     import re
 
     out, k = "", 0
@@ -145,6 +152,12 @@ def glob_regex(glob: str) -> str:
             out, k = out + "(.*/)?", k + 3
         elif glob.startswith("**", k):
             out, k = out + ".*", k + 2
+        elif glob[k] == "[" and (end := glob.find("]", k + 3 if glob[k + 1 : k + 2] in ("!", "^") else k + 2)) > 0:
+            within = glob[k + 1 : end]
+            within = ("^" + within[1:] if within[0] in "!^" else within).replace("\\", r"\\").replace("[", r"\[").replace("&&", r"&\&")
+            out, k = out + f"(?!/)[{within}]", end + 1
+        elif glob[k] == "\\" and k + 1 < len(glob):
+            out, k = out + re.escape(glob[k + 1]), k + 2
         else:
             out += {"*": "[^/]*", "?": "[^/]"}.get(glob[k], re.escape(glob[k]))
             k += 1

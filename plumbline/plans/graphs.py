@@ -200,16 +200,3 @@ def tree_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def tree_children_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repo.limit_children(nodes(spark, sf_dir), 10).select("path", "shown", "last")
-
-
-@query("SELECT lang, count(*) AS n FROM documents GROUP BY 1")
-def lang_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("SELECT count(*) AS n_files, sum(len(string_split(text, chr(10))))::BIGINT AS n_lines FROM documents")
-def index_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
-    return table(spark, sf_dir, "documents").agg(F.count(F.lit(1)).alias("n_files"), F.sum(lines.cast("long")).alias("n_lines"))
-
-

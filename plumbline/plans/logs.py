@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import last_overprint, log_key, stream_key
 from ..operators import logs
+from ..streaming.logs import window_counts
 
 QUERIES, SQL = {}, {}
 
@@ -127,16 +128,8 @@ def log_dedup_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs.repeat_groups(marked).select("source", "key", "count", "first_line", "last_line")
 
 
-@query(f"SELECT doc_id, {KEY_SQL.format(c='line')} AS key FROM (SELECT doc_id, replace(left(replace(text, chr(10), ' '), 60), 'é', 'e') AS line FROM documents WHERE regexp_matches(left(replace(text, chr(10), ' '), 60), '^[ -~]*$')) WHERE NOT regexp_matches(line, '^\\s|\\s$')")
-def log_normalize_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    line = F.substring(F.replace("text", F.lit("\n"), F.lit(" ")), 1, 60)
-    kept = docs.select("doc_id", line.alias("line")).where(F.col("line").rlike("^[ -~]*$") & ~F.col("line").rlike(r"^\s|\s$"))
-    return kept.select("doc_id", log_key(F.col("line")).alias("key"))
-
-
 @query()
-def log_normalize_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def log_normalize_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
     return lines.select("doc_id", (F.col("at") + 1).cast("long").alias("line_number"), log_key(F.col("line")).alias("key"))
@@ -163,7 +156,7 @@ def log_first_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY 1, 2")
 def log_level_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events(spark, sf_dir).groupBy("event_type", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    return window_counts(events(spark, sf_dir), "ts", "event_type", "1 day").select("event_type", F.date_format("start", "yyyy-MM-dd").alias("day"), "n")
 
 
 TRACE_SQL = """SELECT 'app' || (user_id % 5)::VARCHAR AS source, row_number() OVER (PARTITION BY user_id % 5 ORDER BY event_id) AS line_number,

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import graphs, live, logs, tables, web
+from . import graphs, live, logs, parsers, tables, web
 
-MODULES = (tables, logs, web, graphs, live)
+MODULES = (tables, logs, web, graphs, parsers, live)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

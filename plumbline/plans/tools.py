@@ -313,7 +313,7 @@ def inspect_http(spark: SparkSession, url: str, status: int = 200, headers: list
     schema = "url string, status int, headers array<struct<name:string,value:string>>, content_type string, body binary"
     one = spark.createDataFrame([(url, status, list(headers), kind, bytearray(body))], schema)
     d = rows(inspect_responses(one, max_array_items, shape_only=shape_only, redact=not no_redact_cookies, all_headers=show_all_headers))[0]
-    warnings = [f"Body has JSON content-type but failed to parse: {d['parse_error']}"] if d["parse_error"] else []
+    warnings = [f"the body isn't the JSON that its type says: {d['parse_error']}"] if d["parse_error"] else []
     return render.response({**d, "warnings": warnings}, format)
 
 

@@ -9,6 +9,7 @@ from ..functions import web
 from ..functions.shapes import json_digests, json_kind
 from ..functions.text import age, cache_key, cell, compact_count, duration_seconds, human_size
 from ..operators.html import extract_pages
+from ..sources.tabular import records_table
 
 QUERIES, SQL = {}, {}
 
@@ -71,12 +72,6 @@ def page_cache_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", cache_key(F.col("url")).alias("cache_key"))
 
 
-@query("SELECT count(*) AS entries, sum(strlen(html))::BIGINT AS bytes, max(3600 - page_id % 3600) AS oldest_age FROM pages WHERE page_id % 3600 < 3000")
-def page_cache_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fresh = table(spark, sf_dir, "pages").select((F.col("page_id") % 3600).alias("cached_at"), F.octet_length("html").alias("n")).where("cached_at < 3000")
-    return fresh.agg(F.count(F.lit(1)).alias("entries"), F.sum("n").alias("bytes"), F.max(3600 - F.col("cached_at")).alias("oldest_age"))
-
-
 @query(
     """SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'html' WHEN 1 THEN 'json' WHEN 2 THEN 'xml' WHEN 3 THEN 'binary' ELSE 'text' END AS format FROM pages"""
 )
@@ -121,9 +116,9 @@ def json_type_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT 'k' AS key, count(*) AS n, count(DISTINCT (props->>'$.k')::BIGINT) AS different, min((props->>'$.k')::BIGINT) AS least FROM events")
 def json_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events").select(F.explode(F.from_json("props", "map<string,string>")).alias("key", "value"))
-    value = F.col("value").try_cast("long")
-    return rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(value).alias("different"), F.min(value).alias("least"))
+    rows = records_table("events", table(spark, sf_dir, "events").select(F.col("event_id").alias("row_id"), F.try_parse_json("props").alias("v")), 0).rows
+    value = F.col("raw").try_cast("long")
+    return rows.groupBy(F.col("column").alias("key")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(value).alias("different"), F.min(value).alias("least"))
 
 
 @query(

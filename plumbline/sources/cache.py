@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import cache_key
 from ..functions.web import url_host
+from .scratch import new_folder
 
 TTL = 3600
 PAGES = "key string, url string, html string, cached_at long"
@@ -40,6 +41,16 @@ class PageCache:
         """Let URLs count as never kept: an entry without a page supersedes them."""
         self.put(urls.select("url", F.lit(None).cast("string").alias("html")), now)
 
+    def clear(self) -> None:
+        """Forget all pages."""
+        self.spark.createDataFrame([], PAGES).write.mode("overwrite").parquet(self.path)
+
+    def compact(self) -> None:
+        """Rewrite the folder with the newest page of each key only, in files of this writing."""
+        kept = new_folder(self.spark, "compacted")
+        self.entries().write.parquet(kept)
+        self.spark.read.schema(PAGES).parquet(kept).write.mode("overwrite").parquet(self.path)
+
     def stats(self, now: int) -> DataFrame:
         return self.entries().agg(F.count(F.lit(1)).alias("entries"), F.coalesce(F.sum(F.octet_length("html")), F.lit(0)).alias("bytes"), F.max(F.lit(now) - F.col("cached_at")).alias("oldest_age"))
 

@@ -50,7 +50,7 @@ def read_document(path: str | Path, max_chars: int = MAX_CHARS) -> Document:
     if out.truncated:
         out.warnings.append(f"Output truncated to {max_chars:,} chars")
     if not text:
-        out.warnings.append("Document produced no extractable text")
+        out.warnings.append("no text was found")
     return out
 
 

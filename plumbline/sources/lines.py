@@ -7,7 +7,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .tabular import numbered
+from .numbers import numbered
 
 LINES = "source string, line_number long, raw string"
 

@@ -40,12 +40,12 @@ def requirements(text: str, include: Callable[[str], str | None] = lambda _: Non
         if m := re.match(r"(?:-r|--requirement)\s+(.+)", line):
             other = include(m[1].strip()) if depth < 1 else None
             if depth >= 1:
-                notes.append(f"Skipped nested -r include (depth>1): {m[1]}")
+                notes.append(f"{m[1]} is included by an included file; not read")
             elif other is None:
-                notes.append(f"Missing -r include (not followed): {m[1]}")
+                notes.append(f"{m[1]} is included but not there")
             else:
                 more, said = requirements(other, include, depth + 1)
-                out, notes = out + more, [*notes, f"Followed -r include: {m[1]}", *said]
+                out, notes = out + more, [*notes, f"{m[1]} is included", *said]
         elif line and line[0] not in "#-":
             if re.match(r"(git|hg|svn|bzr)\+", line) or "://" in line.partition(";")[0]:
                 egg = re.search(r"#egg=([^&\s;]+)", line)

@@ -25,6 +25,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from ..errors import BadInput, NotFound
 from ..plans.sqlguard import check_select
 from .files import Ignore
+from .numbers import numbered
 
 # Formats by extension; the beginning of an SQLite file; bytes that tell a format.
 EXTENSIONS = {
@@ -66,22 +67,6 @@ def detect(path: Path, hint: str | None = None) -> str:
     raise BadInput(f"can't tell the format of {path}")
 
 
-def numbered(df: DataFrame, order: list[Column], into: str = "row_id", by: list[str] | None = None) -> DataFrame:
-    """df with rows numbered from 1 by `order`, whose first column is a place in the source such as a split.
-
-    Rows are counted for each first value; within it they are ranked, and counts of earlier ones are
-    added. No task sorts more than one split's rows.
-    """
-    by = by or []
-    own = df.withColumn("_split", order[0])
-    counts = own.groupBy(*by, "_split").agg(F.count(F.lit(1)).alias("_n"))
-    earlier = Window.partitionBy(*by).orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
-    base = counts.select(*by, "_split", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"))
-    own = own.join(F.broadcast(base), [*by, "_split"])  # a row for each split
-    rank = F.row_number().over(Window.partitionBy(*by, "_split").orderBy(*order))
-    return own.withColumn(into, (F.col("_base") + rank).cast("long")).drop("_split", "_base")
-
-
 def _position() -> Column:
     """Where a row stood, for rows straight from a scan: its task's number and place in it."""
     return F.monotonically_increasing_id()
@@ -92,7 +77,10 @@ def read_csv(spark: SparkSession, path: str | Path, sep: str = ",") -> Table:
     with Path(path).open(encoding="utf-8", errors="replace", newline="") as f:
         if not f.readline().strip("\r\n﻿"):
             raise BadInput(f"empty CSV file: {path}")
-    raw = spark.read.csv(str(path), header=True, sep=sep, multiLine=True, escape='"', nullValue="", mode="PERMISSIVE", enforceSchema=True)
+    # a line with an odd number of quotes opens or closes a value with line ends in it; without one the file is read in splits
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    broken = spark.read.text(str(path)).where(quotes % 2 == 1).limit(1).count() > 0
+    raw = spark.read.csv(str(path), header=True, sep=sep, multiLine=broken, escape='"', nullValue="", mode="PERMISSIVE", enforceSchema=True)
     names = [c.strip().removeprefix("﻿") for c in raw.columns]
     rows = raw.toDF(*names).withColumn("_at", _position())
     rows = numbered(rows, [F.shiftright("_at", 33), F.col("_at")]).drop("_at")
@@ -114,9 +102,10 @@ def records_table(name: str, records: DataFrame, count: int) -> Table:
     """Records as cells (row_id, col_ord, column, raw): columns in the order in which keys are first seen."""
     long = _long_records(records)
     firsts = long.groupBy("key").agg(F.min(F.struct("row_id", "pos")).alias("at"))
-    keys = [r["key"] for r in firsts.orderBy("at").limit(10_000).collect()]
-    order = F.create_map(*(F.lit(x) for k, key in enumerate(keys) for x in (key, k))) if keys else F.create_map().cast("map<string,int>")
-    cells = long.select("row_id", order[F.col("key")].alias("col_ord"), F.col("key").alias("column"), "raw")
+    # a row for each key: the driver holds the names of a table's columns
+    order = firsts.select("key", (F.row_number().over(Window.orderBy("at")) - 1).alias("col_ord"))
+    keys = [r["key"] for r in order.orderBy("col_ord").collect()]
+    cells = long.join(order, "key").select("row_id", "col_ord", F.col("key").alias("column"), "raw")
     return Table(name, cells, keys, row_count=count)
 
 
@@ -338,4 +327,4 @@ def data_files(root: Path, globs: str = "*", recursive: bool = False) -> list[Pa
     ignore = Ignore(root)
     find = root.rglob if recursive else root.glob
     found = {p for g in globs.split(",") for p in find(g.strip()) if p.is_file()}
-    return sorted(p for p in found if not ignore.path(p.relative_to(root).as_posix()))
+    return sorted(p for p in found if not ignore.path(p.relative_to(root).as_posix(), False))

@@ -203,4 +203,4 @@ def test_every_line_of_whole_texts_has_its_key(spark, tmp_path):
     for folder in (str(tmp_path), "/root/testdata/sf0.001"):
         rows = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()
         want = [(r.doc_id, k, key(x)) for r in rows if r.text is not None for k, x in enumerate(r.text.split("\n"), 1)]
-        assert sorted(map(tuple, registry.queries()["log_normalize_lines"](spark, folder).collect())) == sorted(want)
+        assert sorted(map(tuple, registry.queries()["log_normalize_key"](spark, folder).collect())) == sorted(want)
