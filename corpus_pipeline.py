@@ -17,10 +17,17 @@ from plumbline.llm.similar import keep_one_of_similar
 from plumbline.llm.tokenfile import token_files
 
 
+#: Rows that a stage's Python workers are handed at a time; long texts would otherwise fill them.
+BATCH = 3000
 #: Vocabulary by which the mix counts and the last stage encodes.
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 #: Chunks whose counts, then ids, a worker remembers: fewer than alone, as workers also hold what earlier stages have left.
-COUNTED, REMEMBERED = 150_000, 300_000
+COUNTED, REMEMBERED = 100_000, 300_000
+
+
+def frugal(spark: SparkSession) -> None:
+    """From now on the session hands Python workers smaller batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,6 +36,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts go. Rows are judged one by one: repeated ones go or stay together. All columns
     stay, whatever their names; an empty table stays empty.
     """
+    frugal(spark)
     return accept(docs, "doc_id", "text", "lang")
 
 
@@ -38,6 +46,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Null, empty and wordless texts are copies of each other. A row without an id stays only if its group
     has no id; of repeated rows one stays. All columns stay; an empty table stays empty.
     """
+    frugal(spark)
     return keep_one_of_similar(docs, "doc_id", "text", words=5, similarity=0.8)
 
 
@@ -46,6 +55,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     Rows are judged one by one. All columns stay; an empty table stays empty, and without items all stay.
     """
+    frugal(spark)
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return without_contained(docs, "text", items, "item_id", "text")
 
@@ -56,6 +66,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null languages and sources are leaves of their own; leaves without tokens aren't taken. Rows that
     share an id go together. All columns stay; an empty table stays empty.
     """
+    frugal(spark)
     taken = mix_sources(docs, "doc_id", "text", "lang", "source", production_mix(), VOCABULARY, COUNTED)
     return taken.select(*docs.columns)
 
@@ -66,6 +77,7 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null texts are empty, with the end id only; equal ids are ordered by text. Other columns aren't written. An
     empty table gives an empty result.
     """
+    frugal(spark)
     return token_files(docs, "doc_id", "text", VOCABULARY, remembered=REMEMBERED)
 
 

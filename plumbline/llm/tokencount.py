@@ -148,7 +148,8 @@ def count_tokens(df: DataFrame, text: str, path: str, keep: list[str], limit: in
 
     path names a word-end BPE file that every executor can open. No special tokens are added; special
     strings inside a text count as the library counts them. A null text counts as empty: 0 bytes, 0
-    tokens. Rows are counted on their own, so repeated rows repeat; columns that are not in `keep` are
+    tokens. A worker remembers the counts of up to `remembered` chunks, from task to task unless these are
+    fewer than REMEMBERED. Rows are counted on their own, so repeated rows repeat; columns that are not in `keep` are
     not read. One pass, no shuffle.
     """
 
@@ -163,6 +164,8 @@ def count_tokens(df: DataFrame, text: str, path: str, keep: list[str], limit: in
             over = pa.array([c > limit for c in counts], pa.bool_())
             arrays = [*batch.columns[: len(keep) + 1], n, over]
             yield pa.RecordBatch.from_arrays(arrays, names=[*keep, "n_bytes", "n_tokens", "over_limit"])
+        if remembered < REMEMBERED:  # memory is dear: nothing stays for the next task
+            counter.known.clear()
 
     body = F.coalesce(F.col(text), F.lit(""))
     narrow = df.select(*keep, F.octet_length(body).cast("long").alias("n_bytes"), body.alias("_text"))
