@@ -51,7 +51,7 @@ def emit(value: dict, lines: Iterable[str], form: str = "markdown") -> str:
     return as_json(value) if form == "json" else as_text(body) if form == "text" else body
 
 
-def data(d: dict, form: str = "markdown") -> str:
+def data(d: dict, form: str = "markdown", width: int = 80) -> str:
     lines = [f"# Data Summary: {d['source']}", "", f"**Format:** {d['format']}  |  **Size:** {size(d['bytes'])}", ""]
     for t in d["tables"]:
         lines += ["---", "", f"## {t['name']}", "", f"**Rows:** {count(t['row_count'])}{' (truncated)' * t['truncated']}  |  **Columns:** {len(t['columns'])}", ""]
@@ -66,7 +66,7 @@ def data(d: dict, form: str = "markdown") -> str:
         for part in ("head", "tail"):
             if t[part]:
                 names = list(t[part][0])
-                lines += ["", f"### {part.title()}", "", table([names, *([cell(r.get(n)) for n in names] for r in t[part])])]
+                lines += ["", f"### {part.title()}", "", table([names, *([cell(r.get(n), width) for n in names] for r in t[part])])]
         lines += ["", *(f"> {n}" for n in t["notes"])]
     for s in d["structures"]:
         lines += [f"- `{s['key']}`: {s['type']}" + (f" ({s['size']})" if s["size"] is not None else "")]
@@ -217,6 +217,9 @@ def repo_history(d: dict, form: str = "markdown") -> str:
         lines += ["", f"## {k.title()} ({len(s[k])})", "", *(f"- {p}" for p in s[k][:50])] if s[k] else []
     lines += ["", "## Recent commits", "", *(f"- `{c['short_hash']}` {c['age']} {c['author']}: {c['subject']}" for c in d["commits"])]
     lines += ["", "## Active files", "", *(f"- {a['path']} ({a['commits']})" for a in d["active"])] if d["active"] else []
+    if d["changes"]:
+        lines += ["", "## Not committed", "", *(f"- {c['path']}: {c['status']}, {c['part']}" for c in d["changes"])]
+        lines += ["", "```diff", *(x["type"] + x["content"] for x in d["diff"]), *(["[truncated]"] * d["diff_cut"]), "```"] if d["diff"] else []
     return emit(d, lines, form)
 
 

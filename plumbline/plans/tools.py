@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import sys
 import time
 from datetime import datetime
 from pathlib import Path
@@ -17,6 +19,7 @@ from ..functions.values import sql_kind
 from ..operators import deps, html, logs, repo
 from ..operators.profile import Options, head_tail, pick_columns, text_profile, to_cells, top_values, typed_profile
 from ..sources import documents, files, git, lines, manifests, notebooks, pycode, specs, tabular
+from ..sources.cache import PageCache, allowed
 from . import render
 from .sqlguard import check_options
 
@@ -51,9 +54,20 @@ def moment(text: str, now: float) -> float:
         raise BadInput(f"neither a duration nor a date: {text}") from e
 
 
+def size_of(text: str) -> int:
+    """Bytes of a text such as 500, 10KB or 1.5MB."""
+    m = re.fullmatch(r"\s*([0-9.]+)\s*(B|KB|MB|GB)?\s*", text.upper())
+    try:
+        return int(float(m[1]) * {None: 1, "B": 1, "KB": 1 << 10, "MB": 1 << 20, "GB": 1 << 30}[m[2]])
+    except (TypeError, ValueError) as e:
+        raise BadInput(f"not a size: {text}") from e
+
+
 def smart_file_tree(
     spark: SparkSession, path: str | None = None, depth: int | None = None, format: str = "tree", focus: str | None = None, modified_after: str | None = None,
     exclude_patterns: list[str] | None = None, include_extensions: list[str] | None = None, sort: str = "alpha", dotfiles: bool = False, now: float | None = None,
+    modified_before: str | None = None, min_size: str | None = None, max_size: str | None = None, dirs_only: bool = False, files_only: bool = False,
+    no_gitignore: bool = False, max_files: int = 50,
 ) -> str:
     root, now = Path(path or "."), time.time() if now is None else now
     if not root.exists():
@@ -61,13 +75,15 @@ def smart_file_tree(
     glob = focus if focus and any(c in focus for c in "*?") else None
     if focus and not glob:
         root = root / focus
-    ignore = files.Ignore(root, extra=tuple(exclude_patterns or ()))
+    ignore = files.Ignore(root, gitignore=not no_gitignore, extra=tuple(exclude_patterns or ()))
     nodes = files.tree(spark, root, ignore=ignore, max_depth=depth, dotfiles=dotfiles, cap=None)
-    since = moment(modified_after, now) if modified_after else None
-    kept = repo.filter_nodes(nodes, since=since, extensions=include_extensions, focus=glob, kind="files" if glob else None)
-    shown = repo.annotate(repo.limit_children(kept), int(now)).join(repo.roll_up(nodes).select("path", "n_files"), "path", "left")
+    since, until = (moment(x, now) if x else None for x in (modified_after, modified_before))
+    least, most = (size_of(x) if x else None for x in (min_size, max_size))
+    kind = "dirs" if dirs_only else "files" if files_only or glob else None
+    kept = repo.filter_nodes(nodes, since=since, until=until, min_size=least, max_size=most, extensions=include_extensions, focus=glob, kind=kind)
+    shown = repo.annotate(repo.limit_children(kept, max_files), int(now)).join(repo.roll_up(nodes).select("path", "n_files"), "path", "left")
     totals = rows(repo.tree_totals(kept, int(now)))[0]
-    return render.tree({"root": str(root), "nodes": rows(shown), **totals}, "compact" if glob and format == "tree" else format, sort)
+    return render.tree({"root": str(root), "nodes": rows(shown), **totals}, "compact" if kind == "files" and format == "tree" else format, sort)
 
 
 def fetch_url(spark: SparkSession, url: str, html_text: str | None = None, content_type: str = "text/html", include_links: bool = True, format: str = "markdown") -> str:
@@ -85,6 +101,35 @@ def fetch_url(spark: SparkSession, url: str, html_text: str | None = None, conte
     return render.page(page, format)
 
 
+def fetch_pages(pages: DataFrame, now: int, cache: PageCache | None = None, robots: DataFrame | None = None, include_links: bool = True) -> DataFrame:
+    """url, error, from_cache, title, author, date, content_markdown, warnings of a table of pages that the caller has fetched:
+    url, html (null: couldn't be had), content_type.
+
+    Every URL has a row: what fails says why and stops no other. Robots' rules (host, text) apply to pages
+    that aren't kept; pages come from the cache where it has them, and new ones go into it.
+    """
+    own = pages.select(web.normal_url(F.col("url")).alias("_url"), F.col("url").alias("given"), "html", "content_type")
+    own = own.withColumnRenamed("_url", "url")
+    if cache is not None:
+        kept = cache.get(own.select("url").where("url IS NOT NULL").distinct(), now).select("url", F.col("html").alias("_kept"))
+        own = own.join(kept, "url", "left")
+    else:
+        own = own.withColumn("_kept", F.lit(None).cast("string"))
+    may = allowed(own.select("url").where("url IS NOT NULL").distinct(), robots).select("url", "allowed") if robots is not None else None
+    own = own.join(may, "url", "left") if may is not None else own.withColumn("allowed", F.lit(True))
+    error = (
+        F.when(F.col("url").isNull(), "not an http(s) URL").when(F.col("_kept").isNotNull(), None).when(~F.coalesce("allowed", F.lit(True)), "robots don't allow it")
+        .when(F.col("html").isNull(), "the page couldn't be had").when(~web.is_downloadable(web.content_type(F.col("content_type"))), F.concat(F.lit("can't extract text from "), "content_type"))
+    )
+    own = own.withColumns({"error": error, "from_cache": F.col("_kept").isNotNull()}).withColumn("html", F.when(F.col("error").isNull(), F.coalesce("_kept", "html")))
+    if cache is not None:
+        cache.put(own.where("error IS NULL AND NOT from_cache").select("url", "html"), now)
+    done = html.extract_pages(own.where("error IS NULL"), links=include_links).select("url", "given", "error", "from_cache", "page.*")
+    about = ["title", "author", "date", "content_markdown", "warnings"]
+    failed = own.where("error IS NOT NULL").select("url", "given", "error", "from_cache")
+    return done.unionByName(failed, allowMissingColumns=True).select(F.coalesce("url", "given").alias("url"), "error", "from_cache", *about)
+
+
 def log_digest(spark: SparkSession, source: DataFrame, name: str, format_hint: str | None = None, errors_only: bool = False, max_errors: int = 50, max_warnings: int = 20, max_tracebacks: int = 10, max_metrics: int = 30, max_frames: int = 5, threshold: int = 3) -> dict:
     """The digest of one source's lines."""
     if format_hint and format_hint not in FORMAT_HINTS:
@@ -110,15 +155,26 @@ def log_digest(spark: SparkSession, source: DataFrame, name: str, format_hint: s
     return out
 
 
-def summarize_log(spark: SparkSession, path: str, format_hint: str | None = None, errors_only: bool = False, tail: int | None = None, head: int | None = None, format: str = "markdown") -> str:
-    if not Path(path).exists():
+def summarize_log(
+    spark: SparkSession, path: str, format_hint: str | None = None, errors_only: bool = False, tail: int | None = None, head: int | None = None, format: str = "markdown",
+    max_errors: int = 50, max_warnings: int = 20, max_tracebacks: int = 10, max_metrics: int = 30, max_frames: int = 5, no_dedup: bool = False, dedup_threshold: int = 3,
+    pattern: str = "*.log", recursive: bool = False,
+) -> str:
+    """A log's digest; `-` is the standard input, and of a folder each file that matches has one."""
+    caps = {"max_errors": max_errors, "max_warnings": max_warnings, "max_tracebacks": max_tracebacks, "max_metrics": max_metrics, "max_frames": max_frames, "threshold": 1 << 30 if no_dedup else dedup_threshold}
+    if path == "-":
+        source, name = lines.lines_of(spark, sys.stdin.read()), "stdin"
+    elif Path(path).is_dir():
+        return "\n".join(summarize_logs(spark, path, pattern, recursive, format=format, format_hint=format_hint, errors_only=errors_only))
+    elif not Path(path).exists():
         raise NotFound(f"File not found: {path}")
-    source = lines.window_of(lines.read_lines(spark, path), head, tail)
-    return render.log(log_digest(spark, source, path, format_hint, errors_only), format)
+    else:
+        source, name = lines.read_lines(spark, path), path
+    return render.log(log_digest(spark, lines.window_of(source, head, tail), name, format_hint, errors_only, **caps), format)
 
 
-def summarize_logs(spark: SparkSession, folder: str, pattern: str = "*.log", recursive: bool = False) -> list[str]:
-    return [summarize_log(spark, str(p)) for p in lines.log_files(Path(folder), pattern, recursive)]
+def summarize_logs(spark: SparkSession, folder: str, pattern: str = "*.log", recursive: bool = False, **options) -> list[str]:
+    return [summarize_log(spark, str(p), **options) for p in lines.log_files(Path(folder), pattern, recursive)]
 
 
 def git_file_context(spark: SparkSession, file_path: str, base: str | None = None, commits: int = 10, no_blame: bool = False, now: int | None = None, format: str = "markdown") -> str:
@@ -153,10 +209,25 @@ def git_repo_context(spark: SparkSession, repo_path: str = ".", commits: int = 1
     own = git.commits(spark, root, commits)
     touched = own.select(F.col("hash").alias("commit"), F.explode("files").alias("path"))
     status = git.parse_status(git.git(root, "status", "--porcelain=v2", "--branch"))
-    d = {"root": str(root), "status": status, "in_progress": git.in_progress(root), "commits": _aged(own, now), "active": rows(repo.active_files(touched)), **git.facts(root)}
+    changes, text = _uncommitted(spark, root)
+    cut = rows(repo.within_budget(text.withColumn("all", F.lit(1)), "all", ["part", "path", "hunk", "place"]).orderBy("part", "path", "hunk", "place"))
+    d = {
+        "root": str(root), "status": status, "in_progress": git.in_progress(root), "commits": _aged(own, now), "active": rows(repo.active_files(touched)), **git.facts(root),
+        "changes": rows(changes.orderBy("part", "path")), "diff": cut, "diff_cut": any(x["cut"] for x in cut),
+    }
     return render.repo_history(d, format)
 
 
+def _uncommitted(spark: SparkSession, root: Path) -> tuple[DataFrame, DataFrame]:
+    """Files and lines of what isn't committed, with part: staged, or changed beside that."""
+    staged, staged_lines = git.diff(spark, root, "--cached")
+    head = git.git(root, "rev-parse", "--verify", "--quiet", "HEAD", check=False).strip()
+    whole, whole_lines = git.diff(spark, root, "HEAD") if head else git.diff(spark, root)
+    files_ = repo.uncommitted(staged, whole)
+    rest = whole_lines.join(staged.select("path"), "path", "left_anti")
+    return files_, staged_lines.withColumn("part", F.lit("staged")).unionByName(rest.withColumn("part", F.lit("unstaged")))
+
+
 def table_digest(t: tabular.Table, options: Options, stats: bool = True) -> dict:
     """Columns, samples and notes of one table."""
     names = pick_columns(t.columns, options)
@@ -194,14 +265,26 @@ def table_digest(t: tabular.Table, options: Options, stats: bool = True) -> dict
 
 def summarize_data(
     spark: SparkSession, path: str, format_hint: str | None = None, table: str | None = None, sample: int = 5, columns: list[str] | None = None, no_stats: bool = False,
-    max_rows: int | None = 100_000, query: str | None = None, median: bool = False, format: str = "markdown",
+    max_rows: int | None = 100_000, query: str | None = None, median: bool = False, format: str = "markdown", head: int | None = None, tail: int | None = None,
+    max_distinct: int = 100, top_k: int = 5, max_columns: int = 50, max_cell_width: int = 80, all_tables: bool = False, max_tables: int = 20,
+    globs: str = "*", recursive: bool = False,
 ) -> str:
+    """A data file's digest; of a folder each file that matches one of the globs has one. head and tail go before sample."""
     at = Path(path)
-    check_options(query, table=table, columns=columns)
+    check_options(query, table=table, columns=columns, all_tables=all_tables)
+    if path == "-":
+        raise BadInput("tables are read from files, not from the standard input")
     if not at.exists():
         raise NotFound(f"File not found: {path}")
+    if at.is_dir():
+        same = {"sample": sample, "columns": columns, "no_stats": no_stats, "max_rows": max_rows, "median": median, "head": head, "tail": tail, "max_distinct": max_distinct, "top_k": top_k, "max_columns": max_columns, "max_cell_width": max_cell_width, "all_tables": all_tables, "max_tables": max_tables}
+        done, warnings = summarize_folder(spark, path, globs, recursive, format, **same)
+        return "\n".join([*done, *(f"> {w}" for w in warnings)])
     kind = {"xlsx": "excel"}.get(format_hint or "", format_hint) or tabular.detect(at)
-    options = Options(head=sample, tail=sample, max_rows=max_rows, columns=tuple(columns) if columns else None, median=median)
+    options = Options(
+        head=sample if head is None else head, tail=sample if tail is None else tail, max_rows=max_rows, columns=tuple(columns) if columns else None, median=median,
+        max_distinct=max_distinct, top_k=top_k, max_columns=max_columns, max_tables=1 << 30 if all_tables else max_tables,
+    )
     if query is not None and kind != "sqlite":
         raise BadInput("a query needs an SQLite file")
     names, warnings, structures, found = [table] if table else None, [], [], []
@@ -221,7 +304,7 @@ def summarize_data(
     else:
         raise BadInput(f"unknown format {kind!r}")
     d = {"source": path, "format": kind, "bytes": at.stat().st_size, "tables": [table_digest(t, options, not no_stats) for t in found], "structures": structures, "warnings": warnings}
-    return render.data(d, format)
+    return render.data(d, format, max_cell_width)
 
 
 def summarize_folder(spark: SparkSession, folder: str, globs: str = "*", recursive: bool = False, format: str = "markdown", **options) -> tuple[list[str], list[str]]:
@@ -239,9 +322,17 @@ def summarize_folder(spark: SparkSession, folder: str, globs: str = "*", recursi
 def inspect_dependencies(
     spark: SparkSession, path: str, ecosystem: str | None = None, no_dev: bool = False, direct_only: bool = False, severity: list[str] | None = None,
     latest: DataFrame | None = None, advisories: DataFrame | None = None, details: DataFrame | None = None, format: str = "markdown",
+    latest_file: str | None = None, advisories_file: str | None = None,
 ) -> str:
     """A project's packages. What registries and advisory services know comes from the caller as tables: latest
     (ecosystem, name, latest), advisories (ecosystem, name, vuln_id) and details (vuln_id, text)."""
+    if latest_file:  # lines of JSON: ecosystem, name, latest
+        latest = spark.read.schema("ecosystem string, name string, latest string").json(latest_file)
+    if advisories_file:  # lines of JSON: ecosystem, name, vuln_id, and the advisory as advisory
+        told = spark.read.text(advisories_file).where("trim(value) <> ''").select(F.parse_json("value").alias("v"))
+        field = lambda n: F.variant_get("v", f"$.{n}", "string").alias(n)
+        advisories = told.select(field("ecosystem"), field("name"), field("vuln_id"))
+        details = told.select(field("vuln_id"), F.to_json(F.variant_get("v", "$.advisory", "variant")).alias("text")).dropDuplicates(["vuln_id"])
     declared, lock, edges, notes = manifests.read_project(spark, path)
     own = deps.resolve(declared, lock, edges, not no_dev, direct_only)
     own = own.where(F.col("ecosystem") == ecosystem) if ecosystem else own

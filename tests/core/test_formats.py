@@ -8,6 +8,7 @@ import zlib
 from html import unescape
 
 import pytest
+from pyspark.sql import functions as F
 
 from plumbline.errors import BadInput, FetchError, GitError, MissingDependency, NotFound
 from plumbline.functions.shapes import json_digest, shape, xml_outline
@@ -89,6 +90,63 @@ def test_main_text_of_whole_tables():
     assert n > 100
 
 
+def test_batches_of_pages(spark, tmp_path):
+    from plumbline.sources.cache import PageCache
+
+    pages = [("host/a", PAGE, "text/html"), ("ftp://x", PAGE, "text/html"), ("http://no/x", PAGE, "text/html"), ("http://h/none", None, "text/html"), ("http://h/i", "x", "image/png")]
+    given = spark.createDataFrame(pages, "url string, html string, content_type string")
+    robots = spark.createDataFrame([("no", "User-agent: *\nDisallow: /")], "host string, text string")
+    cache = PageCache(spark, str(tmp_path / "cache"))
+    cache.clear()
+    got = {r.url: r for r in tools.fetch_pages(given, 100, cache, robots).collect()}
+    assert len(got) == 5 and got["https://host/a"].title == "A & B" and not got["https://host/a"].from_cache and got["https://host/a"].error is None
+    assert {u: r.error for u, r in got.items() if r.error} == {"ftp://x": "not an http(s) URL", "http://no/x": "robots don't allow it", "http://h/none": "the page couldn't be had", "http://h/i": "can't extract text from image/png"}
+    again = {r.url: r for r in tools.fetch_pages(given.withColumn("html", F.lit(None).cast("string")), 200, cache, robots).collect()}
+    assert again["https://host/a"].from_cache and again["https://host/a"].title == "A & B"
+
+
+def test_options_of_the_tools(spark, tmp_path, monkeypatch):
+    import io
+
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "a.csv").write_text("k,v\n" + "".join(f"{i},{'x' * 50}{i % 3}\n" for i in range(9)))
+    (tmp_path / "d" / "b.csv").write_text('k,v\n1,"two\nlines"\n')
+    d = json.loads(tools.summarize_data(spark, str(tmp_path / "d" / "a.csv"), format="json", head=2, tail=1, max_columns=1))
+    assert len(d["tables"][0]["head"]) == 2 and len(d["tables"][0]["tail"]) == 1 and len(d["tables"][0]["columns"]) == 1
+    assert "x" * 19 + "…" in tools.summarize_data(spark, str(tmp_path / "d" / "a.csv"), max_cell_width=20)
+    both = tools.summarize_data(spark, str(tmp_path / "d"), globs="*.csv")
+    assert both.count("# Data Summary") == 2 and "two lines" in both
+    with pytest.raises(BadInput):
+        tools.summarize_data(spark, "-")
+    monkeypatch.setattr("sys.stdin", io.StringIO("ERROR one\nERROR two\n" + "INFO same\n" * 9))
+    d = json.loads(tools.summarize_log(spark, "-", format="json", max_errors=1, no_dedup=True))
+    assert d["source"] == "stdin" and len(d["errors"]) == 1 and d["overflow_errors"] == 1 and d["suppressed_lines"] == 0
+    (tmp_path / "d" / "x.log").write_text("ERROR z\n")
+    assert tools.summarize_log(spark, str(tmp_path / "d")).count("# Log Summary") == 1
+    tree = lambda **o: tools.smart_file_tree(spark, str(tmp_path / "d"), **o)
+    assert "a.csv" in tree(min_size="100") and "b.csv" not in tree(min_size="100") and "a.csv" not in tree(max_size="0.1KB") and ".csv" not in tree(dirs_only=True)
+    assert ".csv" not in tree(modified_before="2001-01-01") and "a.csv" in tree(files_only=True)
+    (tmp_path / "d" / ".gitignore").write_text("a.*\n")
+    assert "a.csv" not in tree() and "a.csv" in tree(no_gitignore=True)
+
+
+def test_audit_from_files(spark, tmp_path):
+    (tmp_path / "requirements.txt").write_text("fastapi==0.1\n")
+    (tmp_path / "poetry.lock").write_text(LOCK)
+    (tmp_path / "latest.jsonl").write_text('{"ecosystem": "pypi", "name": "fastapi", "latest": "0.9"}\n')
+    (tmp_path / "adv.jsonl").write_text('{"ecosystem": "pypi", "name": "fastapi", "vuln_id": "G-1", "advisory": {"aliases": ["CVE-1"], "severity": [{"score": "8.5"}], "summary": "bad"}}\n')
+    d = json.loads(tools.inspect_dependencies(spark, str(tmp_path), format="json", latest_file=str(tmp_path / "latest.jsonl"), advisories_file=str(tmp_path / "adv.jsonl")))
+    assert d["ecosystems"]["pypi"]["direct"][0]["outdated"] is True
+    assert [(a["id"], a["severity"], a["summary"]) for a in d["advisories"]] == [("CVE-1", "high", "bad")]
+
+
+def test_ignore_rules(tmp_path):
+    rules = files.Ignore.of(["*.t[xy]", "logs/", "!build", "/docs/*.md", "!keep.tx", "a[!b]c", "\\#x"])
+    out = lambda p, is_dir=False: rules.path(p, is_dir)
+    assert out("a.tx") and out("d/a.ty") and not out("a.tz") and not out("keep.tx") and out("logs", True) and not out("logs") and out("logs/x")
+    assert out("build", True) and out("node_modules/x") and out("docs/a.md") and not out("docs/b/a.md") and out("axc") and not out("abc") and out("#x")
+
+
 def test_markdown_cleaning():
     assert html.clean("a\n\n\n\nb  \n#Head\n[](x) ![i](y)") == "a\n\nb\n# Head"
     assert html.unescaped("\\[a\\]\n```\n\\[b\\]\n```") == "[a]\n```\n\\[b\\]\n```"
@@ -254,7 +312,7 @@ def test_git_tools(spark, tmp_path):
     d = json.loads(tools.git_file_context(spark, str(tmp_path / "a.py"), format="json"))
     assert len(d["commits"]) == 3 and d["related"] == [{"path": "b.py", "n": 3}] and d["authors"][0]["author"] in ("Ann", "Not Committed Yet") and d["base"] == "HEAD~1"
     d = json.loads(tools.git_repo_context(spark, str(tmp_path), format="json"))
-    assert d["status"]["unstaged"] == ["a.py"] and d["active"][0]["commits"] == 3 and "## Recent commits" in tools.git_repo_context(spark, str(tmp_path))
+    assert d["status"]["unstaged"] == ["a.py"] and [(c["path"], c["part"]) for c in d["changes"]] == [("a.py", "unstaged")] and d["diff"] and d["active"][0]["commits"] == 3 and "## Recent commits" in tools.git_repo_context(spark, str(tmp_path))
     with pytest.raises(GitError):
         tools.git_repo_context(spark, "/")
 
