@@ -2,7 +2,7 @@ import random
 import re
 
 from plumbline.llm import decontam
-from plumbline.llm.decontam import contained_items, without_contained
+from plumbline.llm.decontam import contained_items, missing, sketch_length, without_contained
 
 from .helpers import awkward, frame
 
@@ -59,3 +59,34 @@ def test_documents_with_items_go(spark):
     assert kept.columns[-1] == "_text"
     assert without_contained(frame(spark, []), "text", bench, "item_id", "text").count() == 0
     assert contained_items(frame(spark), "doc_id", "text", bench.limit(0), "item_id", "text").count() == 0
+
+
+def test_items_of_any_id_and_edge_tables(spark):
+    rows, items = cases()
+    want = {(d, i) for d, i, *_ in brute(rows, items)}
+    for kind in ("int", "string", "decimal(20,0)", "binary"):
+        bench = spark.createDataFrame(items, "item_id long, text string").selectExpr(f"cast({'cast(item_id AS string)' if kind == 'binary' else 'item_id'} AS {kind}) item_id", "text", "1 AS _text", "2 AS _item")
+        found = contained_items(frame(spark, rows), "doc_id", "text", bench, "item_id", "text")
+        assert found.schema["item_id"].dataType == bench.schema["item_id"].dataType
+        as_int = lambda x: int(x.decode() if isinstance(x, (bytes, bytearray)) else x)
+        assert {(r.doc_id, as_int(r.item_id)) for r in found.collect()} == want
+    none = spark.createDataFrame([(1, None)], "item_id long, text string")
+    assert contained_items(frame(spark), "doc_id", "text", none, "item_id", "text").count() == 0
+    assert without_contained(frame(spark), "text", none.limit(0), "item_id", "text").count() == len(awkward())
+
+
+def test_class_sets_length_and_threshold():
+    for share in (0.5, 0.8, 1.0):
+        for n in range(1, 300):
+            length = sketch_length(n, share)
+            assert length == sketch_length((1 << n.bit_length()) - 1, share) and min(length, n) - missing(n, share) >= 1
+
+
+def test_many_blocks_of_items(spark, monkeypatch):
+    rows, items = cases()
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", 500)
+    files = decontam.blocks(bench, "item_id", "text")
+    assert len(files) > 5
+    got = {(r.doc_id, r.item_id) for r in contained_items(frame(spark, rows), "doc_id", "text", bench, "item_id", "text").collect()}
+    assert got == {(d, i) for d, i, *_ in brute(rows, items)}

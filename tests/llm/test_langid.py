@@ -71,3 +71,30 @@ def test_pair_tables_give_the_plain_convolution():
 
 def test_fit_of_no_pieces_has_no_languages():
     assert fit([]).ready().predict(["text", None]) == (["und", "und"], [0.0, 0.0])
+
+
+def naive(net, text):
+    """Language and score by the definition: all windows, each filter at each place, probabilities weighted by bytes."""
+    raw, total, n = text.encode(), 0, 0
+    for at in range(0, len(raw), 192):
+        window = [b or 32 for b in raw[at : at + 192]]
+        cells = window + [0] * (192 - len(window))
+        pooled = []
+        for w, table in net.filters.items():
+            pooled.append(np.maximum(np.max([sum(table[i, cells[p + i]] for i in range(w)) for p in range(192 - w + 1)], axis=0), 0))
+        z = np.concatenate(pooled) @ net.dense + net.bias
+        p = np.exp(z - z.max())
+        total, n = total + p / p.sum() * len(window), n + len(window)
+    p = total / n
+    return net.languages[int(p.argmax())], float(p.max())
+
+
+def test_whole_texts_are_judged_by_all_their_windows(spark):
+    rows = labelled(40)
+    net = fit([(r[2], r[1][:192]) for r in rows if r[2]])
+    texts = [r[1] for r in rows[::9]] + ["é" * 300 + " mixed ünd the of " * 40, "x", "a\x00b", rows[0][1] * 30]
+    names, scores = net.ready().predict([*texts, None, "", "12 34"])
+    for text, name, score in zip(texts, names, scores):
+        want, sure = naive(net, text)
+        assert name == want and abs(score - sure) < 1e-4
+    assert names[-3:] == ["und"] * 3 and scores[-3:] == [0.0] * 3
