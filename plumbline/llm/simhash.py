@@ -85,13 +85,15 @@ def fingerprints(df: DataFrame, text: str, keep: list[str], words: int = 3) -> D
 def linked(prints: DataFrame, radius: int) -> DataFrame:
     """Edges u, v between distinct fingerprints (column _fp) that join all pairs within `radius` bits.
 
-    The upper tree is fitted on at most SAMPLE fingerprints, chosen by a hash of their bits; every
+    The upper tree is fitted on about SAMPLE fingerprints, or all of fewer, chosen by a hash of their bits; every
     fingerprint is then dealt to its shard and to those whose boundary it is near, and each shard's
     pairs are found exactly. A shard returns fewer edges than it has fingerprints.
     """
-    sample = prints.select("_fp").orderBy(F.xxhash64("_fp"), "_fp").limit(SAMPLE).toPandas()["_fp"]
-    points = sample.to_numpy(np.int64).view(np.uint64)
-    n = prints.count() if len(points) == SAMPLE else len(points)
+    n = prints.count()
+    # a share of all hashes, so that no more than the sample itself goes to the driver, whatever number of tasks there is
+    bound = min(2**63 - 1, int(min(1.0, SAMPLE / max(1, n)) * 2.0**64) - 2**63)
+    chosen = prints.select("_fp").where(F.xxhash64("_fp") <= bound)
+    points = np.sort(chosen.toPandas()["_fp"].to_numpy(np.int64).view(np.uint64))
     tree = TopTree.fit(points, radius, max(8, round(SHARD * len(points) / max(1, n))))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

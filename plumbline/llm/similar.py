@@ -23,11 +23,11 @@ from .common import forget, settle
 from .components import star_components
 from .simhash import majorities, linked, shingle_hashes
 
-#: Texts of the sample, and of its shingles, by which rare shingles are told from usual ones.
-SAMPLED, USUAL = 16_384, 131_072
+#: Texts by which rare shingles are told from usual ones, at least this many and this share of all; usual shingles held (16 bytes each).
+SAMPLED, SHARE_SAMPLED, USUAL = 16_384, 16, 1 << 20
 #: While more candidate pairs than this for each row are left, texts are compared with one of each shingle's
 #: texts at a time, ROUNDS times at most. Only the order of work depends on either.
-FEW, ROUNDS = 4, 6
+FEW, ROUNDS = 16, 6
 #: Pairs a set is given out for at a time.
 SHARE = 512
 #: Bits of a filter for each thing it holds, and the most it has whatever it holds (16 MB).
@@ -89,9 +89,10 @@ def prefix_length(size: int, similarity: float) -> int:
 def usual_shingles(df: DataFrame, text: str, words: int) -> np.ndarray:
     """The shingles found most in a sample of texts, sorted, and their counts: [2, n], USUAL at most.
 
-    They only set the order in which shingles are taken, rare ones first: no result depends on them.
+    They only set the order in which shingles are taken, rare ones first: no result depends on them. The
+    sample grows with the texts, so that a shingle that counts as rare has few of them at any size.
     """
-    step = max(1, df.count() // SAMPLED)
+    step = max(1, min(df.count() // SAMPLED, SHARE_SAMPLED))
     key = F.xxhash64(text)
     own = df.select(key.alias("_key"), F.col(text).cast("binary").alias("_text")).where(F.pmod(key, F.lit(step)) == 0).dropDuplicates(["_key"])
 
@@ -101,8 +102,16 @@ def usual_shingles(df: DataFrame, text: str, words: int) -> np.ndarray:
                 found = np.unique(np.array(shingle_hashes(t.as_py() or b"", words), np.uint64))
                 yield pa.RecordBatch.from_arrays([signed(found)], names=["_shingle"])
 
-    counts = own.select("_text").mapInArrow(run, "_shingle long").groupBy("_shingle").count().where("count > 2")
-    top = counts.orderBy(F.desc("count"), "_shingle").limit(USUAL).toPandas()
+    counts = settle(own.select("_text").mapInArrow(run, "_shingle long").groupBy("_shingle").count().where("count > 2"), "usual")
+    least, held = 3, 0
+    for row in counts.groupBy("count").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("count")).collect():  # a row for each count that occurs
+        held += row["n"]
+        least = row["count"]
+        if held > USUAL:
+            least += 1
+            break
+    top = counts.where(F.col("count") >= least).toPandas()
+    forget(counts)
     names = top["_shingle"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(names)
     return np.stack([names[order], top["count"].to_numpy(np.int64).astype(np.uint64)[order]])
@@ -260,7 +269,7 @@ def similar(df: DataFrame, doc_id: str, text: str, classes: DataFrame, words: in
     """Edges u, v between nodes of classes whose texts have a Jaccard index of at least `similarity`, that join all such pairs.
 
     classes has _node, _words, _rep, _size, _fp and _leading, and is forgotten. Each edge is verified by whole
-    sets. First come pairs by fingerprint. Then, while many candidates are left and such a round finds any, each text is
+    sets. First come pairs by fingerprint. Then, while many candidates are left and most of a round's are alike, each text is
     compared with the one text of its leading shingles with which it shares most, a text for each shingle;
     last, all pairs that may be similar (see likely) and are in no common group yet.
     """
@@ -284,7 +293,7 @@ def similar(df: DataFrame, doc_id: str, text: str, classes: DataFrame, words: in
         return both.select(*side("a", "u"), *side("b", "v"))
 
     edges = verified(near)
-    total, left = rows.count(), None
+    total, left, worth = rows.count(), None, True
     for k in range(ROUNDS + 1):
         stars = star_components(edges)
         roots = stars.select(F.col("u").alias("_node"), F.col("v").alias("_root"))
@@ -295,14 +304,15 @@ def similar(df: DataFrame, doc_id: str, text: str, classes: DataFrame, words: in
         before, left = left, settle(labelled.join(several.select("_shingle", "_main"), "_shingle"), "open")
         open_pairs = several.agg(F.sum("_pairs")).first()[0] or 0
         forget(stars, several, *([before] if before is not None else []))
-        if k == ROUNDS or open_pairs <= FEW * total:
+        if k == ROUNDS or not worth or open_pairs <= FEW * total:
             break
         pivot = F.min(F.struct(F.xxhash64("_node", F.lit(k)).alias("_order"), "_node", "_size", "_at", "_root")).alias("b")
         pivots = left.groupBy("_shingle").agg(pivot).select("_shingle", "b.*")
         best = likely(met(left, pivots), similarity).groupBy("u").agg(F.max_by("v", F.struct("_n", "v")).alias("v"))
-        found = verified(settle(best, "pairs"))
-        if not found.limit(1).count():
-            break
+        best = settle(best, "pairs")
+        tried = best.count()
+        found = verified(best)
+        worth = 8 * found.count() >= tried > 0  # else what is left is mostly texts that aren't alike
         before_edges, edges = edges, settle(edges.unionByName(found), "edges")
         forget(before_edges, found)
     # a pair across groups has a text outside its shingle's largest group; of two such texts, both are the first once
