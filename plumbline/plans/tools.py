@@ -276,7 +276,7 @@ def summarize_data(
         raise BadInput("tables are read from files, not from the standard input")
     if not at.exists():
         raise NotFound(f"File not found: {path}")
-    if at.is_dir():
+    if at.is_dir() and not format_hint and at.suffix.lower() not in tabular.EXTENSIONS:  # a folder of part files is one table
         same = {"sample": sample, "columns": columns, "no_stats": no_stats, "max_rows": max_rows, "median": median, "head": head, "tail": tail, "max_distinct": max_distinct, "top_k": top_k, "max_columns": max_columns, "max_cell_width": max_cell_width, "all_tables": all_tables, "max_tables": max_tables}
         done, warnings = summarize_folder(spark, path, globs, recursive, format, **same)
         return "\n".join([*done, *(f"> {w}" for w in warnings)])
