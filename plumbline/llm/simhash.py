@@ -82,12 +82,13 @@ def fingerprints(df: DataFrame, text: str, keep: list[str], words: int = 3) -> D
     return narrow.mapInArrow(run, f"{kinds}, _fp long")
 
 
-def linked(prints: DataFrame, radius: int) -> DataFrame:
+def linked(prints: DataFrame, radius: int, stars: bool = True) -> DataFrame:
     """Edges u, v between distinct fingerprints (column _fp) that join all pairs within `radius` bits.
 
     The upper tree is fitted on about SAMPLE fingerprints, or all of fewer, chosen by a hash of their bits; every
     fingerprint is then dealt to its shard and to those whose boundary it is near, and each shard's
-    pairs are found exactly. A shard returns fewer edges than it has fingerprints.
+    pairs are found exactly. A shard returns fewer edges than it has fingerprints; without stars they are
+    links themselves (see near_pairs).
     """
     n = prints.count()
     # a share of all hashes, so that no more than the sample itself goes to the driver, whatever number of tasks there is
@@ -104,7 +105,7 @@ def linked(prints: DataFrame, radius: int) -> DataFrame:
 
     def search(group: pa.Table) -> pa.Table:
         own = group.column("_fp").to_numpy()
-        a, b = near_pairs(own.view(np.uint64), radius)
+        a, b = near_pairs(own.view(np.uint64), radius, stars=stars)
         return pa.table({"u": pa.array(own[a]), "v": pa.array(own[b])})
 
     dealt = prints.select("_fp").mapInArrow(deal, "shard int, _fp long")

@@ -23,8 +23,8 @@ from .common import forget, settle
 from .components import star_components
 from .simhash import majorities, linked, shingle_hashes
 
-#: Texts by which rare shingles are told from usual ones, at least this many and this share of all; usual shingles held (16 bytes each).
-SAMPLED, SHARE_SAMPLED, USUAL = 16_384, 16, 1 << 20
+#: Rare shingles are told from usual ones by one of so many texts; usual shingles held (16 bytes each).
+SAMPLED, USUAL = 16, 1 << 20
 #: While more candidate pairs than this for each row are left, texts are compared with one of each shingle's
 #: texts at a time, ROUNDS times at most. Only the order of work depends on either.
 FEW, ROUNDS = 16, 6
@@ -90,11 +90,10 @@ def usual_shingles(df: DataFrame, text: str, words: int) -> np.ndarray:
     """The shingles found most in a sample of texts, sorted, and their counts: [2, n], USUAL at most.
 
     They only set the order in which shingles are taken, rare ones first: no result depends on them. The
-    sample grows with the texts, so that a shingle that counts as rare has few of them at any size.
+    sample is a share of all texts, so that a shingle that counts as rare has few of them at any size.
     """
-    step = max(1, min(df.count() // SAMPLED, SHARE_SAMPLED))
     key = F.xxhash64(text)
-    own = df.select(key.alias("_key"), F.col(text).cast("binary").alias("_text")).where(F.pmod(key, F.lit(step)) == 0).dropDuplicates(["_key"])
+    own = df.select(key.alias("_key"), F.col(text).cast("binary").alias("_text")).where(F.pmod(key, F.lit(SAMPLED)) == 0).dropDuplicates(["_key"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -243,7 +242,7 @@ def by_fingerprint(classes: DataFrame, radius: int) -> DataFrame:
     """Pairs u, v of nodes by fingerprints: of equal ones with the least of them, of linked ones with the other's least."""
     own = classes.select("_node", "_fp")
     prints = settle(own.groupBy("_fp").agg(F.min("_node").alias("_first")), "prints")
-    near = linked(prints, radius).select(F.col("u").alias("_fp"), F.col("v").alias("_to"))
+    near = linked(prints, radius, stars=False).select(F.col("u").alias("_fp"), F.col("v").alias("_to"))
     least = lambda name: prints.select(F.col("_fp").alias(name), F.col("_first").alias(f"{name}_first"))
     apart = near.join(least("_fp"), "_fp").join(least("_to"), "_to").select(F.col("_fp_first").alias("u"), F.col("_to_first").alias("v"))
     same = own.join(prints, "_fp").where("_node <> _first").select(F.col("_node").alias("u"), F.col("_first").alias("v"))
@@ -288,7 +287,10 @@ def similar(df: DataFrame, doc_id: str, text: str, classes: DataFrame, words: in
 
     def met(left: DataFrame, right: DataFrame) -> DataFrame:
         a, b = left.alias("a"), right.alias("b")
-        both = a.join(b, F.col("a._shingle") == F.col("b._shingle")).where("a._root <> b._root")
+        same = F.col("a._shingle") == F.col("b._shingle")
+        if "_class" in left.columns and "_class" in right.columns:
+            same &= F.col("a._class") == F.col("b._class")
+        both = a.join(b, same).where("a._root <> b._root")
         side = lambda x, to: (F.col(f"{x}._node").alias(to), F.col(f"{x}._size").alias(f"_{to}_size"), F.col(f"{x}._at").alias(f"_{to}_at"))
         return both.select(*side("a", "u"), *side("b", "v"))
 
@@ -315,8 +317,13 @@ def similar(df: DataFrame, doc_id: str, text: str, classes: DataFrame, words: in
         worth = 8 * found.count() >= tried > 0  # else what is left is mostly texts that aren't alike
         before_edges, edges = edges, settle(edges.unionByName(found), "edges")
         forget(before_edges, found)
-    # a pair across groups has a text outside its shingle's largest group; of two such texts, both are the first once
-    pairs = likely(met(left.where("_root <> _main"), left), similarity)
+    # a pair across groups has a text outside its shingle's largest group; of two such texts, both are the first once.
+    # Sizes of sets as similar are in one class or two that follow each other, so other classes needn't meet.
+    # Classes are a little wider than that, so that rounding can't part a pair.
+    scale = F.floor(F.log("_size") / -math.log(0.99 * similarity)).cast("int")
+    minor, every = left.where("_root <> _main").withColumn("_class", scale), left.withColumn("_class", scale)
+    every = every.withColumn("_class", F.explode(F.array(F.col("_class") - 1, F.col("_class"), F.col("_class") + 1)))
+    pairs = likely(met(minor, every), similarity)
     pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     last = verified(settle(pairs, "pairs"))
     forget(rows, left, names)

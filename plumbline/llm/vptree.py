@@ -104,19 +104,32 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             label = up
 
 
-def _thin(members: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of a branch; where they are many, a star for each component instead, which joins the same points."""
-    if len(i) > 4 * len(members):
+def least_neighbours(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of edges between n points, for each point that has a lesser neighbour the edge to its least one."""
+    least = np.arange(n)
+    np.minimum.at(least, np.maximum(a, b), np.minimum(a, b))
+    i = np.flatnonzero(least != np.arange(n))
+    return i, least[i]
+
+
+def _thin(members: np.ndarray, i: np.ndarray, j: np.ndarray, stars: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a branch; where they are many, a star for each component instead, which joins the same points, or
+    without stars each point's edge to its least neighbour."""
+    if len(i) > 4 * len(members) and not stars:
+        i, j = least_neighbours(len(members), i, j)
+    elif len(i) > 4 * len(members):
         label = forest(len(members), i, j)
         i = np.flatnonzero(label != np.arange(len(members)))
         j = label[i]
     return members[i], members[j]
 
 
-def near_pairs(points: np.ndarray, radius: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
+def near_pairs(points: np.ndarray, radius: int, seed: int = 11, stars: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Edges (indexes into points, which are distinct) that join all points within radius, transitively.
 
-    Every edge is a true link, and no link's two ends are left in different components.
+    Every edge joins points of one component, and no link's two ends are left in different components.
+    Without stars edges are links themselves, each point's to its least neighbour, and needn't join whole
+    components: candidates for those who look closer.
     """
     rng = np.random.default_rng(seed)
     todo, found = [np.arange(len(points))], []
@@ -132,7 +145,7 @@ def near_pairs(points: np.ndarray, radius: int, seed: int = 11) -> tuple[np.ndar
             for k in range(0, len(members), step):
                 i, j = np.nonzero(distances(own[k : k + step, None], own[None, :]) <= radius)
                 later = j > i + k
-                found.append(_thin(members, i[later] + k, j[later]))
+                found.append(_thin(members, i[later] + k, j[later], stars))
         else:
             order = np.argsort(own)
             ranked = own[order]
@@ -144,6 +157,8 @@ def near_pairs(points: np.ndarray, radius: int, seed: int = 11) -> tuple[np.ndar
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     a, b = (np.concatenate(x) for x in zip(*found))
+    if not stars:
+        return least_neighbours(len(points), a, b)
     label = forest(len(points), a, b)
     i = np.flatnonzero(label != np.arange(len(points)))
     return i, label[i]

@@ -90,3 +90,15 @@ def test_components_of_paths_stars_and_loops(spark):
     edges = [(i, i + 1) for i in range(1, 60)] + [(100, k) for k in range(101, 160)] + [(200, 200)]
     got = star_components(spark.createDataFrame(edges, "u long, v long")).collect()
     assert sorted(map(tuple, got)) == [(k, 1) for k in range(2, 61)] + [(k, 100) for k in range(101, 160)]
+
+
+def test_links_without_stars_are_links():
+    p = points(1500)
+    a, b = near_pairs(p, 2, stars=False)
+    assert len(a) > 400 and (distances(p[a], p[b]) <= 2).all() and (b < a).all()
+    i, j = np.nonzero(distances(p[:, None], p[None, :]) <= 2)
+    least = {}
+    for x, y in zip(i.tolist(), j.tolist()):
+        if y < x:
+            least[x] = min(least.get(x, x), y)
+    assert set(a.tolist()) == set(least)
