@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -57,6 +60,26 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, for mapInArrow; after it the worker, which is used again, gives the memory it has freed back to the system."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
+
+
+def give_back() -> None:
+    """Return memory that this process has freed to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def tasks_for(df: DataFrame, each: int = 64 << 20) -> int:
     """Tasks to deal df out to: some `each` bytes of the files it is read from, or as many as a shuffle has, if that is more."""
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import forget, settle
+from .vptree import forest
 
 
 def _digest(edges: DataFrame) -> tuple:
@@ -13,15 +16,30 @@ def _digest(edges: DataFrame) -> tuple:
     return tuple(sums.first())
 
 
-def star_components(edges: DataFrame) -> DataFrame:
+def _together(edges: DataFrame) -> pa.Table:
+    """What star_components returns, found by the driver."""
+    table = edges.toArrow()
+    ends = [table.column(c).to_numpy() for c in ("u", "v")]
+    nodes, at = np.unique(np.concatenate(ends), return_inverse=True)
+    label = forest(len(nodes), at[: len(ends[0])], at[len(ends[0]) :])
+    own = np.flatnonzero(label != np.arange(len(nodes)))
+    return pa.table({"u": pa.array(nodes[own], pa.int64()), "v": pa.array(nodes[label[own]], pa.int64())})
+
+
+def star_components(edges: DataFrame, few: int = 0) -> DataFrame:
     """u, v: each node that is not the least of its component, with that least node.
 
     edges has columns u and v of one ordered type without nulls; loops and repeats do no harm. Each
     round is two group-and-join passes over the edges, whose number doesn't grow, and is settled;
     rounds grow with the logarithm of the longest path. Minima are taken before rows are joined back,
-    so a hub's edges are never gathered, and Spark may split its side of the join.
+    so a hub's edges are never gathered, and Spark may split its side of the join. At most `few` distinct
+    edges, between longs, are joined by the driver instead, with the same result.
     """
     now = settle(edges.select("u", "v").where("u <> v").distinct(), "edges")
+    if few and now.count() <= few:
+        found = settle(edges.sparkSession.createDataFrame(_together(now)), "edges")
+        forget(now)
+        return found
     seen = None
     while (digest := _digest(now)) != seen:
         seen = digest

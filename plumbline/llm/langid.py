@@ -17,6 +17,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 UNDETERMINED = "und"
 WINDOW, WIDTHS, FILTERS = 192, (2, 3, 4), 16
 #: Bound of the training sample: at most SLOTS documents of each language, PIECES windows from each.
@@ -255,4 +257,4 @@ def accept(df: DataFrame, doc_id: str, text: str, lang: str, least: float = 0.35
             found, scores = ready.predict_all(batch.column(names.index(text)))
             yield batch.filter(pa.array([n != UNDETERMINED and s >= least for n, s in zip(found, scores)], pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(tidy(run), df.schema)

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
-from .common import forget, settle
+from .common import forget, settle, tidy
 from .components import star_components
 from .simhash import majorities, linked, shingle_hashes
 
@@ -30,6 +30,11 @@ SAMPLED, USUAL = 16, 1 << 20
 FEW, ROUNDS = 16, 6
 #: Pairs a set is given out for at a time.
 SHARE = 512
+#: Edges up to which the driver joins them (16 bytes each); beyond, tasks do.
+TOGETHER = 1 << 17
+#: Words of 64 bits in a set's sketch.
+SKETCH = 4
+BITS = [f"_b{k}" for k in range(SKETCH)]
 #: Bits of a filter for each thing it holds, and the most it has whatever it holds (16 MB).
 BITS_EACH, MOST_BITS = 16, 1 << 27
 
@@ -63,7 +68,7 @@ class Filter:
             yield pa.RecordBatch.from_arrays([pa.array([own.tobytes()], pa.binary())], names=["bits"])
 
         table = np.zeros(bits // 8, np.uint8)
-        for row in df.select(column).coalesce(4).mapInArrow(run, "bits binary").collect():
+        for row in df.select(column).coalesce(4).mapInArrow(tidy(run), "bits binary").collect():
             table |= np.frombuffer(row["bits"], np.uint8)
         return cls(table)
 
@@ -101,7 +106,7 @@ def usual_shingles(df: DataFrame, text: str, words: int) -> np.ndarray:
                 found = np.unique(np.array(shingle_hashes(t.as_py() or b"", words), np.uint64))
                 yield pa.RecordBatch.from_arrays([signed(found)], names=["_shingle"])
 
-    counts = settle(own.select("_text").mapInArrow(run, "_shingle long").groupBy("_shingle").count().where("count > 2"), "usual")
+    counts = settle(own.select("_text").mapInArrow(tidy(run), "_shingle long").groupBy("_shingle").count().where("count > 2"), "usual")
     least, held = 3, 0
     for row in counts.groupBy("count").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("count")).collect():  # a row for each count that occurs
         held += row["n"]
@@ -125,13 +130,24 @@ def leading(found: np.ndarray, usual: np.ndarray, similarity: float) -> np.ndarr
     return found[np.lexsort((found, np.where(usual[0][at] == found, usual[1][at], 0)))[:n]]
 
 
+def sketches(hashes: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    """SKETCH words for each run of `sizes` distinct hashes: which of 64 * SKETCH slots hold an odd number of them.
+
+    A hash that only one of two sets has turns one bit, so sketches differ in no more bits than sets in hashes.
+    """
+    mixed = hashes * np.uint64(0xD6E8FEB86659FD93)
+    slot = (mixed >> np.uint64(58 - (SKETCH - 1).bit_length())).astype(np.int64) % (64 * SKETCH)
+    odd = np.bincount(np.repeat(np.arange(len(sizes)), sizes) * (64 * SKETCH) + slot, minlength=len(sizes) * 64 * SKETCH) & 1
+    return list(np.packbits(odd.astype(bool).reshape(-1, 64 * SKETCH), axis=1, bitorder="little").view("<u8").T.copy())
+
+
 def _rows(df: DataFrame, doc_id: str, text: str) -> list[Column]:
     """_rep, a hash of a row's id and text, and _text."""
     return [F.xxhash64(F.col(doc_id), F.coalesce(F.col(text), F.lit(""))).alias("_rep"), F.col(text).cast("binary").alias("_text")]
 
 
 def shingle_prints(df: DataFrame, doc_id: str, text: str, words: int, similarity: float) -> DataFrame:
-    """_doc, _rep, _words (digest), _size (distinct shingles), _fp (their SimHash) and _leading of each row."""
+    """_doc, _rep, _words (digest), _size (distinct shingles), _fp (their SimHash), _leading and BITS (their sketch) of each row."""
     usual = df.sparkSession.sparkContext.broadcast(usual_shingles(df, text, words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,13 +161,15 @@ def shingle_prints(df: DataFrame, doc_id: str, text: str, words: int, similarity
                 offsets = pa.array(np.cumsum([0, *map(len, first)]).astype(np.int32))
                 none = np.zeros(0, np.uint64)
                 lists = pa.ListArray.from_arrays(offsets, signed(np.concatenate([none, *first])))
-                prints = majorities(np.concatenate([none, *sets]), sizes)
+                every = np.concatenate([none, *sets])
+                prints, bits = majorities(every, sizes), map(signed, sketches(every, sizes))
                 names = pa.array([digest_of(t) for t in raw], pa.binary())
-                yield pa.RecordBatch.from_arrays([*part.columns[:2], names, pa.array(sizes.astype(np.int32)), signed(prints), lists], names=out)
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], names, pa.array(sizes.astype(np.int32)), signed(prints), lists, *bits], names=out)
 
-    out = ["_doc", "_rep", "_words", "_size", "_fp", "_leading"]
+    out = ["_doc", "_rep", "_words", "_size", "_fp", "_leading", *BITS]
     narrow = df.select(F.col(doc_id).alias("_doc"), *_rows(df, doc_id, text))
-    return narrow.mapInArrow(run, f"_doc {narrow.schema['_doc'].dataType.simpleString()}, _rep long, _words binary, _size int, _fp long, _leading array<long>")
+    kinds = f"_doc {narrow.schema['_doc'].dataType.simpleString()}, _rep long, _words binary, _size int, _fp long, _leading array<long>"
+    return narrow.mapInArrow(tidy(run), ", ".join([kinds, *(f"{b} long" for b in BITS)]))
 
 
 def word_prints(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
@@ -164,30 +182,29 @@ def word_prints(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
 
     narrow = df.select(*keep, F.col(text).cast("binary").alias("_text"))
     kinds = ", ".join(f"`{c}` {narrow.schema[c].dataType.simpleString()}" for c in keep)
-    return narrow.mapInArrow(run, f"{kinds}, _words binary")
+    return narrow.mapInArrow(tidy(run), f"{kinds}, _words binary")
 
 
 def met_rows(classes: DataFrame) -> DataFrame:
-    """_node, _size, _at, _shingle for each leading shingle that more than one class has, settled."""
-    wide = classes.select("_node", "_size", "_leading")
+    """_node, _size, BITS, _at, _shingle for each leading shingle that more than one class has, settled."""
+    wide = classes.select("_leading", "_node", "_size", *BITS)
 
-    def exploded(sieve: Filter | None):
+    def exploded(sieve: Filter):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                lists = batch.column(2)
+                lists = batch.column(0)
                 lengths = lists.value_lengths().to_numpy()
                 owner = np.repeat(np.arange(batch.num_rows), lengths)
                 at = np.arange(len(owner)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
                 shingle = lists.flatten().to_numpy()
-                if sieve is not None:
-                    own = sieve.may_hold(shingle.view(np.uint64))
-                    owner, at, shingle = owner[own], at[own], shingle[own]
-                take = pa.array(owner)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(at.astype(np.int32)), pa.array(shingle)], names=["_node", "_size", "_at", "_shingle"])
+                own = sieve.may_hold(shingle.view(np.uint64))
+                take = pa.array(owner[own])
+                kept = [c.take(take) for c in batch.columns[1:]]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(at[own].astype(np.int32)), pa.array(shingle[own])], names=["_node", "_size", *BITS, "_at", "_shingle"])
 
-        return wide.mapInArrow(run, "_node long, _size int, _at int, _shingle long")
+        return wide.mapInArrow(tidy(run), ", ".join(["_node long, _size int", *(f"{b} long" for b in BITS), "_at int, _shingle long"]))
 
-    each = exploded(None).groupBy("_shingle").agg(F.count(F.lit(1)).alias("_n"))
+    each = classes.select(F.explode("_leading").alias("_shingle")).groupBy("_shingle").agg(F.count(F.lit(1)).alias("_n"))
     met = settle(each.where("_n > 1").select("_shingle"), "met")
     rows = settle(exploded(Filter.of(met, "_shingle")).join(met, "_shingle"), "leading")
     forget(met)
@@ -209,7 +226,7 @@ def shingle_sets(df: DataFrame, doc_id: str, text: str, chosen: DataFrame, words
                 sets = [np.unique(np.array(shingle_hashes(t, words), np.uint64)).tobytes() for t in raw]
                 yield pa.RecordBatch.from_arrays([pa.array([digest_of(t) for t in raw], pa.binary()), pa.array(sets, pa.binary())], names=["_words", "_set"])
 
-    sets = df.select(*_rows(df, doc_id, text)).mapInArrow(run, "_words binary, _set binary")
+    sets = df.select(*_rows(df, doc_id, text)).mapInArrow(tidy(run), "_words binary, _set binary")
     return settle(sets.join(chosen.select("_words", "_node").hint("merge"), "_words").dropDuplicates(["_words"]).select("_node", "_set"), "sets")
 
 
@@ -235,7 +252,7 @@ def as_similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFram
                 keep[k] = common / (len(a) + len(b) - common) >= similarity
             yield batch.select(["u", "v"]).filter(pa.array(keep))
 
-    return both.select("u", "v", "_a", "_b").mapInArrow(run, "u long, v long")
+    return both.select("u", "v", "_a", "_b").mapInArrow(tidy(run), "u long, v long")
 
 
 def by_fingerprint(classes: DataFrame, radius: int) -> DataFrame:
@@ -249,6 +266,16 @@ def by_fingerprint(classes: DataFrame, radius: int) -> DataFrame:
     return same.union(apart)
 
 
+def may_share(a: str, b: str, similarity: float) -> Column:
+    """False only where sizes or sketches of the rows a and b show that their sets aren't as similar.
+
+    Sets that share need(sizes) differ in the rest of both sizes, and their sketches in no more bits.
+    """
+    x, y = F.col(f"{a}._size"), F.col(f"{b}._size")
+    apart = sum((F.bit_count(F.col(f"{a}.{k}").bitwiseXOR(F.col(f"{b}.{k}"))) for k in BITS), F.lit(0))
+    return (F.least(x, y) >= similarity * F.greatest(x, y) - 1e-9) & (apart <= x + y - 2 * F.ceil(similarity / (1 + similarity) * (x + y) - 1e-9))
+
+
 def likely(met: DataFrame, similarity: float) -> DataFrame:
     """Pairs u, v of met (a row for each leading shingle that two texts share: u, v and both texts' _size and _at) that may be similar.
 
@@ -267,7 +294,7 @@ def likely(met: DataFrame, similarity: float) -> DataFrame:
 def similar(df: DataFrame, doc_id: str, text: str, classes: DataFrame, words: int, similarity: float, radius: int = 2) -> DataFrame:
     """Edges u, v between nodes of classes whose texts have a Jaccard index of at least `similarity`, that join all such pairs.
 
-    classes has _node, _words, _rep, _size, _fp and _leading, and is forgotten. Each edge is verified by whole
+    classes has _node, _words, _rep, _size, _fp, _leading and BITS, and is forgotten. Each edge is verified by whole
     sets. First come pairs by fingerprint. Then, while many candidates are left and most of a round's are alike, each text is
     compared with the one text of its leading shingles with which it shares most, a text for each shingle;
     last, all pairs that may be similar (see likely) and are in no common group yet.
@@ -290,14 +317,14 @@ def similar(df: DataFrame, doc_id: str, text: str, classes: DataFrame, words: in
         same = F.col("a._shingle") == F.col("b._shingle")
         if "_class" in left.columns and "_class" in right.columns:
             same &= F.col("a._class") == F.col("b._class")
-        both = a.join(b, same).where("a._root <> b._root")
+        both = a.join(b, same & (F.col("a._root") != F.col("b._root")) & may_share("a", "b", similarity))
         side = lambda x, to: (F.col(f"{x}._node").alias(to), F.col(f"{x}._size").alias(f"_{to}_size"), F.col(f"{x}._at").alias(f"_{to}_at"))
         return both.select(*side("a", "u"), *side("b", "v"))
 
     edges = verified(near)
     total, left, worth = rows.count(), None, True
     for k in range(ROUNDS + 1):
-        stars = star_components(edges)
+        stars = star_components(edges, TOGETHER)
         roots = stars.select(F.col("u").alias("_node"), F.col("v").alias("_root"))
         labelled = rows.join(roots, "_node", "left").withColumn("_root", F.coalesce("_root", "_node"))
         groups = labelled.groupBy("_shingle", "_root").agg(F.count(F.lit(1)).alias("_n"))
@@ -308,7 +335,7 @@ def similar(df: DataFrame, doc_id: str, text: str, classes: DataFrame, words: in
         forget(stars, several, *([before] if before is not None else []))
         if k == ROUNDS or not worth or open_pairs <= FEW * total:
             break
-        pivot = F.min(F.struct(F.xxhash64("_node", F.lit(k)).alias("_order"), "_node", "_size", "_at", "_root")).alias("b")
+        pivot = F.min(F.struct(F.xxhash64("_node", F.lit(k)).alias("_order"), "_node", "_size", *BITS, "_at", "_root")).alias("b")
         pivots = left.groupBy("_shingle").agg(pivot).select("_shingle", "b.*")
         best = likely(met(left, pivots), similarity).groupBy("u").agg(F.max_by("v", F.struct("_n", "v")).alias("v"))
         best = settle(best, "pairs")
@@ -353,14 +380,14 @@ def similar_groups(df: DataFrame, doc_id: str, text: str, words: int = 5, simila
     """
     with shuffles_freed(df.sparkSession):
         prints = settle(shingle_prints(df, doc_id, text, words, similarity), "shingles")
-        first = F.min(F.struct("_rep", "_size", "_fp", "_leading")).alias("_one")
+        first = F.min(F.struct("_rep", "_size", "_fp", "_leading", *BITS)).alias("_one")
         one = prints.groupBy("_words").agg(F.min("_doc").alias("_least"), first)
         classes = settle(one.select(F.monotonically_increasing_id().alias("_node"), "_words", "_least", "_one.*"), "classes")
         narrow = settle(prints.select("_doc", "_words"), "rows")
         nodes = settle(classes.select("_node", "_words", "_least"), "nodes")
         forget(prints)
         edges = similar(df, doc_id, text, classes, words, similarity)
-        stars = star_components(edges)
+        stars = star_components(edges, TOGETHER)
         roots = stars.select(F.col("u").alias("_node"), F.col("v").alias("_root"))
         rooted = nodes.join(roots, "_node", "left").withColumn("_root", F.coalesce("_root", "_node"))
         least = rooted.groupBy("_root").agg(F.min("_least").alias("component_id"))

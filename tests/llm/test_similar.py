@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+from plumbline.llm.components import star_components
 from plumbline.llm.similar import Filter, keep_one_of_similar, leading, prefix_length
 
 from .helpers import frame
@@ -124,3 +125,41 @@ def test_leading_shingles_of_similar_sets_meet():
         b = np.unique(np.r_[a[: prefix_length(n, 0.8) * -1 + n + 1] if n > 5 else a, pick.integers(0, 2**64, 0, dtype=np.uint64)])
         if len(b) and len(np.intersect1d(a, b)) / len(np.union1d(a, b)) >= 0.8:
             assert np.intersect1d(leading(a, usual, 0.8), leading(b, usual, 0.8)).size
+
+
+def test_sketches_differ_in_no_more_bits_than_sets():
+    from plumbline.llm.similar import sketches
+
+    pick = np.random.default_rng(3)
+    for n in (0, 1, 9, 200, 5000):
+        a = np.unique(pick.integers(0, 2**64, n, dtype=np.uint64))
+        b = np.unique(np.r_[a[n // 8 :], pick.integers(0, 2**64, n // 9, dtype=np.uint64)])
+        one, other = np.stack(sketches(np.r_[a, b], np.array([len(a), len(b)]))).T
+        assert int(np.bitwise_count(one ^ other).sum()) <= len(np.setxor1d(a, b))
+        assert (one == np.stack(sketches(a, np.array([len(a)]))).T[0]).all()
+
+
+def test_texts_below_the_bound_are_not_all_verified(spark, monkeypatch):
+    import plumbline.llm.similar as module
+
+    compared, plain = [], module.as_similar
+    monkeypatch.setattr(module, "as_similar", lambda pairs, *rest: compared.append(pairs.count()) or plain(pairs, *rest))
+    pick, texts = random.Random(8), {}
+    base = [f"w{pick.randint(0, 4000)}" for _ in range(150)]
+    for k in range(80):  # pairs of them are at 0.5 to 0.75
+        words = list(base)
+        for at in pick.sample(range(150), 4):
+            words[at] = f"other{pick.random()}"
+        texts[k] = " ".join(words)
+    least = brute_similar(texts, 0.8)
+    assert kept_ids(spark, texts) == {d for d in texts if least[d] == d}
+    assert sum(compared) < 80 * 79 / 2 / 4
+
+
+def test_few_edges_are_joined_by_the_driver_with_the_same_result(spark):
+    pick = random.Random(9)
+    rows = [(pick.randint(-300, 300), pick.randint(-300, 300)) for _ in range(200)]
+    edges = spark.createDataFrame(rows, "u long, v long")
+    both = [sorted(map(tuple, star_components(edges, few).collect())) for few in (0, 1000)]
+    assert both[0] == both[1] and both[0]
+    assert star_components(edges.where("u > 1000"), 1000).count() == 0
