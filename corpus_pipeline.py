@@ -18,7 +18,7 @@ from plumbline.llm.tokenfile import token_files
 
 
 #: Rows that a stage's Python workers are handed at a time; long texts would otherwise fill them.
-BATCH = 3000
+BATCH = 1000
 #: Vocabulary by which the mix counts and the last stage encodes.
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 #: Chunks whose counts, then ids, a worker remembers: fewer than alone, as workers also hold what earlier stages have left.

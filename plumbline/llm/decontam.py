@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import settle
+from .common import settle, tidy
 from .files import locate
 
 #: Bytes of item texts in a block, and blocks whose index a worker holds at once (some 3 bytes for each byte of text).
@@ -253,7 +253,7 @@ def without_contained(docs: DataFrame, text: str, items: DataFrame, item_id: str
                 keep[[d for d, *_ in hits(batch.column(at), block_of(file, size, share)[1])]] = False
             yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 _WORDS = r"regexp_extract_all(lower(text), '[^\x00-/:-`{-\x7f]+')"
