@@ -146,9 +146,9 @@ def test_texts_below_the_bound_are_not_all_verified(spark, monkeypatch):
     monkeypatch.setattr(module, "as_similar", lambda pairs, *rest: compared.append(pairs.count()) or plain(pairs, *rest))
     pick, texts = random.Random(8), {}
     base = [f"w{pick.randint(0, 4000)}" for _ in range(150)]
-    for k in range(80):  # pairs of them are at 0.5 to 0.75
+    for k in range(80):  # most pairs of them are below 0.8
         words = list(base)
-        for at in pick.sample(range(150), 4):
+        for at in pick.sample(range(150), 3):
             words[at] = f"other{pick.random()}"
         texts[k] = " ".join(words)
     least = brute_similar(texts, 0.8)
