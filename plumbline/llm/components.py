@@ -32,10 +32,13 @@ def star_components(edges: DataFrame, few: int = 0) -> DataFrame:
     edges has columns u and v of one ordered type without nulls; loops and repeats do no harm. Each
     round is two group-and-join passes over the edges, whose number doesn't grow, and is settled;
     rounds grow with the logarithm of the longest path. Minima are taken before rows are joined back,
-    so a hub's edges are never gathered, and Spark may split its side of the join. At most `few` distinct
-    edges, between longs, are joined by the driver instead, with the same result.
+    so a hub's edges are never gathered, and Spark may split its side of the join. At most `few`
+    edges, repeats left out if they are more, between longs, are joined by the driver instead, with the same result.
     """
-    now = settle(edges.select("u", "v").where("u <> v").distinct(), "edges")
+    own = edges.select("u", "v").where("u <> v")
+    if few and edges.count() <= few:  # nothing is dealt out for so few
+        return settle(edges.sparkSession.createDataFrame(_together(own)), "edges")
+    now = settle(own.distinct(), "edges")
     if few and now.count() <= few:
         found = settle(edges.sparkSession.createDataFrame(_together(now)), "edges")
         forget(now)

@@ -26,8 +26,9 @@ from .simhash import majorities, linked, shingle_hashes
 #: Rare shingles are told from usual ones by one of so many texts; usual shingles held (16 bytes each).
 SAMPLED, USUAL = 16, 1 << 20
 #: While more candidate pairs than this for each row are left, texts are compared with one of each shingle's
-#: texts at a time, ROUNDS times at most. Only the order of work depends on either.
-FEW, ROUNDS = 16, 6
+#: texts at a time, ROUNDS times at most and no more once a round has left over STILL of them. Only the order of
+#: work depends on these.
+FEW, ROUNDS, STILL = 16, 6, 7 / 8
 #: Pairs a set is given out for at a time.
 SHARE = 512
 #: Edges up to which the driver joins them (16 bytes each); beyond, tasks do.
@@ -295,7 +296,7 @@ def similar(df: DataFrame, doc_id: str, text: str, classes: DataFrame, words: in
     """Edges u, v between nodes of classes whose texts have a Jaccard index of at least `similarity`, that join all such pairs.
 
     classes has _node, _words, _rep, _size, _fp, _leading and BITS, and is forgotten. Each edge is verified by whole
-    sets. First come pairs by fingerprint. Then, while many candidates are left and most of a round's are alike, each text is
+    sets. First come pairs by fingerprint. Then, while many candidates are left and rounds make them fewer, each text is
     compared with the one text of its leading shingles with which it shares most, a text for each shingle;
     last, all pairs that may be similar (see likely) and are in no common group yet.
     """
@@ -322,7 +323,7 @@ def similar(df: DataFrame, doc_id: str, text: str, classes: DataFrame, words: in
         return both.select(*side("a", "u"), *side("b", "v"))
 
     edges = verified(near)
-    total, left, worth = rows.count(), None, True
+    total, left, worth, open_before = rows.count(), None, True, math.inf
     for k in range(ROUNDS + 1):
         stars = star_components(edges, TOGETHER)
         roots = stars.select(F.col("u").alias("_node"), F.col("v").alias("_root"))
@@ -333,8 +334,9 @@ def similar(df: DataFrame, doc_id: str, text: str, classes: DataFrame, words: in
         before, left = left, settle(labelled.join(several.select("_shingle", "_main"), "_shingle"), "open")
         open_pairs = several.agg(F.sum("_pairs")).first()[0] or 0
         forget(stars, several, *([before] if before is not None else []))
-        if k == ROUNDS or not worth or open_pairs <= FEW * total:
+        if k == ROUNDS or not worth or open_pairs <= FEW * total or open_pairs > STILL * open_before:
             break
+        open_before = open_pairs
         pivot = F.min(F.struct(F.xxhash64("_node", F.lit(k)).alias("_order"), "_node", "_size", *BITS, "_at", "_root")).alias("b")
         pivots = left.groupBy("_shingle").agg(pivot).select("_shingle", "b.*")
         best = likely(met(left, pivots), similarity).groupBy("u").agg(F.max_by("v", F.struct("_n", "v")).alias("v"))

@@ -90,3 +90,14 @@ def test_many_blocks_of_items(spark, monkeypatch):
     assert len(files) > 5
     got = {(r.doc_id, r.item_id) for r in contained_items(frame(spark, rows), "doc_id", "text", bench, "item_id", "text").collect()}
     assert got == {(d, i) for d, i, *_ in brute(rows, items)}
+
+
+def test_blocks_go_by_bytes_not_by_files(spark, monkeypatch):
+    rows, items = cases()
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    plain = decontam.settle
+    monkeypatch.setattr(decontam, "settle", lambda df, name: plain(df.repartition(20, "_item"), name))
+    parts = decontam.blocks(bench, "item_id", "text")
+    assert len(parts) == 1 and len(parts[0]) > 5
+    got = {(r.doc_id, r.item_id) for r in contained_items(frame(spark, rows), "doc_id", "text", bench, "item_id", "text").collect()}
+    assert got == {(d, i) for d, i, *_ in brute(rows, items)}

@@ -163,3 +163,22 @@ def test_few_edges_are_joined_by_the_driver_with_the_same_result(spark):
     both = [sorted(map(tuple, star_components(edges, few).collect())) for few in (0, 1000)]
     assert both[0] == both[1] and both[0]
     assert star_components(edges.where("u > 1000"), 1000).count() == 0
+
+
+def test_rounds_end_when_they_leave_as_much(spark, monkeypatch):
+    import plumbline.llm.similar as module
+
+    verified, plain = [], module.as_similar
+    monkeypatch.setattr(module, "as_similar", lambda *args: verified.append(1) or plain(*args))
+    monkeypatch.setattr(module, "usual_shingles", lambda *args: np.zeros((2, 0), np.uint64))  # so that the common passage leads
+    monkeypatch.setattr(module, "FEW", 0)
+    pick, texts = random.Random(12), {}
+    for k in range(100):  # all share a passage; eight in a hundred begin a chain whose neighbours only are alike
+        words = [f"common{i}" for i in range(60)] + [f"own{k}x{i}" for i in range(90)]
+        for copy in range(12 if k < 8 else 1):
+            texts[12 * k + copy] = " ".join(words)
+            for at in pick.sample(range(60, 150), 3):
+                words[at] = f"other{pick.random()}"
+    least = brute_similar(texts, 0.8)
+    assert kept_ids(spark, texts) == {d for d in texts if least[d] == d}
+    assert len(verified) == 3  # by fingerprint, a round that leaves most pairs open, the rest
