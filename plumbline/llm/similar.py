@@ -10,8 +10,10 @@ pair needs besides (whole sets) is read again from the texts, for those in quest
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +35,9 @@ FEW, ROUNDS, STILL = 16, 6, 7 / 8
 SHARE = 512
 #: Edges up to which the driver joins them (16 bytes each); beyond, tasks do.
 TOGETHER = 1 << 17
+#: Shingles before each leading one that are kept with it; more of them leave fewer repeats of a pair, none changes a result.
+EARLIER = 4
+BEFORE = [f"_p{k}" for k in range(EARLIER)]
 #: Words of 64 bits in a set's sketch.
 SKETCH = 4
 BITS = [f"_b{k}" for k in range(SKETCH)]
@@ -187,7 +192,10 @@ def word_prints(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
 
 
 def met_rows(classes: DataFrame) -> DataFrame:
-    """_node, _size, BITS, _at, _shingle for each leading shingle that more than one class has, settled."""
+    """_node, _size, BITS, _at, BEFORE, _shingle for each leading shingle that more than one class has, settled.
+
+    BEFORE are the shingles that come before it among the class's leading ones, the nearest first, null where there are fewer.
+    """
     wide = classes.select("_leading", "_node", "_size", *BITS)
 
     def exploded(sieve: Filter):
@@ -198,12 +206,13 @@ def met_rows(classes: DataFrame) -> DataFrame:
                 owner = np.repeat(np.arange(batch.num_rows), lengths)
                 at = np.arange(len(owner)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
                 shingle = lists.flatten().to_numpy()
-                own = sieve.may_hold(shingle.view(np.uint64))
+                own = np.flatnonzero(sieve.may_hold(shingle.view(np.uint64)))
                 take = pa.array(owner[own])
                 kept = [c.take(take) for c in batch.columns[1:]]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(at[own].astype(np.int32)), pa.array(shingle[own])], names=["_node", "_size", *BITS, "_at", "_shingle"])
+                earlier = [pa.array(shingle[np.maximum(own - k, 0)], mask=at[own] < k) for k in range(1, EARLIER + 1)]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(at[own].astype(np.int32)), *earlier, pa.array(shingle[own])], names=["_node", "_size", *BITS, "_at", *BEFORE, "_shingle"])
 
-        return wide.mapInArrow(tidy(run), ", ".join(["_node long, _size int", *(f"{b} long" for b in BITS), "_at int, _shingle long"]))
+        return wide.mapInArrow(tidy(run), ", ".join(["_node long, _size int", *(f"{b} long" for b in BITS), "_at int", *(f"{p} long" for p in BEFORE), "_shingle long"]))
 
     each = classes.select(F.explode("_leading").alias("_shingle")).groupBy("_shingle").agg(F.count(F.lit(1)).alias("_n"))
     met = settle(each.where("_n > 1").select("_shingle"), "met")
@@ -232,28 +241,40 @@ def shingle_sets(df: DataFrame, doc_id: str, text: str, chosen: DataFrame, words
 
 
 def as_similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Those of the distinct pairs u, v of nodes whose sets have a Jaccard index of at least `similarity`, exactly.
+    """Those of the distinct pairs u, v of nodes whose sets have a Jaccard index of at least `similarity`, exactly."""
+    return sharing(pairs, sets, lambda common, a, b, least: common / (a + b - common) >= similarity)
+
 
-    A set that is v in many pairs is given out SHARE pairs at a time, so that no task gets all of them.
+def sharing(pairs: DataFrame, sets: DataFrame, enough: Callable[[int, int, int, int], bool]) -> DataFrame:
+    """Those of the distinct pairs u, v of nodes for which enough(entries in common, entries of either, the pair's _least or 0).
+
+    sets has _node and _set, distinct numbers of 64 bits as bytes or a list. A set that is v in many pairs is given
+    out SHARE pairs at a time, so that no task gets all of them.
     """
+    least = F.col("_least") if "_least" in pairs.columns else F.lit(0)
+    pairs = pairs.select("u", "v", least.cast("int").alias("_least"))
     shares = pairs.groupBy("v").agg(F.ceil(F.count(F.lit(1)) / SHARE).cast("int").alias("_n"))
     given = shares.join(sets.select(F.col("_node").alias("v"), F.col("_set").alias("_b")), "v")
     given = given.select("v", "_b", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_share"))
-    dealt = pairs.join(shares, "v").select("u", "v", F.pmod(F.xxhash64("u"), F.col("_n")).cast("int").alias("_share"))
+    dealt = pairs.join(shares, "v").select("u", "v", "_least", F.pmod(F.xxhash64("u"), F.col("_n")).cast("int").alias("_share"))
     own = dealt.join(sets.select(F.col("_node").alias("u"), F.col("_set").alias("_a")).hint("merge"), "u")
     both = own.join(given.hint("merge"), ["v", "_share"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = np.zeros(batch.num_rows, bool)
-            for k, (a, b) in enumerate(zip(batch.column(2), batch.column(3))):
-                a, b = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
+            for k, (a, b, least) in enumerate(zip(*map(numbers, batch.columns[2:4]), batch.column(4).to_pylist())):
                 both = np.sort(np.concatenate([a, b]), kind="stable")
-                common = int((both[1:] == both[:-1]).sum())
-                keep[k] = common / (len(a) + len(b) - common) >= similarity
+                keep[k] = enough(int((both[1:] == both[:-1]).sum()), len(a), len(b), least)
             yield batch.select(["u", "v"]).filter(pa.array(keep))
 
-    return both.select("u", "v", "_a", "_b").mapInArrow(tidy(run), "u long, v long")
+    return both.select("u", "v", "_a", "_b", "_least").mapInArrow(tidy(run), "u long, v long")
+
+
+def numbers(sets: pa.Array) -> Iterator[np.ndarray]:
+    """Each set's numbers of 64 bits, given as bytes or as a list."""
+    for s in sets:
+        yield s.values.to_numpy().view(np.uint64) if pa.types.is_list(sets.type) else np.frombuffer(s.as_buffer(), np.uint64)
 
 
 def by_fingerprint(classes: DataFrame, radius: int) -> DataFrame:
@@ -277,18 +298,29 @@ def may_share(a: str, b: str, similarity: float) -> Column:
     return (F.least(x, y) >= similarity * F.greatest(x, y) - 1e-9) & (apart <= x + y - 2 * F.ceil(similarity / (1 + similarity) * (x + y) - 1e-9))
 
 
-def likely(met: DataFrame, similarity: float) -> DataFrame:
-    """Pairs u, v of met (a row for each leading shingle that two texts share: u, v and both texts' _size and _at) that may be similar.
+def enough_behind(u: str, v: str, similarity: float) -> Column:
+    """Whether a shingle at {u}at and {v}at of two texts may be the first that they share, if they are similar (position filter).
+
+    Two sets as similar share need(sizes) shingles: the first one shared must leave as many behind it in both.
+    """
+    x, y = F.col(f"{u}_size"), F.col(f"{v}_size")
+    return F.least(x - F.col(f"{u}_at"), y - F.col(f"{v}_at")) >= F.ceil(similarity / (1 + similarity) * (x + y) - 1e-9)
+
+
+def least_leading(u: str, v: str, similarity: float) -> Column:
+    """Leading shingles that two texts as similar share, at least.
 
-    Two sets as similar share need(sizes) shingles. The first one shared must leave as many behind it in
-    both (position filter). And beyond the leading shingles of the text whose last one comes first in the
-    order, of which none is missing in the count, there are no more than the rest of it.
+    Beyond the leading shingles of the text whose last one comes first in the order, of which none is missing in a
+    count of all that are shared, there are no more than the rest of it.
     """
-    both = F.col("_u_size") + F.col("_v_size")
-    need = F.ceil(similarity / (1 + similarity) * both - 1e-9)
-    behind = F.least(F.col("_u_size") - F.col("_u_at"), F.col("_v_size") - F.col("_v_at"))
-    rest = F.ceil(similarity * F.greatest("_u_size", "_v_size") - 1e-9) - 1
-    sums = met.groupBy("u", "v").agg(F.count(F.lit(1)).alias("_n"), F.max(behind >= need).alias("_room"), F.first(need - rest).alias("_least"))
+    x, y = F.col(f"{u}_size"), F.col(f"{v}_size")
+    return F.ceil(similarity / (1 + similarity) * (x + y) - 1e-9) - F.ceil(similarity * F.greatest(x, y) - 1e-9) + 1
+
+
+def likely(met: DataFrame, similarity: float) -> DataFrame:
+    """Pairs u, v of met (a row for each leading shingle that two texts share: u, v and both texts' _size and _at) that may be similar."""
+    room, least = enough_behind("_u", "_v", similarity), least_leading("_u", "_v", similarity)
+    sums = met.groupBy("u", "v").agg(F.count(F.lit(1)).alias("_n"), F.max(room).alias("_room"), F.first(least).alias("_least"))
     return sums.where("_room AND _n >= _least").select("u", "v", "_n")
 
 
@@ -297,13 +329,14 @@ def similar(df: DataFrame, doc_id: str, text: str, classes: DataFrame, words: in
 
     classes has _node, _words, _rep, _size, _fp, _leading and BITS, and is forgotten. Each edge is verified by whole
     sets. First come pairs by fingerprint. Then, while many candidates are left and rounds make them fewer, each text is
-    compared with the one text of its leading shingles with which it shares most, a text for each shingle;
-    last, all pairs that may be similar (see likely) and are in no common group yet.
+    compared with the one text of its leading shingles with which it shares most, a text for each shingle, in the
+    first round the one that meets others most: in a large group of near copies most are like one of the least edited;
+    last, all pairs that may be similar and are in no common group yet: each is made where the two first meet (see
+    first_met), and the leading shingles that it shares are counted from both texts' lists.
     """
     rows = met_rows(classes)
-    names = settle(classes.select("_node", "_words", "_rep"), "names")
+    names = classes.select("_node", "_words", "_rep")
     near = settle(by_fingerprint(classes, radius), "pairs")
-    forget(classes)
 
     def verified(pairs: DataFrame) -> DataFrame:
         chosen = pairs.select(F.explode(F.array("u", "v")).alias("_node")).distinct()
@@ -316,8 +349,6 @@ def similar(df: DataFrame, doc_id: str, text: str, classes: DataFrame, words: in
     def met(left: DataFrame, right: DataFrame) -> DataFrame:
         a, b = left.alias("a"), right.alias("b")
         same = F.col("a._shingle") == F.col("b._shingle")
-        if "_class" in left.columns and "_class" in right.columns:
-            same &= F.col("a._class") == F.col("b._class")
         both = a.join(b, same & (F.col("a._root") != F.col("b._root")) & may_share("a", "b", similarity))
         side = lambda x, to: (F.col(f"{x}._node").alias(to), F.col(f"{x}._size").alias(f"_{to}_size"), F.col(f"{x}._at").alias(f"_{to}_at"))
         return both.select(*side("a", "u"), *side("b", "v"))
@@ -331,14 +362,15 @@ def similar(df: DataFrame, doc_id: str, text: str, classes: DataFrame, words: in
         groups = labelled.groupBy("_shingle", "_root").agg(F.count(F.lit(1)).alias("_n"))
         several = groups.groupBy("_shingle").agg(F.max_by("_root", F.struct("_n", "_root")).alias("_main"), F.count(F.lit(1)).alias("_groups"), F.sum("_n").alias("_texts"), F.max("_n").alias("_most"))
         several = settle(several.where("_groups > 1").withColumn("_pairs", (F.col("_texts") - F.col("_most")) * F.col("_texts").cast("double")), "several")
-        before, left = left, settle(labelled.join(several.select("_shingle", "_main"), "_shingle"), "open")
+        before, left = left, settle(labelled.join(several.select("_shingle", "_main", "_texts"), "_shingle"), "open")
         open_pairs = several.agg(F.sum("_pairs")).first()[0] or 0
         forget(stars, several, *([before] if before is not None else []))
         if k == ROUNDS or not worth or open_pairs <= FEW * total or open_pairs > STILL * open_before:
             break
         open_before = open_pairs
-        pivot = F.min(F.struct(F.xxhash64("_node", F.lit(k)).alias("_order"), "_node", "_size", *BITS, "_at", "_root")).alias("b")
-        pivots = left.groupBy("_shingle").agg(pivot).select("_shingle", "b.*")
+        meets = left.groupBy("_node").agg((-F.sum("_texts")).alias("_order")) if k == 0 else left.select("_node", F.xxhash64("_node", F.lit(k)).alias("_order")).distinct()
+        pivot = F.min(F.struct("_order", "_node", "_size", *BITS, "_at", "_root")).alias("b")
+        pivots = left.join(meets, "_node").groupBy("_shingle").agg(pivot).select("_shingle", "b.*")
         best = likely(met(left, pivots), similarity).groupBy("u").agg(F.max_by("v", F.struct("_n", "v")).alias("v"))
         best = settle(best, "pairs")
         tried = best.count()
@@ -346,17 +378,34 @@ def similar(df: DataFrame, doc_id: str, text: str, classes: DataFrame, words: in
         worth = 8 * found.count() >= tried > 0  # else what is left is mostly texts that aren't alike
         before_edges, edges = edges, settle(edges.unionByName(found), "edges")
         forget(before_edges, found)
-    # a pair across groups has a text outside its shingle's largest group; of two such texts, both are the first once.
+    met_first = settle(first_met(left, similarity).distinct(), "pairs")
+    forget(rows, left)
+    pairs = sharing(met_first, classes.select("_node", F.col("_leading").alias("_set")), lambda common, a, b, least: common >= least)
+    last = verified(settle(pairs, "pairs"))
+    forget(met_first, classes)
+    return edges.unionByName(last)
+
+
+def first_met(left: DataFrame, similarity: float) -> DataFrame:
+    """Pairs u, v, u < v, of left (rows of met_rows with _root, and _main for each shingle) across groups that may be similar, and their _least.
+
+    The first leading shingle that two similar texts share passes the position filter, and none before it is shared:
+    rows with a common shingle in BEFORE say that the pair has met before, and aren't made. So a pair is
+    made once or a few times, not for each shingle it shares. A pair across groups has a text outside its shingle's
+    largest group; of two such texts, the lesser is a.
+    """
     # Sizes of sets as similar are in one class or two that follow each other, so other classes needn't meet.
     # Classes are a little wider than that, so that rounding can't part a pair.
     scale = F.floor(F.log("_size") / -math.log(0.99 * similarity)).cast("int")
     minor, every = left.where("_root <> _main").withColumn("_class", scale), left.withColumn("_class", scale)
-    every = every.withColumn("_class", F.explode(F.array(F.col("_class") - 1, F.col("_class"), F.col("_class") + 1)))
-    pairs = likely(met(minor, every), similarity)
-    pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    last = verified(settle(pairs, "pairs"))
-    forget(rows, left, names)
-    return edges.unionByName(last)
+    minor = minor.withColumn("_class", F.explode(F.array(F.col("_class") - 1, F.col("_class"), F.col("_class") + 1)))
+    same = (F.col("a._shingle") == F.col("b._shingle")) & (F.col("a._class") == F.col("b._class")) & (F.col("a._root") != F.col("b._root"))
+    once = (F.col("b._root") == F.col("b._main")) | (F.col("a._node") < F.col("b._node"))
+    before = reduce(or_, (F.col(f"a.{p}") == F.col(f"b.{q}") for p in BEFORE for q in BEFORE))  # null where there are fewer
+    new = once & enough_behind("a.", "b.", similarity) & ~F.coalesce(before, F.lit(False))
+    both = minor.alias("a").join(every.alias("b"), same & new & may_share("a", "b", similarity))
+    ends = F.least("a._node", "b._node").alias("u"), F.greatest("a._node", "b._node").alias("v")
+    return both.select(*ends, least_leading("a.", "b.", similarity).alias("_least"))
 
 
 @contextmanager

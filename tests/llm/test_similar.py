@@ -5,6 +5,7 @@ import pytest
 
 from plumbline.llm.components import star_components
 from plumbline.llm.similar import Filter, keep_one_of_similar, leading, prefix_length
+from plumbline.llm.simhash import shingle_hashes
 
 from .helpers import frame
 
@@ -182,3 +183,87 @@ def test_rounds_end_when_they_leave_as_much(spark, monkeypatch):
     least = brute_similar(texts, 0.8)
     assert kept_ids(spark, texts) == {d for d in texts if least[d] == d}
     assert len(verified) == 3  # by fingerprint, a round that leaves most pairs open, the rest
+
+
+def test_links_count_however_groups_divide_their_shingles(spark, monkeypatch):
+    import plumbline.llm.similar as module
+
+    # a and b, c and d are groups, joined by a and c alone; a's group is the largest of some of their shingles, c's of others
+    texts, (a, b, c, d) = split_counts(), range(4)
+    least = brute_similar(texts, 0.8)
+    assert set(least.values()) == {0} and jaccard(five(texts[a]), five(texts[c])) >= 0.8
+    assert all(jaccard(five(texts[x]), five(texts[y])) < 0.8 for x, y in ((a, d), (b, c), (b, d)))
+
+    def known(classes, radius):
+        node = {bytes(r._words): r._node for r in classes.collect()}
+        own = [node[module.digest_of(texts[k].encode())] for k in range(4)]
+        return spark.createDataFrame([(own[a], own[b]), (own[c], own[d])], "u long, v long")
+
+    monkeypatch.setattr(module, "by_fingerprint", known)
+    monkeypatch.setattr(module, "FEW", 10**9)
+    for order in ((a, b, c, d), (c, d, a, b)):  # whichever is the larger node
+        assert kept_ids(spark, {k: texts[k] for k in order}) == {0}
+
+
+def leads(words):
+    found = np.unique(np.array(shingle_hashes(" ".join(words).encode(), 5), np.uint64))
+    return set(leading(found, np.zeros((2, 0), np.uint64), 0.8).tolist())
+
+
+def split_counts():
+    """Texts a, b, c, d, each an edit of another, such that what a and c share leads in b or d, hardly in both."""
+    pick = random.Random(21)
+
+    def edited(words, cost):
+        every = [[*words[:at], f"other{pick.random()}", *words[at + 1 :]] for at in range(4, 46)]
+        return min(every, key=cost)
+
+    def pair():
+        base = [f"w{pick.randint(0, 10**6)}" for _ in range(50)]
+        return base, edited(base, lambda x: len(leads(base) & leads(x)))
+
+    a, c = min((pair() for _ in range(40)), key=lambda p: len(leads(p[0]) & leads(p[1])))
+    both = leads(a) & leads(c)
+    b = edited(a, lambda x: abs(len(both & leads(x)) - len(both) // 2))
+    d = edited(c, lambda x: len(both & leads(x) & leads(b)) + len(both - leads(x) - leads(b)))
+    return dict(enumerate(" ".join(w) for w in (a, b, c, d)))
+
+
+def test_a_pair_is_made_a_few_times_at_most(spark):
+    from pyspark.sql import functions as F
+
+    import plumbline.llm.similar as module
+
+    pick = random.Random(13)
+    base, texts = [f"w{pick.randint(0, 4000)}" for _ in range(300)], {}
+    for k in range(40):
+        words = list(base)
+        for at in pick.sample(range(300), 1 + k % 5):
+            words[at] = f"other{pick.random()}"
+        texts[k] = " ".join(words)
+    prints = module.shingle_prints(frame(spark, [(d, t, "en", "a", 0) for d, t in texts.items()]), "doc_id", "text", 5, 0.8)
+    classes = prints.withColumn("_node", F.col("_doc"))
+    left = module.met_rows(classes).withColumn("_root", F.col("_node")).withColumn("_main", F.lit(39))
+    made = [(r.u, r.v) for r in module.first_met(left, 0.8).collect()]
+    sets = {d: five(t) for d, t in texts.items()}
+    alike = {(a, b) for a in texts for b in texts if a < b and jaccard(sets[a], sets[b]) >= 0.8}
+    assert len(alike) > 300 and alike <= set(made)
+    assert len(made) < 2 * 40 * 39 / 2  # of a pair's 60 leading shingles dozens are shared
+
+
+def test_a_group_around_one_text_is_joined_in_the_first_round(spark, monkeypatch):
+    import plumbline.llm.similar as module
+
+    compared, plain = [], module.as_similar
+    monkeypatch.setattr(module, "as_similar", lambda pairs, *rest: compared.append(pairs.count()) or plain(pairs, *rest))
+    monkeypatch.setattr(module, "FEW", 0)
+    pick, texts = random.Random(14), {}
+    base = [f"w{pick.randint(0, 4000)}" for _ in range(150)]
+    for k in range(120):  # most are like the base and like few others
+        words = list(base)
+        for at in pick.sample(range(150), k % 4):
+            words[at] = f"other{pick.random()}"
+        texts[k] = " ".join(words)
+    least = brute_similar(texts, 0.8)
+    assert kept_ids(spark, texts) == {d for d in texts if least[d] == d}
+    assert sum(compared) < 3 * 120
