@@ -21,8 +21,8 @@ from plumbline.llm.tokenfile import token_files
 BATCH = 1000
 #: Vocabulary by which the mix counts and the last stage encodes.
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
-#: Chunks whose counts, then ids, a worker remembers: fewer than alone, as workers also hold what earlier stages have left.
-COUNTED, REMEMBERED = 100_000, 300_000
+#: Chunks whose counts, then ids, a worker remembers: fewer than alone, as an executor's JVM has kept what earlier stages took.
+COUNTED, REMEMBERED = 100_000, 150_000
 
 
 def frugal(spark: SparkSession) -> None:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..sources.scratch import new_folder
 
 _written: list[tuple[SparkSession, str]] = []
+_kept: dict = {}
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -60,10 +61,28 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """run, for mapInArrow; after it the worker, which is used again, gives the memory it has freed back to the system."""
+def kept(cache):
+    """cache, an lru_cache of what a worker keeps from task to task, as one that let_go() empties."""
+    _kept[cache.__name__] = cache
+    return cache
+
+
+def let_go(*but: str) -> None:
+    """Empty this process's caches made by kept(), but those named."""
+    for name, cache in _kept.items():
+        if name not in but:
+            cache.cache_clear()
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], *but: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, for mapInArrow, in a worker that is used again.
+
+    Before it the worker lets go of what tasks of other kinds have kept (see let_go); after it, it gives the
+    memory it has freed back to the system.
+    """
 
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go(*but)
         try:
             yield from run(batches)
         finally:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import settle, tidy
+from .common import kept, settle, tidy
 from .files import locate
 
 #: Bytes of item texts in a block, and blocks whose index a worker holds at once (some 3 bytes for each byte of text).
@@ -172,6 +172,7 @@ class Items:
         return out
 
 
+@kept
 @lru_cache(maxsize=HELD)
 def block_of(uris: tuple[str, ...], size: int, share: float) -> tuple[pa.Array, Items]:
     """Ids and index of a block of items, read from the shared folder; a worker keeps HELD of them from task to task."""
@@ -272,7 +273,7 @@ def without_contained(docs: DataFrame, text: str, items: DataFrame, item_id: str
                 keep[[d for d, *_ in hits(batch.column(at), block_of(part, size, share)[1])]] = False
             yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(tidy(run), docs.schema)
+    return docs.mapInArrow(tidy(run, "block_of"), docs.schema)
 
 
 _WORDS = r"regexp_extract_all(lower(text), '[^\x00-/:-`{-\x7f]+')"

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import kept, tidy
 from .wordbpe import WordBPE, byte_characters, load
 
 #: Chunks of text whose counts a worker remembers; beyond it the memory is emptied, which changes no result.
@@ -87,6 +88,7 @@ class RankMerger:
         return result
 
 
+@kept
 @lru_cache(maxsize=2)
 def _merger(path: str) -> RankMerger:
     return RankMerger(load(path))
@@ -137,6 +139,7 @@ class TokenCounter:
         return [sum(map(known.__getitem__, chunks)) + n for chunks, n in zip(lists, extra)]
 
 
+@kept
 @lru_cache(maxsize=1)
 def counter_of(path: str, remembered: int = REMEMBERED) -> TokenCounter:
     """A Python worker keeps its counter, with what it has counted, from task to task."""
@@ -152,6 +155,7 @@ def count_tokens(df: DataFrame, text: str, path: str, keep: list[str], limit: in
     fewer than REMEMBERED. Rows are counted on their own, so repeated rows repeat; columns that are not in `keep` are
     not read. One pass, no shuffle.
     """
+    frugal = remembered < REMEMBERED  # memory is dear
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = counter_of(path, remembered)
@@ -164,10 +168,10 @@ def count_tokens(df: DataFrame, text: str, path: str, keep: list[str], limit: in
             over = pa.array([c > limit for c in counts], pa.bool_())
             arrays = [*batch.columns[: len(keep) + 1], n, over]
             yield pa.RecordBatch.from_arrays(arrays, names=[*keep, "n_bytes", "n_tokens", "over_limit"])
-        if remembered < REMEMBERED:  # memory is dear: nothing stays for the next task
+        if frugal:  # nothing counted stays for the next task
             counter.known.clear()
 
     body = F.coalesce(F.col(text), F.lit(""))
     narrow = df.select(*keep, F.octet_length(body).cast("long").alias("n_bytes"), body.alias("_text"))
     kinds = ", ".join(f"`{c}` {narrow.schema[c].dataType.simpleString()}" for c in keep)
-    return narrow.mapInArrow(run, f"{kinds}, n_bytes long, n_tokens long, over_limit boolean")
+    return narrow.mapInArrow(tidy(run, "load", "_merger", "counter_of") if frugal else run, f"{kinds}, n_bytes long, n_tokens long, over_limit boolean")

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import new_path, settle, tasks_for
+from .common import kept, new_path, settle, tasks_for, tidy
 from .files import Draft, open_file
 from .wordbpe import WordBPE, load
 
@@ -117,6 +117,7 @@ class Encoder:
         known.update(zip(mixed, [b"".join(map(known.__getitem__, p)) for p in parts]))
 
 
+@kept
 @lru_cache(maxsize=1)
 def encoder_of(path: str, end_id: int, remembered: int) -> Encoder:
     """A Python worker keeps its encoder, with what it has learned, from task to task."""
@@ -208,6 +209,8 @@ def write_sequences(
     follow the input in number, not in size. Other columns aren't read. An empty table gives an empty manifest.
     """
     id_type = df.select(doc_id).schema[0].dataType
+    frugal = remembered < REMEMBERED  # memory is dear: shorter parts too, and what is freed goes back after each task
+    at_once = AT_ONCE // 4 if frugal else AT_ONCE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, writer, n = TaskContext.get().partitionId(), None, 0
@@ -217,7 +220,7 @@ def write_sequences(
             if writer is None and batch.num_rows:
                 writer = SequenceWriter(uri, batch.schema.field(0).type, encoder.kind, length, ROWS)
             size = texts.nbytes // max(1, batch.num_rows) + 1
-            step = max(1, AT_ONCE // size)
+            step = max(1, at_once // size)
             for at in range(0, batch.num_rows, step):
                 part = batch.slice(at, step)
                 writer.add(part.column(0), *encoder.encode(part.column(1)))
@@ -231,7 +234,7 @@ def write_sequences(
     order = ["doc_id", "_hash", "text"]
     named = df.select(F.col(doc_id).cast(id_type).alias("doc_id"), F.col(text).alias("text")).withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
     ordered = named.repartitionByRange(tasks_for(df), *order[:2]).sortWithinPartitions(*order).select("doc_id", "text")
-    files = settle(ordered.mapInArrow(run, "uri string, place long, n_docs long, n_tokens long"), "manifest")
+    files = settle(ordered.mapInArrow(tidy(run, "load", "encoder_of") if frugal else run, "uri string, place long, n_docs long, n_tokens long"), "manifest")
     # the manifest has a row for each file, and stays small
     before = Window.orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     return files.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))

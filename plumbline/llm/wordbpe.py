@@ -13,6 +13,8 @@ from functools import lru_cache
 import regex
 from tokenizers import Tokenizer
 
+from .common import kept
+
 # The pre-token pattern of the vocabulary file and the characters that the short way takes:
 # white space and printable ASCII, Latin letters and signs up to U+024F, common punctuation, the euro sign.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -67,6 +69,7 @@ class WordBPE:
         return out, len(parts) - 1
 
 
+@kept
 @lru_cache(maxsize=2)
 def load(path: str) -> WordBPE:
     """The vocabulary of a file, loaded once in each Python worker."""

@@ -81,3 +81,16 @@ def test_sequences_have_equal_length_and_masks(spark, library):
     want = sum(len(library.encode(t or "", add_special_tokens=False).ids) + 1 for _, t, *_ in awkward())
     assert (breaks, total) == (len(awkward()), want)
     assert read_documents(manifest, "bigint").count() == len(awkward())
+
+
+def test_workers_let_go_of_what_other_tasks_kept():
+    from plumbline.llm import tokencount, tokenfile, wordbpe
+    from plumbline.llm.common import tidy
+
+    tokenfile.encoder_of(PATH, 1, 1000)
+    tokencount.counter_of(PATH, 1000)
+    assert list(tidy(lambda batches: batches, "load", "encoder_of")(iter([7]))) == [7]
+    sizes = [c.cache_info().currsize for c in (wordbpe.load, tokenfile.encoder_of, tokencount.counter_of, tokencount._merger)]
+    assert sizes == [1, 1, 0, 0]
+    assert list(tidy(lambda batches: batches)(iter([8]))) == [8]
+    assert wordbpe.load.cache_info().currsize == tokenfile.encoder_of.cache_info().currsize == 0
